@@ -1,6 +1,6 @@
 """All registered queries; importing a plan module registers its queries."""
 
-from freshness.plans import aggs, joins, prep, priority, scalars, windows  # noqa: F401
+from freshness.plans import aggs, docs, factors, joins, prep, priority, scalars, seasonal, windows  # noqa: F401
 from freshness.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import math
+import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -14,7 +15,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from freshness.functions.scalars import contains_answer, passage_arrays, split_sentences
-from freshness.operators.ordered import names, width_slice, with_row_number
+from freshness.operators.ordered import width_slice, with_row_number
+
+_ALNUM = re.compile("[a-zA-Z0-9]")
 
 
 def extract_documents(raw: DataFrame, text: str = "value") -> DataFrame:
@@ -70,15 +73,15 @@ def bleu(reference: list[str], candidate: list[str]) -> float:
 
 
 def _spans(a: str, b: str) -> tuple[list[str], list[str]]:
-    """Character runs only in a, and only in b, that hold a letter or digit."""
+    """Runs of words only in a, and only in b, that hold a letter or digit."""
+    words_a, words_b = re.findall(r"\s+|\S+", a), re.findall(r"\s+|\S+", b)
     gone, come = [], []
-    for tag, i, j, k, l in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
+    for tag, i, j, k, l in difflib.SequenceMatcher(None, words_a, words_b, autojunk=False).get_opcodes():
         if tag in ("replace", "delete"):
-            gone.append(a[i:j])
+            gone.append("".join(words_a[i:j]))
         if tag in ("replace", "insert"):
-            come.append(b[k:l])
-    alnum = lambda s: any(c.isascii() and c.isalnum() for c in s)
-    return [s for s in gone if alnum(s)], [s for s in come if alnum(s)]
+            come.append("".join(words_b[k:l]))
+    return [s for s in gone if _ALNUM.search(s)], [s for s in come if _ALNUM.search(s)]
 
 
 def align(old: list[str], new: list[str], least_score: float = 0.1) -> list[tuple]:
@@ -119,7 +122,10 @@ def sentence_diff(pairs: DataFrame, doc: str, old: str, new: str) -> DataFrame:
         f"{doc} {doc_type}, pos int, sent_a string, sent_b string, sent_a_diffs array<string>, "
         "sent_b_diffs array<string>, diff_type string, score double"
     )
-    return pairs.select(doc, old, new).mapInPandas(run, shape)
+    # Alignment costs far more than moving the texts, so spread it evenly first; a
+    # fixed partition count keeps adaptive execution from merging the tasks again.
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.select(doc, old, new).repartition(tasks, doc).mapInPandas(run, shape)
 
 
 def revision_passages(diffs: DataFrame, n: int = 10) -> DataFrame:

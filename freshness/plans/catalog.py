@@ -1,6 +1,8 @@
 """All registered queries; importing a plan module registers its queries."""
 
-from freshness.plans import aggs, docs, factors, joins, prep, priority, scalars, seasonal, windows  # noqa: F401
+from freshness.plans import (  # noqa: F401
+    aggs, docs, factors, io, joins, prep, priority, report, scalars, seasonal, streams, windows,
+)
 from freshness.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -272,7 +272,7 @@ x AS (SELECT i.*, m.m_rn, m.trend, i.rn - m.m_rn AS age FROM indexed i
 SELECT key, event_id, rn, round(value - trend - [0.5, -1.0, 0.25][age % 3 + 1]::DOUBLE, 4) AS pred_residual, trend AS pred_trend,
        round(CASE WHEN age IS NOT NULL THEN [0.5, -1.0, 0.25][age % 3 + 1]::DOUBLE END, 4) AS pred_seasonality, age AS pred_staleness FROM x""")
 def _(t):
-    rows = indexed(t).select("key", "event_id", "rn", "value")
+    rows = t.indexed.select("key", "event_id", "rn", "value")
     season = F.array(F.lit(0.5), F.lit(-1.0), F.lit(0.25))
     models = rows.where("rn % 8 = 0").select("key", "rn", "event_id", F.col("value").alias("trend"), season.alias("season"))
     out = J.evaluate_plan(rows, models, "key", "rn", "value", "event_id", width_slice("rn", 4096)).drop("value")
@@ -291,7 +291,7 @@ fe AS (
 
 def forecast_rows(t):
     """Readings with the stored forecast in force: value, y_pred, staleness."""
-    rows = indexed(t).select("key", "event_id", "rn", "value")
+    rows = t.indexed.select("key", "event_id", "rn", "value")
     ahead = F.sequence(F.lit(0), F.lit(15))
     models = rows.where("rn % 8 = 0").select(
         "key", "rn", "event_id", F.transform(ahead, lambda i: F.col("value") + F.lit(0.1) * i).alias("forecast")

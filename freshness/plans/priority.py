@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from freshness.operators import joins as J, priority as R
 from freshness.operators.ordered import day_slice, hour_slice, width_slice
 from freshness.plans.aggs import STALENESS, served
-from freshness.plans.joins import INDEXED, indexed
+from freshness.plans.joins import INDEXED
 from freshness.plans.registry import query
 from freshness.plans.tables import VERSIONS
 
@@ -102,7 +102,7 @@ fe AS (
 
 
 def forecast_error_table(t):
-    rows = indexed(t).select("key", "rn", "value")
+    rows = t.indexed.select("key", "rn", "value")
     ahead = F.transform(F.sequence(F.lit(1), F.lit(200)), lambda i: F.col("value") + F.lit(0.1) * i)
     models = rows.where("rn = 40").select("key", F.col("rn").alias("model_t"), ahead.alias("forecast"))
     return R.forecast_errors(rows, models, "key", "rn", "rn", "value", width_slice("rn", 65_536))

@@ -10,7 +10,8 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from freshness.operators.ordered import day_slice, hour_slice, with_running
+from freshness.operators.ordered import day_slice, hour_slice, with_row_number, with_running
+from freshness.session import stage
 
 RANK = 8  # factors of the stand-in item and user vectors
 
@@ -106,6 +107,11 @@ class Tables:
     def readings(self) -> DataFrame:
         return self.events.select(F.col("user_id").alias("key"), "ts", "event_id", "value")
 
+    @cached_property
+    def indexed(self) -> DataFrame:
+        """Readings with their position per key, written out once for plans that read it several times."""
+        return stage(with_row_number(self.readings, "key", ["ts", "event_id"], hour_slice("ts"), "rn"))
+
     @cached_property
     def views(self) -> DataFrame:
         return self.events.where("event_type = 'view'").select(

@@ -111,18 +111,26 @@ def split_sentences(text) -> Column:
     return F.split(marked, _MARK)
 
 
+def with_value(value: Column, body) -> Column:
+    """`body` applied to `value`, which is evaluated once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def sentence_offsets(sentences) -> Column:
     """Start position of each sentence in the joined text."""
-    sentences = _col(sentences)
-    walked = F.aggregate(
-        sentences,
-        F.struct(F.array(F.lit(0)).alias("starts"), F.lit(0).alias("at")),
-        lambda acc, s: F.struct(
-            F.concat(acc["starts"], F.array(acc["at"] + F.length(s))).alias("starts"),
-            (acc["at"] + F.length(s)).alias("at"),
-        ),
-    )
-    return F.slice(walked["starts"], F.lit(1), F.size(sentences))
+
+    def starts(s: Column) -> Column:
+        walked = F.aggregate(
+            s,
+            F.struct(F.array(F.lit(0)).alias("starts"), F.lit(0).alias("at")),
+            lambda acc, x: F.struct(
+                F.concat(acc["starts"], F.array(acc["at"] + F.length(x))).alias("starts"),
+                (acc["at"] + F.length(x)).alias("at"),
+            ),
+        )
+        return F.slice(walked["starts"], F.lit(1), F.size(s))
+
+    return with_value(_col(sentences), starts)
 
 
 def has_alnum(s) -> Column:
@@ -130,12 +138,15 @@ def has_alnum(s) -> Column:
     return _col(s).rlike("[a-zA-Z0-9]")
 
 
-def passage_arrays(sentences, n: int = 10) -> Column:
-    """Sentence list to passage list: each n sentences joined by a space."""
-    sentences = _col(sentences)
-    blocks = F.sequence(F.lit(0), F.floor((F.size(sentences) - 1) / n).cast("int"))
-    joined = F.transform(blocks, lambda b: F.array_join(F.slice(sentences, b * n + 1, F.lit(n)), " "))
-    return F.when(F.size(sentences) > 0, joined).otherwise(F.array().cast("array<string>"))
+def passage_arrays(sentences, n: int = 10, separator: str = " ") -> Column:
+    """Sentence list to passage list: each n sentences joined by the separator."""
+
+    def blocks(s: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(s), F.lit(1)), F.lit(n))
+        joined = F.transform(starts, lambda at: F.array_join(F.slice(s, at, F.lit(n)), separator))
+        return F.when(F.size(s) > 0, joined).otherwise(F.array().cast("array<string>"))
+
+    return with_value(_col(sentences), blocks)
 
 
 def contains_answer(passages, answer) -> Column:

@@ -23,10 +23,15 @@ from freshness.operators.windows import count_windows, uniform_draw
 VECTOR = T.ArrayType(T.DoubleType())
 
 
+_SMOOTHERS: dict[tuple[int, int], np.ndarray] = {}
+
+
 def local_regression(size: int, span: int) -> np.ndarray:
     """Matrix that smooths a series of `size` values by tricube-weighted lines over `span` neighbours."""
+    if (size, span) in _SMOOTHERS:
+        return _SMOOTHERS[size, span]
     at = np.arange(size, dtype=float)
-    span = max(3, min(span, size))
+    asked, span = span, max(3, min(span, size))
     out = np.zeros((size, size))
     for i in range(size):
         distance = np.abs(at - i)
@@ -36,6 +41,7 @@ def local_regression(size: int, span: int) -> np.ndarray:
         s0, s1, s2 = weight.sum(), (weight * x).sum(), (weight * x * x).sum()
         det = s0 * s2 - s1 * s1
         out[i] = weight * (s2 - s1 * x) / det if det > 1e-12 else weight / s0
+    _SMOOTHERS[size, asked] = out
     return out
 
 

@@ -44,9 +44,9 @@ def _(t):
 
 
 @query("key_span", """SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts,
-  round(date_diff('microsecond', min(ts), max(ts)) / 1000000, 4) AS length FROM events GROUP BY user_id""")
+  round(date_diff('microsecond', min(ts), max(ts)) / 1000000, 6) AS length FROM events GROUP BY user_id""")
 def _(t):
-    return A.key_span(t.events, "user_id", "ts").withColumn("length", F.round("length", 4))
+    return A.key_span(t.events, "user_id", "ts").withColumn("length", F.round("length", 6))
 
 
 @query("rating_pivot", f"""WITH {RATINGS} SELECT user_id, """ + ", ".join(
@@ -99,10 +99,10 @@ def _(t):
 
 
 @query("latency", f"""WITH {LOG}, w AS (SELECT processing_time - ingest_time AS wait FROM log)
-SELECT round(min(wait), 4) AS min_latency, round(avg(wait), 4) AS mean_latency, round(median(wait), 4) AS median_latency FROM w""")
+SELECT round(min(wait), 5) AS min_latency, round(avg(wait), 5) AS mean_latency, round(median(wait), 5) AS median_latency FROM w""")
 def _(t):
     out = A.latency(update_log(t))
-    return out.select(*[F.round(c, 4).alias(c) for c in ("min_latency", "mean_latency", "median_latency")])
+    return out.select(*[F.round(c, 5).alias(c) for c in ("min_latency", "mean_latency", "median_latency")])
 
 
 @query("error_by_group", f"""WITH {PREDICTIONS}
@@ -116,15 +116,15 @@ def _(t):
 
 @query("error_vs_factor", f"""WITH {STALENESS}, e AS (
   SELECT staleness // 24 AS age_days, abs(y_pred - y_true) AS error FROM served WHERE y_pred IS NOT NULL)
-SELECT age_days, round(avg(error), 4) AS mean_error, count(*) AS n, round(median(error), 4) AS median_error,
-       round(ln(avg(error)), 4) AS log_mean, round(CASE WHEN median(error) <> 0 THEN ln(median(error)) END, 4) AS log_median
+SELECT age_days, round(avg(error), 9) AS mean_error, count(*) AS n, round(median(error), 9) AS median_error,
+       round(ln(avg(error)), 9) AS log_mean, round(CASE WHEN median(error) <> 0 THEN ln(median(error)) END, 9) AS log_median
 FROM e GROUP BY age_days""")
 def _(t):
     e = served(t).where("y_pred IS NOT NULL").select(
         F.floor(F.col("staleness") / 24).cast("long").alias("age_days"), F.abs(F.col("y_pred") - F.col("y_true")).alias("error")
     )
     out = A.error_vs_factor(e, "age_days", "error", width_slice("error", 1))
-    return out.select("age_days", "n", *[F.round(c, 4).alias(c) for c in ("mean_error", "median_error", "log_mean", "log_median")])
+    return out.select("age_days", "n", *[F.round(c, 9).alias(c) for c in ("mean_error", "median_error", "log_mean", "log_median")])
 
 
 @query("hourly_error", f"""WITH {STALENESS}
@@ -139,11 +139,11 @@ def _(t):
 
 
 @query("cross_key_mse", f"""WITH {STALENESS}
-SELECT CAST(ts AS DATE) AS day, round(sum(power(y_pred - y_true, 2)) / nullif(count(*) FILTER (power(y_pred - y_true, 2) <> 0), 0), 4) AS mse
+SELECT CAST(ts AS DATE) AS day, round(sum(power(y_pred - y_true, 2)) / nullif(count(*) FILTER (power(y_pred - y_true, 2) <> 0), 0), 9) AS mse
 FROM served GROUP BY 1""")
 def _(t):
     out = A.cross_key_mse(served(t).withColumn("day", F.to_date("ts")), "day")
-    return out.withColumn("mse", F.round("mse", 4))
+    return out.withColumn("mse", F.round("mse", 9))
 
 
 @query("loss_describe", f"""WITH {PREDICTIONS}, per_user AS (

@@ -22,7 +22,7 @@ def halves(df):
 
 def _flat(df, key, vec):
     """Vectors as one row per value, for comparison."""
-    return df.select(key, F.posexplode(vec).alias("i", "x"))
+    return df.select(key, F.posexplode_outer(vec).alias("i", "x"))
 
 
 @query("gram_sums", f"""WITH {RATINGS}, {ITEMS},

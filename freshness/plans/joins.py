@@ -60,13 +60,13 @@ def _(t):
 @query("asof_with_default", f"""WITH {VIEWS}, {VERSIONS},
 init AS (SELECT user_id, avg(value) AS feature FROM events WHERE event_type = 'signup' GROUP BY user_id)
 SELECT query_id, q.user_id, q.ts, q.y, v.ts AS feature_ts,
-       round(CASE WHEN v.ts IS NULL THEN i.feature ELSE v.feature END, 4) AS feature
+       round(CASE WHEN v.ts IS NULL THEN i.feature ELSE v.feature END, 9) AS feature
 FROM views q ASOF LEFT JOIN versions v ON q.user_id = v.user_id AND q.ts >= v.ts
 LEFT JOIN init i ON q.user_id = i.user_id""")
 def _(t):
     init = t.events.where("event_type = 'signup'").groupBy("user_id").agg(F.avg("value").alias("feature"))
     out = J.asof_with_default(t.views, t.versions, init, "user_id", "ts", "version_id", ["feature"])
-    return out.withColumn("feature", F.round("feature", 4))
+    return out.withColumn("feature", F.round("feature", 9))
 
 
 @query("attach_clock", """WITH clock AS (
@@ -201,14 +201,14 @@ def _(t):
 @query("policy_vs_reference", """WITH errs AS (
   SELECT event_type AS policy, date_diff('day', TIMESTAMP '2024-01-01', ts) AS day, avg(value) AS error
   FROM events GROUP BY ALL)
-SELECT e.policy, e.day, round(e.error, 4) AS error, round(r.error, 4) AS reference_error,
-       round(e.error - r.error, 4) AS difference
+SELECT e.policy, e.day, round(e.error, 9) AS error, round(r.error, 9) AS reference_error,
+       round(e.error - r.error, 9) AS difference
 FROM errs e LEFT JOIN errs r ON e.day = r.day AND r.policy = 'error'""")
 def _(t):
     start = day_slice(F.lit(EPOCH).cast("timestamp_ntz"))
     errs = t.events.groupBy(F.col("event_type").alias("policy"), (day_slice("ts") - start).alias("day"))
     out = J.policy_vs_reference(errs.agg(F.avg("value").alias("error")), "error", "day")
-    return out.select("policy", "day", *[F.round(c, 4).alias(c) for c in ("error", "reference_error", "difference")])
+    return out.select("policy", "day", *[F.round(c, 9).alias(c) for c in ("error", "reference_error", "difference")])
 
 
 @query("score_all_items", f"""WITH {ITEMS}, {USERS}

@@ -151,10 +151,5 @@ def questions(t):
   SELECT doc_id, pos // 10 AS passage, string_agg(sentence, '' ORDER BY pos) AS passage_text FROM old_sents GROUP BY ALL)
 SELECT item_id, q.doc_id, bool_or(contains(passage_text, answer)) AS found FROM questions q JOIN passages p ON q.doc_id = p.doc_id GROUP BY ALL""")
 def _(t):
-    blocks = S.split_sentences("text")
-    joined = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(blocks) - 1) / 10).cast("int")),
-        lambda b: F.array_join(F.slice(blocks, b * 10 + 1, F.lit(10)), ""),
-    )
-    docs = t.documents.select("doc_id", joined.alias("passages"))
+    docs = t.documents.select("doc_id", S.passage_arrays(S.split_sentences("text"), 10, "").alias("passages"))
     return questions(t).join(docs, "doc_id").select("item_id", "doc_id", S.contains_answer("passages", "answer").alias("found"))

@@ -45,19 +45,19 @@ def _(t):
 @query("seasonal_features")
 def _(t):
     out = Z.seasonal_features(windows24(t), 6)
-    return out.select("key", "window", "end_rn", "trend", F.posexplode("season").alias("phase", "season"))
+    return out.select("key", "window", "end_rn", "trend", F.posexplode_outer("season").alias("phase", "season"))
 
 
 @query("seasonal_forecast")
 def _(t):
     out = Z.seasonal_forecast(windows24(t), 6, 8)
-    return out.select("key", "window", "end_rn", F.posexplode("forecast").alias("step", "forecast"))
+    return out.select("key", "window", "end_rn", F.posexplode_outer("forecast").alias("step", "forecast"))
 
 
 @query("rolling_seasonal")
 def _(t):
     out = Z.rolling_seasonal(t.readings, "key", ORDER, "value", 24, 6, hour_slice("ts"))
-    return out.select("key", "end_rn", "trend", F.posexplode("season").alias("phase", "season"))
+    return out.select("key", "end_rn", "trend", F.posexplode_outer("season").alias("phase", "season"))
 
 
 @query("repair_anomalies")

@@ -100,12 +100,12 @@ def hourly_errors(t):
 
 
 @query("error_lags", f"""WITH {ARRIVALS}, e AS (SELECT step, total / n AS error FROM arrivals)
-SELECT step, round(error, 4) AS error, round(lag_1, 4) AS lag_1, round(lag_2, 4) AS lag_2, round(lag_3, 4) AS lag_3, round(label, 4) AS label
+SELECT step, round(error, 9) AS error, round(lag_1, 9) AS lag_1, round(lag_2, 9) AS lag_2, round(lag_3, 9) AS lag_3, round(label, 9) AS label
 FROM (SELECT step, error, lag(error, 1) OVER w AS lag_1, lag(error, 2) OVER w AS lag_2, lag(error, 3) OVER w AS lag_3, lead(error, 2) OVER w AS label
       FROM e WINDOW w AS (ORDER BY step)) WHERE lag_3 IS NOT NULL AND label IS NOT NULL""")
 def _(t):
     out = N.error_lags(hourly_errors(t), None, "step", "error", 3, 2, width_slice("step", 1000))
-    return out.select("step", *[F.round(c, 4).alias(c) for c in ("error", "lag_1", "lag_2", "lag_3", "label")])
+    return out.select("step", *[F.round(c, 9).alias(c) for c in ("error", "lag_1", "lag_2", "lag_3", "label")])
 
 
 @query("window_error", f"""WITH {STALENESS}, r AS (

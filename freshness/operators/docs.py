@@ -14,7 +14,7 @@ from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from freshness.functions.scalars import contains_answer, passage_arrays, split_sentences
+from freshness.functions.scalars import contains_answer, passage_arrays
 from freshness.operators.ordered import width_slice, with_row_number
 
 _ALNUM = re.compile("[a-zA-Z0-9]")

@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -49,11 +48,12 @@ def recommend(model: ALSModel, users: DataFrame, n: int) -> DataFrame:
     )
 
 
-def rating_rmse(model: ALSModel, rows: DataFrame, rating: str) -> float:
-    """Root mean squared error on rows the model can predict."""
+def rating_rmse(model: ALSModel, rows: DataFrame, rating: str) -> DataFrame:
+    """One row: root mean squared error on the rows the model can predict."""
     cols = [F.col(c).cast("int") for c in (model.getUserCol(), model.getItemCol())]
     predicted = model.transform(rows.select(*cols, rating))
-    return RegressionEvaluator(metricName="rmse", labelCol=rating, predictionCol="prediction").evaluate(predicted)
+    miss = F.col("prediction") - F.col(rating)
+    return predicted.agg(F.sqrt(F.avg(miss * miss)).alias("rmse"), F.count(miss).alias("n"))
 
 
 def gram_sums(rated: DataFrame, user, vector: str, target: Column, size: int, weight: Column | None = None) -> DataFrame:

@@ -6,12 +6,10 @@ turns it into a ranked key table (highest score first, lowest key on ties).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from freshness.functions.scalars import forecast_at
-from freshness.operators.ordered import (
-    columns, hour_slice, names, range_slices, with_global_rank, with_row_number, with_running,
-)
+from freshness.operators.ordered import hour_slice, names, range_slices, with_global_rank, with_row_number, with_running
 from freshness.operators.windows import uniform_draw
 
 COLD_ERROR = 1e6  # score of keys never trained, total-error policy

@@ -7,7 +7,7 @@ from freshness.operators import docs as D
 from freshness.plans.joins import page_changes, CHANGES
 from freshness.plans.registry import query
 from freshness.plans.scalars import doc_passages
-from freshness.plans.tables import REVISIONS, SENTENCES_SQL
+from freshness.plans.tables import REVISIONS
 
 
 @query("extract_documents", r"""SELECT page_id, url, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title,

@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from freshness.plans.registry import query
-from freshness.plans.tables import RATINGS, READINGS, VERSIONS
+from freshness.plans.tables import RATINGS, VERSIONS
 from freshness.session import checkpoint_root
 from freshness.sources import io as S
 

@@ -6,9 +6,7 @@ from freshness.functions.scalars import split_sentences, passage_arrays
 from freshness.operators import joins as J
 from freshness.operators.ordered import day_slice, hour_slice, width_slice, with_row_number, with_running
 from freshness.plans.registry import query
-from freshness.plans.tables import (
-    ITEMS, RANK, RATINGS, READINGS, SENTENCES_SQL, USERS, VERSIONS, VIEWS, ARRIVALS,
-)
+from freshness.plans.tables import ITEMS, RANK, RATINGS, READINGS, SENTENCES_SQL, USERS, VERSIONS, VIEWS
 
 EPOCH = "2024-01-01 00:00:00"
 

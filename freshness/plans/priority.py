@@ -4,10 +4,8 @@ from pyspark.sql import functions as F
 
 from freshness.operators import joins as J, priority as R
 from freshness.operators.ordered import day_slice, hour_slice, width_slice
-from freshness.plans.aggs import STALENESS, served
 from freshness.plans.joins import INDEXED
 from freshness.plans.registry import query
-from freshness.plans.tables import VERSIONS
 
 # Clicks are events, purchases are updates, views are queries with error |y - 25|.
 INPUTS = """last_u AS (SELECT user_id AS key, max(ts) AS last_update, count(*) AS past FROM events WHERE event_type = 'purchase' GROUP BY 1),

@@ -3,14 +3,12 @@
 from pyspark.sql import functions as F
 
 from freshness.operators import joins as J, report as Q, windows as N
-from freshness.operators.ordered import hour_slice, width_slice
+from freshness.operators.ordered import width_slice
 from freshness.plans.aggs import STALENESS, served
 from freshness.plans.docs import RANKED, ranked_passages
 from freshness.plans.joins import FORECAST_EVAL, INDEXED, forecast_rows
 from freshness.plans.registry import query
-from freshness.plans.tables import (
-    FINAL_MULTIPLIER, ITEMS, PREDICTIONS, RANK, RATINGS, READINGS, UPDATES, USERS, VERSIONS, VIEWS,
-)
+from freshness.plans.tables import ITEMS, PREDICTIONS, RANK, READINGS, UPDATES, USERS, VERSIONS, VIEWS
 
 
 def _rounded(df, digits, *cols):

@@ -6,7 +6,7 @@ from freshness.functions import scalars as S
 from freshness.plans.joins import INDEXED, indexed
 from freshness.plans.registry import query
 from freshness.plans.tables import (
-    DOC_SENTENCES, ITEMS, ITEM_MULTIPLIER, RATINGS, SENTENCES_SQL, USERS, USER_MULTIPLIER, RANK, factor_vector, factor_vector_sql,
+    DOC_SENTENCES, ITEM_MULTIPLIER, RATINGS, SENTENCES_SQL, USER_MULTIPLIER, RANK, factor_vector, factor_vector_sql,
 )
 
 IV, UV = factor_vector_sql("item_id", ITEM_MULTIPLIER), factor_vector_sql("user_id", USER_MULTIPLIER)

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from freshness.functions import udfs as U
 from freshness.functions.scalars import passage_arrays, split_sentences
 from freshness.operators import priority as R
-from freshness.operators.ordered import hour_slice
 from freshness.plans.io import fresh_folder
 from freshness.plans.registry import query
 from freshness.plans.tables import READINGS, SENTENCES_SQL

@@ -3,12 +3,11 @@
 from pyspark.sql import functions as F
 
 from freshness.operators import windows as N
-from freshness.operators.ordered import day_slice, hour_slice, width_slice
+from freshness.operators.ordered import hour_slice, width_slice
 from freshness.plans.aggs import POLICIES, STALENESS, served
 from freshness.plans.joins import INDEXED
-from freshness.plans.prep import HOURS, hours
 from freshness.plans.registry import query
-from freshness.plans.tables import ARRIVALS, PREDICTIONS, RATINGS, READINGS, UPDATES, VERSIONS
+from freshness.plans.tables import ARRIVALS, READINGS, UPDATES, VERSIONS
 
 ORDER = ["ts", "event_id"]
 

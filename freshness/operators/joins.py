@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from freshness.functions.scalars import residual, forecast_at, steps_between
+from freshness.functions.scalars import dot, forecast_at, residual, steps_between
 from freshness.operators.ordered import hour_slice, names, with_running
+from freshness.session import stage
 
 
 def _asof(queries, features, key, ts, tie, payload, strict, slice_by, default=None):
@@ -110,7 +111,8 @@ def count_before(queries, events, updates, key, ts, slice_by=None) -> DataFrame:
         )
     )
     is_event = F.when(F.col("_side") == 0, 1)
-    counted = with_running(rows, key, [ts, "_side"], slice_by, {"_n": ("count", is_event)})
+    # Read twice by the next pass: one write is cheaper than a second wide shuffle.
+    counted = stage(with_running(rows, key, [ts, "_side"], slice_by, {"_n": ("count", is_event)}))
     at_update = F.when(F.col("_side") == 1, F.col("_n"))
     done = with_running(counted, key, [ts, "_side"], slice_by, {"_done": ("max", at_update)})
     past = F.coalesce("_done", F.lit(0))
@@ -166,8 +168,6 @@ def vector_moments(items: DataFrame, vector: str, size: int) -> DataFrame:
 
 def quadratic_form(vector: Column, gram: Column) -> Column:
     """v' G v with G an array of rows."""
-    from freshness.functions.scalars import dot
-
     return dot(vector, F.transform(gram, lambda row: dot(row, vector)))
 
 
@@ -177,8 +177,6 @@ def score_all_items(users: DataFrame, items: DataFrame, user_vec: str, item_vec:
     sum(u.m) = u.sum(m) and sum((u.m)^2) = u' (sum m m') u, so the items are
     reduced to one small row first and no user meets every item.
     """
-    from freshness.functions.scalars import dot
-
     moments = vector_moments(items, item_vec, size)
     packed = moments.select(F.struct("n", "total", "gram")).scalar()
     u, m = F.col(user_vec), F.col("_m")

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from freshness.operators import joins as J, report as Q, windows as N
-from freshness.operators.ordered import width_slice
+from freshness.operators.docs import hit_at_k
+from freshness.operators.ordered import width_slice, with_running
 from freshness.plans.aggs import STALENESS, served
 from freshness.plans.docs import RANKED, ranked_passages
 from freshness.plans.joins import FORECAST_EVAL, INDEXED, forecast_rows
@@ -179,8 +180,6 @@ a AS (SELECT s.key, rn - model_t AS age, abs(value - (base + 0.1::DOUBLE * (rn -
       FROM stepped s JOIN model m ON s.key = m.key WHERE rn > model_t AND rn <= model_t + 12)
 SELECT key, age, round(sum(e) OVER (PARTITION BY key ORDER BY age), 7) AS total_error FROM a""")
 def _(t):
-    from freshness.operators.ordered import with_running
-
     rows = t.indexed.select("key", "rn", "value")
     slices = width_slice("rn", 65_536)
     stepped = with_running(rows, "key", "rn", slices, {"_p": ("previous", F.col("value"))})
@@ -232,8 +231,6 @@ SELECT 'recommendation' AS workload, policy, round(avg(power(y_pred - y_true, 2)
 UNION ALL SELECT 'anomaly', 'every_8', round(sum(scaled_error), 6) FROM mase
 UNION ALL SELECT 'retrieval', 'current', round(1 - avg(hit), 6) FROM h""")
 def _(t):
-    from freshness.operators.docs import hit_at_k
-
     sq = F.pow(F.col("y_pred") - F.col("y_true"), 2)
     rec = t.predictions.groupBy("policy").agg(F.avg(sq).alias("error"))
     total = Q.total_scaled(Q.mase(forecast_p(t), "key", "rn", sp=2, rn="rn"))

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from freshness.llm.bloom import bloom_table, may_contain
 from freshness.llm.components import connected_components
-from freshness.llm.text import raw, window_hashes
+from freshness.llm.text import distinct, hashed, raw, window_hashes
 from freshness.session import stage
 
 WIDTH = 5
@@ -37,12 +38,10 @@ SALTED = 1024  # classes that are compared with one leader
 NO_ID = 1 << 62  # class ids from here on stand for classes whose document ids are all null
 
 
-def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the lower-cased text's runs of `width` words."""
-    words = text.lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    return np.unique(window_hashes(words, min(width, len(words))))
+def shingle_sets(texts: list[bytes], width: int = WIDTH) -> Iterator[np.ndarray]:
+    """For each text, sorted distinct 64-bit hashes of its lower-cased runs of `width` words."""
+    for words, windows in hashed([t.lower() for t in texts], width):
+        yield distinct(windows if len(words) >= width or not len(words) else window_hashes(words, len(words)))
 
 
 def prefix_length(n):
@@ -74,8 +73,7 @@ def _profile(source: DataFrame, width: int) -> DataFrame:
         counts = np.zeros(BUCKETS, np.int64)
         for batch in batches:
             ids, sizes, keys, heads, least, buckets = batch.column(0), [], [], [], [], []
-            for text in raw(batch.column(1)):
-                tokens = shingles(text, width)
+            for tokens in shingle_sets(raw(batch.column(1)), width):
                 sizes.append(len(tokens))
                 keys.append(_key(tokens))
                 heads.append(_head(keys[-1]))
@@ -124,8 +122,7 @@ def _sets(source: DataFrame, width: int, wanted, by: str) -> DataFrame:
         table, seen = wanted.value, set()
         for batch in batches:
             keys, sets, size = [], [], 0
-            for text in raw(batch.column(1)):
-                tokens = shingles(text, width)
+            for tokens in shingle_sets(raw(batch.column(1)), width):
                 if not len(tokens):
                     continue
                 key = _key(tokens)
@@ -190,8 +187,7 @@ def _matrix(source: DataFrame, grouped: DataFrame, counts: np.ndarray, width: in
         seen = set()
         for batch in batches:
             keys, prefixes, size = [], [], 0
-            for text in raw(batch.column(1)):
-                tokens = shingles(text, width)
+            for tokens in shingle_sets(raw(batch.column(1)), width):
                 key = _key(tokens)
                 if len(tokens) and key not in seen:
                     seen.add(key)
@@ -308,3 +304,23 @@ def _opened(source: DataFrame, grouped: DataFrame, counts: np.ndarray, apart: Da
     pairs = mine.join(theirs, ["token", "b"]).where(_fit("n_q", "n_d")).groupBy("q", "d").agg(
         F.count(F.lit(1)).alias("common"), F.min("n_q").alias("n_q"), F.min("n_d").alias("n_d"))
     return pairs.where(_enough("common", "n_q", "n_d")).select(F.least("q", "d").alias("a"), F.greatest("q", "d").alias("b")).distinct()
+
+
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+    """One row of `docs` for each component: that of its smallest document id.
+
+    Equal rows of that id become one. Rows without an id stay only if their component has no id, one for each set.
+    A document without words is its own component, and stays.
+    """
+    linked = link_documents(docs, id_col, text_col, width)
+    dropped = linked.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
+    named = docs.where(F.col(id_col).isNotNull()).join(dropped, F.col(id_col).cast("long") == F.col("__id"), "left_anti")
+    unnamed = docs.where(F.col(id_col).isNull())
+    if unnamed.isEmpty():
+        return named.dropDuplicates([id_col])
+    key = F.arrow_udf(lambda texts: pa.array([_key(s).hex() for s in shingle_sets(raw(texts), width)], pa.string()), "string")
+    alone = linked.where("doc_id is null and component_id is null and n_shingles > 0").select(F.col("set_key").alias("__key")).distinct()
+    marked = unnamed.withColumn("__key", key(F.col(text_col).cast("string")))
+    kept = marked.join(alone, "__key").dropDuplicates(["__key"]).select(*docs.columns)
+    empty = marked.where(F.length(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x09-\x0D\x20]", "")) == 0).select(*docs.columns)
+    return named.dropDuplicates([id_col]).unionByName(kept).unionByName(empty)

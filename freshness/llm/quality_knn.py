@@ -19,8 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from freshness.llm.quality_rules import measure
-from freshness.llm.text import blocks, labelled_texts, raw, with_fields
+from freshness.llm.quality_rules import measure_all
+from freshness.llm.text import labelled_texts, raw, with_fields
 
 DIMENSIONS = 4096  # hashed trigrams, without the shape terms
 RANK = 64
@@ -36,9 +36,9 @@ def _bin(value: float, scale: float) -> int:
     return min(BINS - 1, int(value * scale))
 
 
-def shape_terms(text: bytes) -> list[int]:
+def shape_terms(counts: tuple[int, ...]) -> list[int]:
     """One bin for each of a few ratios: length, word length, symbols, marks, capitals, digits, repeats, distinct words, equal lines."""
-    words, chars, symbols, dup_lines, repeats, lines, upper, letters, marks, digits, distinct = measure(text)
+    words, chars, symbols, dup_lines, repeats, lines, upper, letters, marks, digits, distinct = counts
     w = max(1, words)
     bins = (
         _bin(np.log2(1 + words), 1), _bin(chars / w, 1), _bin(symbols / w, 12), _bin(marks / w, 12), _bin(upper / max(1, letters), 12),
@@ -47,21 +47,23 @@ def shape_terms(text: bytes) -> list[int]:
     return [i * BINS + b for i, b in enumerate(bins)]
 
 
-def term_vector(text: bytes) -> np.ndarray:
-    """Dampened counts of hashed byte trigrams, then the shape terms."""
-    out = np.zeros(DIMENSIONS + SHAPES * BINS, np.float32)
-    if len(text) >= 3:
-        counts = np.zeros(DIMENSIONS, np.int64)
-        data = np.frombuffer(text, np.uint8)
-        for at in range(0, len(data) - 2, 1 << 20):  # a long text takes no more memory than a short one
-            piece = data[at : at + (1 << 20) + 2].astype(np.uint32)
-            code = (piece[:-2] << np.uint32(16)) | (piece[1:-1] << np.uint32(8)) | piece[2:]
-            counts += np.bincount((code * np.uint32(2654435761)) >> np.uint32(20), minlength=DIMENSIONS)
-        out[:DIMENSIONS] = np.log1p(counts)
-        norm = np.linalg.norm(out)
-        out /= norm
-    out[[DIMENSIONS + s for s in shape_terms(text)]] = SHAPE_WEIGHT / 3
-    return out
+def term_vectors(texts: list[bytes]) -> np.ndarray:
+    """A row for each text: dampened counts of hashed byte trigrams, then the shape terms. 16-bit floats."""
+    out = np.zeros((len(texts), DIMENSIONS + SHAPES * BINS), np.float32)
+    for row, text, counts in zip(out, texts, measure_all(texts)):
+        if len(text) >= 3:
+            found = np.zeros(DIMENSIONS, np.int64)
+            for at in range(0, len(text) - 2, 1 << 18):  # a long text takes no more memory than a short one
+                piece = np.frombuffer(text, np.uint8, min((1 << 18) + 2, len(text) - at), at).astype(np.uint32)
+                code = (piece[:-2] << np.uint32(16)) | (piece[1:-1] << np.uint32(8)) | piece[2:]
+                found += np.bincount((code * np.uint32(2654435761)) >> np.uint32(20), minlength=DIMENSIONS)
+            row[:DIMENSIONS] = _DAMPED[np.minimum(found, len(_DAMPED) - 1)]
+            row /= np.sqrt(row @ row)
+        row[[DIMENSIONS + s for s in shape_terms(counts)]] = SHAPE_WEIGHT / 3
+    return out.astype(np.float16)
+
+
+_DAMPED = np.log1p(np.arange(1 << 16)).astype(np.float32)
 
 
 @dataclass
@@ -107,7 +109,7 @@ def fit(terms: np.ndarray, labels: np.ndarray, rank: int = RANK, seed: int = 7)
 
 
 def _terms_of(texts: pa.Array) -> pa.Array:
-    return pa.array([term_vector(t).astype(np.float16).tobytes() for t in raw(texts)], pa.binary())
+    return pa.array([row.tobytes() for row in term_vectors(raw(texts))], pa.binary())
 
 
 def fit_neighbours(docs: DataFrame, labels: DataFrame, label: str = "quality", keep: Column | None = None, max_rows: int = MAX_LABELLED,
@@ -130,7 +132,7 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text", thres
         values = raw(texts)
         out = np.zeros(len(values))
         for at in range(0, len(values), BLOCK):
-            out[at : at + BLOCK] = shared.value.score(np.stack([term_vector(t).astype(np.float16).astype(np.float32) for t in values[at : at + BLOCK]]))
+            out[at : at + BLOCK] = shared.value.score(term_vectors(values[at : at + BLOCK]).astype(np.float32))
         return pa.StructArray.from_arrays([pa.array(out), pa.array((out >= threshold).astype(np.int32))], names=["score", "predicted"])
 
     return with_fields(docs, F.arrow_udf(score, "score double, predicted int")(F.col(text_col).cast("string")), ["score", "predicted"])

@@ -13,13 +13,14 @@ columns are kept, and a column named like a result is replaced.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from freshness.llm.text import labelled_texts, raw, window_hashes, with_fields
+from freshness.llm.text import distinct, hashed, labelled_texts, raw, with_fields
 
 WINDOW = 5
 MAX_LABELLED = 20_000  # label rows that the list is learned from
@@ -47,35 +48,32 @@ FEATURES = {
 }
 
 
-def repeated_words(words: list[bytes], width: int = WINDOW) -> int:
-    """Words inside any window of `width` words that occurs twice or more in the list."""
-    hashes = window_hashes(words, width)
-    if not len(hashes):
+def repeated_words(words: int, windows: np.ndarray, width: int = WINDOW) -> int:
+    """Words inside any window of `width` words that occurs twice or more, given the windows' hashes."""
+    if len(distinct(windows)) == len(windows):
         return 0
-    _, which, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+    _, which, counts = np.unique(windows, return_inverse=True, return_counts=True)
     again = counts[which] > 1
-    if not again.any():
-        return 0
-    edges = np.zeros(len(words) + 1, np.int64)
-    edges[: len(hashes)] += again
-    edges[width : width + len(hashes)] -= again
+    edges = np.zeros(words + 1, np.int64)
+    edges[: len(windows)] += again
+    edges[width : width + len(windows)] -= again
     return int((np.cumsum(edges[:-1]) > 0).sum())
 
 
-def measure(text: bytes) -> tuple[int, ...]:
-    """The counts of one text, in the order of `COUNTS`."""
-    words = text.split()
-    lines = [line for line in text.split(b"\n") if line.strip()]
-    size = len(text)
-    left = lambda drop: size - len(text.translate(None, drop))
-    return (
-        len(words), len(text.translate(None, _BLANKS + _CONTINUATION)), left(_SYMBOLS), len(lines) - len(set(lines)),
-        repeated_words(words), len(lines), left(_UPPER), left(_LETTERS), left(_MARKS), left(_DIGITS), len(set(words)),
-    )
+def measure_all(texts: list[bytes]) -> Iterator[tuple[int, ...]]:
+    """The counts of each text, in the order of `COUNTS`."""
+    for text, (words, windows) in zip(texts, hashed(texts, WINDOW)):
+        lines = [line for line in text.split(b"\n") if line.strip()]
+        size = len(text)
+        left = lambda drop: size - len(text.translate(None, drop))  # noqa: E731, B023
+        yield (
+            len(words), len(text.translate(None, _BLANKS + _CONTINUATION)), left(_SYMBOLS), len(lines) - len(set(lines)),
+            repeated_words(len(words), windows), len(lines), left(_UPPER), left(_LETTERS), left(_MARKS), left(_DIGITS), len(distinct(words)),
+        )
 
 
 def statistics_of(texts: pa.Array) -> pa.Array:
-    rows = [measure(t) for t in raw(texts)]
+    rows = list(measure_all(raw(texts)))
     columns = zip(*rows) if rows else [()] * len(COUNTS)
     return pa.StructArray.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=COUNTS)
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from freshness.llm import chat_format, decontaminate, jaccard_join, lm_score, packing, quality_knn, quality_rules, token_counts, url_filter
+from freshness.llm import chat_format, decontaminate, html_text, jaccard_join, lm_score, packing, quality_knn, quality_rules, token_counts, url_filter
 from freshness.llm.text import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,6 +85,15 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(docs, tokenizer("piece_bpe_32k.model")).drop("text")
 
 
+# --- op3: HTML extraction
+
+
+@query("op3_html_extraction")
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract(pages, html_text.fit_labeller(pages)).drop("html")
+
+
 # --- op4: benchmark decontamination
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

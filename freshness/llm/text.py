@@ -13,9 +13,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-LONG_WORD = 256  # bytes; longer words enter window hashes as a digest, so that memory does not grow with them
-SLAB = 16_384  # windows hashed at once
-
 
 def raw(column: pa.Array) -> list[bytes]:
     """Values of a string column as UTF-8 bytes; null becomes empty."""
@@ -44,45 +41,92 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 _TABLE = np.frombuffer(b"".join(hashlib.blake2b(bytes([i]), digest_size=8).digest() for i in range(256)), np.uint64)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_INSIDE = np.array([i not in (9, 10, 11, 12, 13, 32) for i in range(256)])
+_BASE = 0x9E3779B97F4A7C15
+_ALL = (1 << 64) - 1
+SLAB = 1 << 19  # bytes hashed at once
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first `n` powers of the base and of its inverse, modulo 2**64."""
     if len(_powers[0]) < n:
-        size = max(n, 2 * len(_powers[0]))
-        for i, base in enumerate((_BASE, _INVERSE)):
-            p = np.full(size, base, np.uint64)
+        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            p = np.full(max(n, 2 * len(_powers[0]) if i == 0 else len(_powers[0])), base, np.uint64)
             p[0] = 1
             _powers[i] = np.multiply.accumulate(p)
     return _powers[0][:n], _powers[1][:n]
 
 
-def window_hashes(words: list[bytes], width: int) -> np.ndarray:
-    """64-bit hash of every run of `width` words, in order; equal runs have equal hashes.
+def _slab_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(unmixed hashes, starts, ends) of the words in a stretch of bytes.
+
+    A word's hash is a polynomial in its bytes, so all words come from one prefix sum.
+    """
+    inside = np.zeros(len(data) + 2, np.int8)
+    inside[1:-1] = _INSIDE[data]
+    edges = np.diff(inside)
+    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    power, inverse = _tables(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_TABLE[data] * power[:-1], out=sums[1:])
+    return (sums[ends] - sums[starts]) * inverse[starts], starts, ends
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of each word of `text.split()`, in order; equal words have equal hashes.
 
-    A prefix-sum hash over the bytes of the words joined by one space: the whole
-    text is hashed in a few numpy calls, whatever the width.
+    A word that a slab cuts is put together from its parts, so memory does not grow with the length of a word.
     """
+    found: list[np.ndarray] = []
+    open_size = 0  # bytes so far of a word that reaches the end of the last slab
+    for at in range(0, len(text), SLAB):
+        size = min(SLAB, len(text) - at)
+        hashes, starts, ends = _slab_hashes(np.frombuffer(text, np.uint8, size, at))
+        if open_size and len(starts) and starts[0] == 0:
+            found[-1][-1] = np.uint64((int(found[-1][-1]) + pow(_BASE, open_size, 1 << 64) * int(hashes[0])) & _ALL)
+            open_size = open_size + int(ends[0]) if ends[0] == size else 0
+            hashes, starts, ends = hashes[1:], starts[1:], ends[1:]
+        else:
+            open_size = 0
+        if len(hashes):
+            found.append(hashes)
+            open_size = int(ends[-1] - starts[-1]) if ends[-1] == size else 0
+    return _mix(np.concatenate(found)) if found else np.empty(0, np.uint64)
+
+
+def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
+    """64-bit hash of every run of `width` word hashes, in order."""
     count = len(words) - width + 1
     if count <= 0:
         return np.empty(0, np.uint64)
-    out = np.empty(count, np.uint64)
-    for at in range(0, count, SLAB):
-        part = words[at : at + SLAB + width - 1]
-        if max(map(len, part)) > LONG_WORD:
-            part = [w if len(w) <= LONG_WORD else b"\xff" + hashlib.blake2b(w, digest_size=24).digest().hex().encode() for w in part]
-        joined = np.frombuffer(b" ".join(part), np.uint8)
-        power, inverse = _tables(len(joined) + 1)
-        sums = np.zeros(len(joined) + 1, np.uint64)
-        np.cumsum(_TABLE[joined] * power[:-1], out=sums[1:])
-        gaps = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)  # end of each word, plus one
-        starts = np.concatenate(([0], gaps[:-1]))[: len(part) - width + 1]
-        ends = gaps[width - 1 :] - 1
-        out[at : at + len(starts)] = _mix((sums[ends] - sums[starts]) * inverse[starts])
-    return out
+    out = np.zeros(count, np.uint64)
+    for i in range(width):
+        out = out * np.uint64(_BASE) + words[i : i + count]
+    return _mix(out)
+
+
+def hashed(texts: list[bytes], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(word hashes, hashes of runs of `width` words) for each text; short texts are hashed many at a time."""
+    for start, stop in blocks(texts, len, SLAB):
+        group = texts[start:stop]
+        if len(group) == 1:
+            words = word_hashes(group[0])
+            yield words, window_hashes(words, width)
+            continue
+        raw_hashes, starts, _ = _slab_hashes(np.frombuffer(b"\n".join(group), np.uint8))
+        words = _mix(raw_hashes)
+        windows = window_hashes(words, width)
+        begins = np.cumsum([0] + [len(t) + 1 for t in group])
+        at = np.searchsorted(starts, begins).tolist()
+        for i in range(len(group)):
+            yield words[at[i] : at[i + 1]], windows[at[i] : max(at[i], at[i + 1] - width + 1)]
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    ordered = np.sort(values)
+    return ordered if len(ordered) < 2 else ordered[np.concatenate(([True], ordered[1:] != ordered[:-1]))]
 
 
 def fold(key: str | Column, modulus: int) -> Column:

@@ -35,6 +35,7 @@ WIDTH = 5
 BUCKETS, CHUNKS = 1 << 20, 64  # token counts by hash; 4 MB, whatever the input
 LARGE = 8  # classes that share their smallest shingle, from which on a leader is sought
 SALTED = 1024  # classes that are compared with one leader
+OPENED = 512  # members of an opened group that are compared in one task
 NO_ID = 1 << 62  # class ids from here on stand for classes whose document ids are all null
 
 
@@ -221,10 +222,6 @@ def _verify(source: DataFrame, pairs: DataFrame, classes: DataFrame, width: int)
     return stage(both.where(_similar("x", "y")).select("a", "b"))
 
 
-def _fit(a: str, b: str):
-    return 5 * F.least(a, b) >= 4 * F.greatest(a, b)
-
-
 def _enough(common: str, a: str, b: str):
     """Whether `common` shared prefix tokens leave room for a similar pair of sets of a and b tokens.
 
@@ -265,13 +262,17 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     links = stars.select(F.col("cid").alias("a"), F.col("leader").alias("b")).unionByName(_verify(source, sizes.select("a", "b"), classes, width))
     parts = stage(connected_components(links))
 
-    # groups of several classes that the leaders did not connect: bound each class against the other group, then open it
+    # groups of several classes that the leaders did not connect: bound each class of the smaller one against the other, then open that
     named = lambda side: parts.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
-    apart = stage(sizes.where("not single").join(named("a"), "a", "left").join(named("b"), "b", "left")
-                  .where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"))
+    members_of = grouped.groupBy("gid").agg(F.count(F.lit(1)).alias("size"))
+    sized = lambda side: members_of.select(F.col("gid").alias(side), F.col("size").alias(f"size_{side}"))
+    apart = sizes.where("not single").join(named("a"), "a", "left").join(named("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
+    small_first = F.col("size_a") <= F.col("size_b")
+    apart = stage(apart.join(sized("a"), "a").join(sized("b"), "b").select(
+        F.when(small_first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(small_first, F.col("b")).otherwise(F.col("a")).alias("b"),
+        F.greatest("size_a", "size_b").alias("size")))
     if not apart.isEmpty():
-        opened = _opened(source, grouped, counts, apart, width)
-        links = links.unionByName(_verify(source, opened, classes, width))
+        links = links.unionByName(_opened(source, stage(grouped), counts, apart, width))
         parts = stage(connected_components(links))
 
     named_class = classes.select("key", "cid").join(parts.withColumnRenamed("node", "cid"), "cid", "left").select(
@@ -283,27 +284,53 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def _opened(source: DataFrame, grouped: DataFrame, counts: np.ndarray, apart: DataFrame, width: int) -> DataFrame:
-    """Pairs (a, b) of classes of the group pairs `apart` that the bound leaves.
+    """Links (a, b) between the classes of group `a` and those of group `b`, the larger one, for each row of `apart`.
 
-    First each class of one group against the other group's union, then, for the groups that qualify, against
-    its members.
+    Each class q of `a` is bounded against the token union of `b`. The groups that qualify are opened: their members are dealt into
+    chunks of about `OPENED`, its queries likewise, and each two chunks are compared set by set, up to a query's first link.
     """
-    both = stage(apart.unionByName(apart.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    few = both.select(F.col("a").alias("gid")).distinct()
-    entries = stage(_matrix(source, grouped.join(few, "gid"), counts, width))
-    union = entries.groupBy("token", "gid").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    ids = apart.select(F.col("a").alias("gid")).union(apart.select(F.col("b").alias("gid"))).distinct()
+    few = stage(grouped.join(ids, "gid").select("key", "head", "cid", "gid", "n"))
+    entries = stage(_matrix(source, few, counts, width))
+    union = entries.groupBy("token", "gid").agg(F.min("n").alias("low"), F.max("n").alias("high")).withColumnRenamed("gid", "b")
     queries = entries.select("token", F.col("cid").alias("q"), F.col("gid").alias("a"), F.col("n").alias("n_q"))
-    met = queries.join(both, "a").join(union.select("token", F.col("gid").alias("b"), "low", "high"), ["token", "b"]).where("5 * high >= 4 * n_q and 5 * n_q >= 4 * low")
+    met = queries.join(apart, "a").join(union, ["token", "b"]).where("5 * high >= 4 * n_q and 5 * n_q >= 4 * low")
     # the overlap with the union bounds that with any member; the needed overlap is least for the smallest or the largest member that fits
-    counted = met.groupBy("q", "b").agg(F.count(F.lit(1)).alias("common"), F.min("n_q").alias("n_q"), F.min("low").alias("low"), F.max("high").alias("high"))
+    counted = met.groupBy("q", "b").agg(F.count(F.lit(1)).alias("common"), F.min("n_q").alias("n_q"), F.min("low").alias("low"), F.max("high").alias("high"),
+                                        F.first("size").alias("size"))
     counted = counted.withColumns({"low": F.greatest("low", F.ceil(F.col("n_q") * 0.8)), "high": F.least("high", F.floor(F.col("n_q") * 1.25)),
                                    "common": F.col("common") + 1})  # one more for what rounding takes
-    qualified = stage(counted.where(_enough("common", "n_q", "low") | _enough("common", "n_q", "high")).select("q", "b"))
-    mine = queries.select("token", "q", "n_q").join(qualified, "q")
-    theirs = entries.select("token", F.col("cid").alias("d"), F.col("gid").alias("b"), F.col("n").alias("n_d"))
-    pairs = mine.join(theirs, ["token", "b"]).where(_fit("n_q", "n_d")).groupBy("q", "d").agg(
-        F.count(F.lit(1)).alias("common"), F.min("n_q").alias("n_q"), F.min("n_d").alias("n_d"))
-    return pairs.where(_enough("common", "n_q", "n_d")).select(F.least("q", "d").alias("a"), F.greatest("q", "d").alias("b")).distinct()
+    qualified = stage(counted.where(_enough("common", "n_q", "low") | _enough("common", "n_q", "high")).select(
+        "q", "b", F.ceil(F.col("size") / OPENED).alias("chunks")))
+    opened = stage(qualified.groupBy("b").agg(F.first("chunks").alias("chunks"), F.ceil(F.count(F.lit(1)) / OPENED).alias("parts")))
+    needed = stage(few.join(opened.select(F.col("b").alias("gid")), "gid", "left_semi").select(*few.columns).union(
+        few.join(qualified.select(F.col("q").alias("cid")), "cid", "left_semi").select(*few.columns)).distinct())
+    wanted = _filter(source.sparkSession, needed, "head")
+    sets = stage(_sets(source, width, wanted, "head").join(needed.select("key", "cid", "gid"), "key").dropDuplicates(["key"]).select("cid", "gid", "tokens"))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    members = sets.withColumnRenamed("gid", "b").join(opened, "b").select(
+        "b", F.pmod(F.xxhash64("cid"), "chunks").alias("chunk"), each("parts").alias("part"), "cid", "tokens")
+    asked = qualified.drop("chunks").join(opened, "b").join(sets.select(F.col("cid").alias("q"), "tokens"), "q").select(
+        F.col("b").alias("b"), each("chunks").alias("chunk"), F.pmod(F.xxhash64("q"), "parts").alias("part"), "q", F.col("tokens").alias("tokens"))
+    cell = ["b", "chunk", "part"]
+    return stage(asked.groupBy(cell).cogroup(members.groupBy(cell)).applyInArrow(_first_links, "a long, b long"))
+
+
+def _first_links(asked, members):
+    """(a, b): each asked class with one similar member, if there is any."""
+    theirs = [np.frombuffer(t, np.uint64) for t in members["tokens"].to_pylist()]
+    ids, found = members["cid"].to_pylist(), []
+    if theirs:
+        sizes = np.array([len(t) for t in theirs])
+        tokens, starts = np.concatenate(theirs), np.cumsum(sizes) - sizes
+        for q, packed in zip(asked["q"].to_pylist(), asked["tokens"].to_pylist()):
+            mine = np.frombuffer(packed, np.uint64)
+            at = np.minimum(np.searchsorted(mine, tokens), len(mine) - 1)
+            both = np.add.reduceat((mine[at] == tokens).astype(np.int64), starts)
+            similar_ = np.flatnonzero(100 * both >= 80 * (sizes + len(mine) - both))
+            if len(similar_):
+                found.append((q, ids[similar_[0]]))
+    return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:

@@ -1,7 +1,8 @@
 """N-gram Jaccard join by a token-group matrix.
 
-Documents with the same shingle set are one class. Classes that share their smallest shingle and
-are similar to one leader make a group; every other class is a group of its own. The matrix
+Documents with the same shingle set are one class. Classes that share their smallest shingle (in one
+of a few random orders) and are similar to one leader are connected, and what is connected makes a group; every other
+class is a group of its own. The matrix
 has a row for each (token, group) of the groups' token unions. A class can only be similar to a member of a
 group if enough of its tokens are in the group's union, so the overlap of groups is bounded on
 the matrix and only groups that pass are opened and compared set by set.
@@ -28,11 +29,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from freshness.llm.bloom import bloom_table, may_contain
 from freshness.llm.components import connected_components
-from freshness.llm.text import distinct, hashed, raw, window_hashes
+from freshness.llm.text import _mix, distinct, hashed, raw, window_hashes
 from freshness.session import stage
 
 WIDTH = 5
 BUCKETS, CHUNKS = 1 << 20, 64  # token counts by hash; 4 MB, whatever the input
+ORDERS = 3  # random orders of tokens in which classes may share their smallest one
 LARGE = 8  # classes that share their smallest shingle, from which on a leader is sought
 SALTED = 1024  # classes that are compared with one leader
 OPENED = 512  # members of an opened group that are compared in one task
@@ -63,6 +65,11 @@ def _head(key: bytes) -> int:
     return int.from_bytes(key[:8], "little", signed=True)
 
 
+def _order(tokens: np.ndarray, i: int) -> np.ndarray:
+    """The tokens' places in one of a few fixed random orders."""
+    return tokens if i == 0 else _mix(tokens ^ np.uint64(i * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+
+
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
@@ -78,22 +85,22 @@ def _profile(source: DataFrame, width: int) -> DataFrame:
                 sizes.append(len(tokens))
                 keys.append(_key(tokens))
                 heads.append(_head(keys[-1]))
-                least.append(int(tokens[0].astype(np.int64)) if len(tokens) else None)
+                least.append([int(_order(tokens, i).min().astype(np.int64)) for i in range(ORDERS)] if len(tokens) else None)
                 buckets.append((tokens >> np.uint64(44)).astype(np.int32))
             counts += np.bincount(np.concatenate(buckets), minlength=BUCKETS) if buckets else 0
             none = pa.nulls(len(sizes))
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(heads, pa.int64()), pa.array(least, pa.int64()),
+                [ids, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(heads, pa.int64()), pa.array(least, pa.list_(pa.int64())),
                  none.cast(pa.int32()), none.cast(pa.binary())], names=NAMES)
         if counts.any():
             packed = [zlib.compress(part.tobytes(), 1) for part in np.split(counts, CHUNKS)]
             none = pa.nulls(CHUNKS)
             yield pa.RecordBatch.from_arrays(
-                [none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.int64()), none.cast(pa.int64()),
+                [none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.int64()), none.cast(pa.list_(pa.int64())),
                  pa.array(range(CHUNKS), pa.int32()), pa.array(packed, pa.binary())], names=NAMES)
 
     NAMES = ["doc_id", "n", "key", "head", "smallest", "chunk", "counts"]
-    return source.mapInArrow(run, "doc_id long, n long, key binary, head long, smallest long, chunk int, counts binary")
+    return source.mapInArrow(run, "doc_id long, n long, key binary, head long, smallest array<long>, chunk int, counts binary")
 
 
 def _bucket_counts(profile: DataFrame) -> np.ndarray:
@@ -116,8 +123,8 @@ def rare_first(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return tokens[order[: prefix_length(len(tokens))]]
 
 
-def _sets(source: DataFrame, width: int, wanted, by: str) -> DataFrame:
-    """(key, tokens) of the documents whose key or smallest token may be in a Bloom filter; each key once a task."""
+def _sets(source: DataFrame, width: int, wanted) -> DataFrame:
+    """(key, tokens) of the documents whose key may be in a Bloom filter; each key once a task."""
 
     def run(batches):
         table, seen = wanted.value, set()
@@ -127,8 +134,7 @@ def _sets(source: DataFrame, width: int, wanted, by: str) -> DataFrame:
                 if not len(tokens):
                     continue
                 key = _key(tokens)
-                probe = _head(key) if by == "head" else int(tokens[0].astype(np.int64))
-                if key not in seen and may_contain(table, np.array([probe]))[0]:
+                if key not in seen and may_contain(table, np.array([_head(key)]))[0]:
                     seen.add(key)
                     keys.append(key)
                     sets.append(tokens.tobytes())
@@ -163,21 +169,19 @@ def _filter(spark, keys: DataFrame, column: str):
 
 
 def _leaders(source: DataFrame, classes: DataFrame, width: int) -> DataFrame:
-    """(cid, leader): classes similar to the leader of the classes with the same smallest token.
+    """(a, b): classes similar to a leader, and that leader.
 
-    Only tokens shared by `LARGE` classes or more count. A very large such group is dealt to several leaders by hash,
-    so no task compares more than about `SALTED` sets; what they have in common is found on the matrix.
+    In each of a few orders, classes with the same smallest token are compared with one of them, if there are `LARGE` or
+    more. Very many are dealt to several leaders by hash, differently in each order, so no task compares more than about
+    `SALTED` sets with one and copies of one text meet all the same.
     """
-    spark = classes.sparkSession
-    large = classes.groupBy("smallest").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= LARGE)
-    shared = stage(classes.join(large, "smallest").select(
-        "key", "cid", "smallest", F.pmod(F.xxhash64("head"), F.ceil(F.col("size") / SALTED)).alias("salt")))
-    wanted = _filter(spark, shared.select("smallest").distinct(), "smallest")
-    sets = stage(_sets(source, width, wanted, "smallest").join(shared, "key").dropDuplicates(["key"]).select("smallest", "salt", "cid", "tokens"))
-    first = sets.groupBy("smallest", "salt").agg(F.min_by(F.struct("cid", "tokens"), "cid").alias("first"))
-    first = first.select("smallest", "salt", F.col("first.cid").alias("leader"), F.col("first.tokens").alias("theirs"))
-    pairs = sets.join(first, ["smallest", "salt"]).where("cid <> leader")
-    return stage(pairs.where(_similar("tokens", "theirs")).select("cid", "leader"))
+    rows = classes.select("cid", "head", F.posexplode("smallest").alias("i", "token"))
+    large = rows.groupBy("i", "token").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= LARGE)
+    shared = rows.join(large, ["i", "token"]).select("i", "token", "cid", F.pmod(F.xxhash64("head", "i"), F.ceil(F.col("size") / SALTED)).alias("salt"))
+    shared = stage(shared)
+    first = shared.groupBy("i", "token", "salt").agg(F.min("cid").alias("leader"))
+    pairs = shared.join(first, ["i", "token", "salt"]).where("cid <> leader").select(F.col("cid").alias("a"), F.col("leader").alias("b")).distinct()
+    return _verify(source, pairs, classes, width)
 
 
 def _matrix(source: DataFrame, grouped: DataFrame, counts: np.ndarray, width: int) -> DataFrame:
@@ -216,7 +220,7 @@ def _verify(source: DataFrame, pairs: DataFrame, classes: DataFrame, width: int)
     ids = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
     needed = stage(classes.join(ids, "cid").select("key", "head", "cid"))
     wanted = _filter(source.sparkSession, needed, "head")
-    sets = stage(_sets(source, width, wanted, "head").join(needed.drop("head"), "key").dropDuplicates(["key"]).select("cid", "tokens"))
+    sets = stage(_sets(source, width, wanted).join(needed.drop("head"), "key").dropDuplicates(["key"]).select("cid", "tokens"))
     left = pairs.join(sets.select(F.col("cid").alias("a"), F.col("tokens").alias("x")), "a")
     both = left.join(sets.select(F.col("cid").alias("b"), F.col("tokens").alias("y")), "b")
     return stage(both.where(_similar("x", "y")).select("a", "b"))
@@ -243,7 +247,9 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     counts = _bucket_counts(profile)
 
     stars = _leaders(source, classes, width)
-    grouped = classes.join(stars, "cid", "left").withColumn("gid", F.coalesce("leader", "cid"))
+    groups = stage(connected_components(stars))
+    grouped = stage(classes.join(groups.select(F.col("node").alias("cid"), "component"), "cid", "left").select(
+        "key", "head", "cid", "n", F.coalesce("component", "cid").alias("gid")))
     entries = _matrix(source, grouped, counts, width).repartition("token")
     by_group = entries.groupBy("token", "gid").agg(F.count(F.lit(1)).alias("members"), F.min("n").alias("low"), F.max("n").alias("high"))
     several = by_group.groupBy("token").agg(F.count(F.lit(1)).alias("groups")).where("groups > 1").select("token")
@@ -254,12 +260,12 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     met = left.join(right, "token").where("a < b and 5 * high_a >= 4 * low_b and 5 * high_b >= 4 * low_a")
     bounds = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.min("low_a").alias("low_a"), F.max("high_a").alias("high_a"),
                                        F.min("low_b").alias("low_b"), F.max("high_b").alias("high_b"))
-    starred = stars.select(F.col("leader").alias("gid")).distinct()
+    starred = groups.select(F.col("component").alias("gid")).distinct()
     sizes = stage(bounds.join(starred.select(F.col("gid").alias("a"), F.lit(True).alias("many_a")), "a", "left")
                   .join(starred.select(F.col("gid").alias("b"), F.lit(True).alias("many_b")), "b", "left")
                   .withColumn("single", F.col("many_a").isNull() & F.col("many_b").isNull())
                   .where(~F.col("single") | _enough("common", "low_a", "low_b")).select("a", "b", "single"))
-    links = stars.select(F.col("cid").alias("a"), F.col("leader").alias("b")).unionByName(_verify(source, sizes.select("a", "b"), classes, width))
+    links = stars.unionByName(_verify(source, sizes.select("a", "b"), classes, width))
     parts = stage(connected_components(links))
 
     # groups of several classes that the leaders did not connect: bound each class of the smaller one against the other, then open that
@@ -272,7 +278,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.when(small_first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(small_first, F.col("b")).otherwise(F.col("a")).alias("b"),
         F.greatest("size_a", "size_b").alias("size")))
     if not apart.isEmpty():
-        links = links.unionByName(_opened(source, stage(grouped), counts, apart, width))
+        links = links.unionByName(_opened(source, grouped, counts, apart, width))
         parts = stage(connected_components(links))
 
     named_class = classes.select("key", "cid").join(parts.withColumnRenamed("node", "cid"), "cid", "left").select(
@@ -306,7 +312,7 @@ def _opened(source: DataFrame, grouped: DataFrame, counts: np.ndarray, apart: Da
     needed = stage(few.join(opened.select(F.col("b").alias("gid")), "gid", "left_semi").select(*few.columns).union(
         few.join(qualified.select(F.col("q").alias("cid")), "cid", "left_semi").select(*few.columns)).distinct())
     wanted = _filter(source.sparkSession, needed, "head")
-    sets = stage(_sets(source, width, wanted, "head").join(needed.select("key", "cid", "gid"), "key").dropDuplicates(["key"]).select("cid", "gid", "tokens"))
+    sets = stage(_sets(source, width, wanted).join(needed.select("key", "cid", "gid"), "key").dropDuplicates(["key"]).select("cid", "gid", "tokens"))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     members = sets.withColumnRenamed("gid", "b").join(opened, "b").select(
         "b", F.pmod(F.xxhash64("cid"), "chunks").alias("chunk"), each("parts").alias("part"), "cid", "tokens")

@@ -101,22 +101,22 @@ _WORDS = "regexp_extract_all(" + _LOWER + ", '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7
 
 
 @query("op4_decontamination", f"""
-WITH dw AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+WITH dw AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
 bw AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_WORDS.format("coalesce(text, '')")} AS w FROM benchmark),
 items AS (
   SELECT DISTINCT item, least(10, len(w)) AS n, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') AS pattern
   FROM (SELECT item, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM bw WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT n FROM items),
 grams AS (
-  SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS pattern
-  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw, sizes WHERE len(w) >= n)),
-found AS (SELECT doc_id, i, n, item FROM grams JOIN items USING (pattern, n)),
+  SELECT r, n, i, array_to_string(w[i : i + n - 1], ' ') AS pattern
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw, sizes WHERE len(w) >= n)),
+found AS (SELECT r, i, n, item FROM grams JOIN items USING (pattern, n)),
 hits AS (
-  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM found) GROUP BY 1),
-lists AS (SELECT doc_id, string_agg(item, ',' ORDER BY item) AS items, count(*) AS n_items FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY 1)
+  SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT r, unnest(range(i, i + n)) AS p FROM found) GROUP BY 1),
+lists AS (SELECT r, string_agg(item, ',' ORDER BY item) AS items, count(*) AS n_items FROM (SELECT DISTINCT r, item FROM found) GROUP BY 1)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM dw LEFT JOIN hits USING (doc_id) LEFT JOIN lists USING (doc_id)""")
+FROM dw LEFT JOIN hits USING (r) LEFT JOIN lists USING (r)""")
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     scanned = decontaminate.scan(docs, read(spark, sf_dir, "benchmark"))

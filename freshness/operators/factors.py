@@ -18,7 +18,7 @@ from freshness.session import stage
 VECTOR = T.ArrayType(T.DoubleType())
 
 
-def als_train(ratings, user, item, rating, rank=8, iters=5, reg=0.1, seed=1, implicit=False, alpha=1.0) -> ALSModel:
+def als_train(ratings, user, item, rating, rank=8, iters=10, reg=0.1, seed=1, implicit=False, alpha=1.0) -> ALSModel:
     """Factor model of all ratings; cold rows are dropped when it predicts."""
     als = ALS(
         userCol=user, itemCol=item, ratingCol=rating, rank=rank, maxIter=iters, regParam=reg, seed=seed,
@@ -27,7 +27,7 @@ def als_train(ratings, user, item, rating, rank=8, iters=5, reg=0.1, seed=1, imp
     return als.fit(ratings.select(F.col(user).cast("int"), F.col(item).cast("int"), F.col(rating).cast("float")))
 
 
-def als_train_implicit(events, user, item, rank=8, iters=5, reg=0.1, alpha=40.0, seed=1) -> ALSModel:
+def als_train_implicit(events, user, item, rank=8, iters=10, reg=0.1, alpha=40.0, seed=1) -> ALSModel:
     """Factors from interaction counts."""
     counts = events.groupBy(user, item).agg(F.count(F.lit(1)).alias("n"))
     return als_train(counts, user, item, "n", rank, iters, reg, seed, implicit=True, alpha=alpha)
@@ -35,7 +35,7 @@ def als_train_implicit(events, user, item, rank=8, iters=5, reg=0.1, alpha=40.0,
 
 def oracle_factors(train, later, user, item, rating, **options) -> ALSModel:
     """The best case: a fit on the training rows and everything that came later."""
-    return als_train(train.unionByName(later), user, item, rating, **options)
+    return als_train(train.unionByName(later), user, item, rating, **{"iters": 20, **options})
 
 
 def recommend(model: ALSModel, users: DataFrame, n: int) -> DataFrame:

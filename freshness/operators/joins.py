@@ -28,6 +28,7 @@ def _asof(queries, features, key, ts, tie, payload, strict, slice_by, default=No
             F.struct(blank.alias("feature_ts"), *payload).alias("_f"),
         )
         known = known.unionByName(initial)
+    known = known.dropna(subset=key)  # a version without a key is nobody's; a query without one stays unmatched
     both = asked.unionByName(known, allowMissingColumns=True)
     slice_by = hour_slice(ts) if slice_by is None else slice_by
     seen = with_running(both, key, [ts, "_side", "_tie"], slice_by, {"_seen": ("last", F.col("_f"))})
@@ -200,9 +201,13 @@ def version_table(init: DataFrame, plan: DataFrame, revisions: DataFrame) -> Dat
 
 
 def questions_on_docs(questions, plan, init, revisions, key="doc_id", ts="ts", tie="revid", slice_by=None) -> DataFrame:
-    """Each question with the passages of its document's current version."""
-    current = asof_with_default(questions, plan, init, key, ts, tie, ["revid"], slice_by)
-    return current.join(revisions, "revid")
+    """Each question with the passages of its document's current version, and a mark where there are none.
+
+    A refresh whose revision has no passages is skipped, so the version before it keeps serving.
+    """
+    served = plan.join(revisions.select("revid"), "revid", "left_semi")
+    current = asof_with_default(questions, served, init, key, ts, tie, ["revid"], slice_by)
+    return current.join(revisions, "revid", "left").withColumn("missing", F.col("passages").isNull().cast("int"))
 
 
 def docs_with_edits(docs: DataFrame, edits: DataFrame, on) -> DataFrame:

@@ -103,19 +103,20 @@ def with_running(
     count, sum, min, max, first, last; nulls are skipped as in SQL aggregates.
     `previous` (running only) is the value one row back; wrap values that can be
     null in a struct.
-    `slice_by` must never decrease along `order`. Keys must not be null. With no
-    key the whole table is one sequence and only slice totals meet in one task.
+    `slice_by` must never decrease along `order`. Rows with a null key form one
+    sequence, as in a SQL window. With no key the whole table is one sequence and only slice totals meet in one task.
     """
     key, order = names(key), columns(order)
     running, totals = dict(running or {}), dict(totals or {})
     slice_by = F.col(slice_by) if isinstance(slice_by, str) else slice_by
-    parts = key + ["_slice"]
-    rows = df.withColumn("_slice", F.coalesce(slice_by.cast("long"), F.lit(_FIRST_SLICE)))
+    # a struct of the key equals itself even where a field is null, in groups, windows and joins alike
+    parts = ["_key", "_slice"] if key else ["_slice"]
+    rows = (df.withColumn("_key", F.struct(*key)) if key else df).withColumn("_slice", F.coalesce(slice_by.cast("long"), F.lit(_FIRST_SLICE)))
 
     wanted = {**{f"_r_{n}": s for n, s in running.items()}, **{f"_t_{n}": s for n, s in totals.items()}}
     per_slice = rows.groupBy(*parts).agg(*[_slice_total(k, v, order).alias(n) for n, (k, v) in wanted.items()])
 
-    whole = W.partitionBy(*key) if key else W.partitionBy(F.lit(0))
+    whole = W.partitionBy("_key") if key else W.partitionBy(F.lit(0))
     by_slice = whole.orderBy("_slice")
     earlier = by_slice.rowsBetween(W.unboundedPreceding, -1)
     everything = by_slice.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)

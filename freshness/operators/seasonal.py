@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -247,18 +249,20 @@ def staleness_regression(p: DataFrame, key, staleness: str, error: str) -> DataF
 
 
 def _assembled(df: DataFrame, inputs: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="skip").transform(df)
+    """Rows whose inputs are all known, with their vector."""
+    return VectorAssembler(inputCols=inputs, outputCol="features").transform(df.dropna(subset=inputs))
 
 
 def error_model(p: DataFrame, inputs: list[str], label: str, trees: int = 10, depth: int = 5, seed: int = 1):
     """Random forest that predicts the error from staleness, past and pending counts."""
     forest = RandomForestRegressor(labelCol=label, numTrees=trees, maxDepth=depth, seed=seed)
-    return forest.fit(_assembled(p, inputs))
+    return forest.fit(_assembled(p.dropna(subset=[label]), inputs))
 
 
 def predicted_error(model, df: DataFrame, inputs: list[str]) -> DataFrame:
-    """`df` with the model's prediction, the score of the learned policy."""
-    return model.transform(_assembled(df, inputs)).drop("features")
+    """`df` with the model's prediction, the score of the learned policy; null where an input is null."""
+    unknown = df.where(reduce(or_, [F.col(c).isNull() for c in inputs])).withColumn("prediction", F.lit(None).cast("double"))
+    return model.transform(_assembled(df, inputs)).drop("features").unionByName(unknown)
 
 
 def error_regression(lags: DataFrame, inputs: list[str], label: str, test, elastic: float = 0.0, reg: float = 0.0) -> DataFrame:

@@ -69,32 +69,32 @@ def _(t):
 
 @query("als_train")
 def _(t):
-    model = X.als_train(t.ratings, "user_id", "item_id", "rating", iters=3)
+    model = X.als_train(t.ratings, "user_id", "item_id", "rating")
     return _flat(model.userFactors, "id", "features")
 
 
 @query("als_train_implicit")
 def _(t):
-    model = X.als_train_implicit(t.ratings.where("rating > 3"), "user_id", "item_id", iters=3)
+    model = X.als_train_implicit(t.ratings.where("rating > 3"), "user_id", "item_id")
     return _flat(model.itemFactors, "id", "features")
 
 
 @query("recommend")
 def _(t):
-    model = X.als_train(t.ratings, "user_id", "item_id", "rating", iters=3)
+    model = X.als_train(t.ratings, "user_id", "item_id", "rating")
     return X.recommend(model, t.users.select(F.col("user_id").cast("int")), 5)
 
 
 @query("rating_rmse")
 def _(t):
     train, test = halves(t.ratings)
-    model = X.als_train(train, "user_id", "item_id", "rating", iters=3)
+    model = X.als_train(train, "user_id", "item_id", "rating")
     return X.rating_rmse(model, test, "rating")
 
 
 @query("oracle_factors")
 def _(t):
-    model = X.oracle_factors(*halves(t.ratings), "user_id", "item_id", "rating", iters=3)
+    model = X.oracle_factors(*halves(t.ratings), "user_id", "item_id", "rating")
     return _flat(model.userFactors, "id", "features")
 
 

@@ -103,7 +103,8 @@ def _(t):
 @query("rank_learned")
 def _(t):
     model = Z.error_model(factor_rows(t), FACTORS, "error")
-    keys = inputs(t).where("last_update IS NOT NULL")
+    first = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")  # a key that was never updated is as stale as the data are old
+    keys = inputs(t).withColumn("last_update", F.coalesce("last_update", first))
     now = F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
     state = keys.select(
         "key", "pending", F.col("past_updates").alias("past"), (hour_slice(now) - hour_slice("last_update")).alias("staleness")

@@ -52,3 +52,21 @@ def test_time_spine_and_suffixes(spark):
     assert sorted(map(tuple, J.time_spine(counts, "step", "n").collect())) == [(3, 2), (4, 0), (5, 0), (6, 1)]
     a = spark.createDataFrame([(1, 2.0)], "id LONG, v DOUBLE")
     assert J.join_predictions(a, a, "id").columns == ["id", "v_x", "v_y"]
+
+
+def test_null_keys_match_nothing(spark):
+    queries = spark.createDataFrame([(1, None, 100), (2, None, 90000), (3, 5, 90000)], "query_id long, k long, s long")
+    versions = spark.createDataFrame([(10, None, 50), (11, 5, 60)], "version_id long, k long, s long")
+    at = lambda df: df.withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    found = J.asof_left(at(queries), at(versions), "k", "ts", "version_id", ["version_id"]).collect()
+    assert {r.query_id: r.version_id for r in found} == {1: None, 2: None, 3: 11}
+
+
+def test_a_refresh_without_passages_keeps_the_old_version(spark):
+    at = lambda rows, schema: spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    questions = at([(1, 7, 100), (2, 8, 100)], "query_id long, doc_id long, s long")
+    plan = at([(7, 20, 10), (7, 21, 50)], "doc_id long, revid long, s long")
+    init = spark.createDataFrame([(7, 1), (8, 2)], "doc_id long, revid long")
+    revisions = spark.createDataFrame([(20, ["a"])], "revid long, passages array<string>")
+    found = {r.query_id: (r.revid, r.missing) for r in J.questions_on_docs(questions, plan, init, revisions).collect()}
+    assert found == {1: (20, 0), 2: (2, 1)}

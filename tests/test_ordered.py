@@ -89,3 +89,9 @@ def test_empty_input(table):
     assert O.with_row_number(none, "key", "t", O.width_slice("t", 5)).count() == 0
     assert O.with_global_rank(none, ["t"]).count() == 0
     assert O.exact_quantiles(none, "value", {"q": 0.5}, group="key").count() == 0
+
+
+def test_null_keys_are_one_sequence(spark):
+    rows = spark.createDataFrame([(None, s) for s in (10, 20, 5000, 6000)] + [(1, 15)], "k long, s long").withColumn("ts", F.timestamp_seconds("s"))
+    found = O.with_row_number(rows, "k", ["ts"], O.hour_slice("ts"), "rn").collect()
+    assert sorted((r.s, r.rn) for r in found if r.k is None) == [(10, 1), (20, 2), (5000, 3), (6000, 4)]

@@ -90,21 +90,23 @@ class Model:
 
 
 def fit(terms: np.ndarray, labels: np.ndarray, rank: int = RANK, seed: int = 7) -> Model:
-    """Latent axes by a randomised singular value decomposition (a few power steps) of the labelled rows."""
+    """Latent axes by a randomised singular value decomposition (a few power steps) of the labelled rows. Weights `terms` in place."""
     n, width = terms.shape
     if not n:
         return Model(np.ones(width, np.float32), np.zeros((width, 1), np.float32), np.zeros((1, 0), np.float32), labels)
     df = (terms > 0).sum(axis=0)
     weights = np.log((1 + n) / (1 + df)).astype(np.float32) + 1
     rank = min(rank, n, width)
-    x = terms * weights
+    x = terms
+    x *= weights  # in place: the sample's matrix is the largest thing that the driver holds
     q = np.random.default_rng(seed).standard_normal((width, rank + min(16, width - rank))).astype(np.float32)
     for _ in range(4):
         q, _ = np.linalg.qr(x.T @ (x @ q))
     _, _, vt = np.linalg.svd(x @ q, full_matrices=False)
     axes = (q @ vt[:rank].T).astype(np.float32)
     model = Model(weights, axes, np.zeros((rank, 0), np.float32), labels.astype(np.float64))
-    model.vectors = np.ascontiguousarray(model.project(terms).T)
+    latent = x @ axes
+    model.vectors = np.ascontiguousarray((latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)).T)
     return model
 
 
@@ -118,10 +120,12 @@ def fit_neighbours(docs: DataFrame, labels: DataFrame, label: str = "quality", k
     rows = labelled_texts(docs, labels, label, F.lit(True) if keep is None else keep, max_rows, id_col, text_col)
     table = rows.select("id", "label", F.arrow_udf(_terms_of, "binary")("text").alias("terms")).toArrow()
     table = table.sort_by([("id", "ascending"), ("label", "ascending"), ("terms", "ascending")])
-    packed = table["terms"].to_pylist()
-    width = DIMENSIONS + SHAPES * BINS
-    terms = np.frombuffer(b"".join(packed), np.float16).reshape(-1, width).astype(np.float32) if packed else np.zeros((0, width), np.float32)
-    return fit(terms, np.array(table["label"].to_pylist(), np.float64))
+    terms = np.zeros((table.num_rows, DIMENSIONS + SHAPES * BINS), np.float32)
+    for i, packed in enumerate(table["terms"]):
+        terms[i] = np.frombuffer(packed.as_buffer(), np.float16)
+    known = np.array(table["label"].to_pylist(), np.float64)
+    del table
+    return fit(terms, known)
 
 
 def score_documents(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:

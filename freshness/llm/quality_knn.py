@@ -111,7 +111,8 @@ def fit(terms: np.ndarray, labels: np.ndarray, rank: int = RANK, seed: int = 7)
 
 
 def _terms_of(texts: pa.Array) -> pa.Array:
-    return pa.array([row.tobytes() for row in term_vectors(raw(texts))], pa.binary())
+    values = raw(texts)
+    return pa.array([row.tobytes() for at in range(0, len(values), BLOCK) for row in term_vectors(values[at : at + BLOCK])], pa.binary())
 
 
 def fit_neighbours(docs: DataFrame, labels: DataFrame, label: str = "quality", keep: Column | None = None, max_rows: int = MAX_LABELLED,

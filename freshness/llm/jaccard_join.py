@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from freshness.llm.bloom import bloom_table, may_contain
 from freshness.llm.components import connected_components
-from freshness.llm.text import _mix, distinct, hashed, raw, window_hashes
+from freshness.llm.text import _mix, distinct, hashed, raw, sliced, window_hashes
 from freshness.session import stage
 
 WIDTH = 5
@@ -79,7 +79,7 @@ def _profile(source: DataFrame, width: int) -> DataFrame:
 
     def run(batches):
         counts = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
+        for batch in sliced(batches):
             ids, sizes, keys, heads, least, buckets = batch.column(0), [], [], [], [], []
             for tokens in shingle_sets(raw(batch.column(1)), width):
                 sizes.append(len(tokens))
@@ -128,7 +128,7 @@ def _sets(source: DataFrame, width: int, wanted) -> DataFrame:
 
     def run(batches):
         table, seen = wanted.value, set()
-        for batch in batches:
+        for batch in sliced(batches):
             keys, sets, size = [], [], 0
             for tokens in shingle_sets(raw(batch.column(1)), width):
                 if not len(tokens):
@@ -148,7 +148,7 @@ def _sets(source: DataFrame, width: int, wanted) -> DataFrame:
     return source.mapInArrow(run, "key binary, tokens binary")
 
 
-def similar(a: bytes, b: bytes) -> bool:
+def similar(a: bytes | pa.Buffer, b: bytes | pa.Buffer) -> bool:
     """100 * intersection >= 80 * union for two packed sorted sets."""
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     if 5 * min(len(x), len(y)) < 4 * max(len(x), len(y)):
@@ -159,7 +159,7 @@ def similar(a: bytes, b: bytes) -> bool:
 
 def _similar(a: str, b: str) -> Column:
     def compare(x: pa.Array, y: pa.Array) -> pa.Array:
-        return pa.array([similar(p, q) for p, q in zip(x.to_pylist(), y.to_pylist())], pa.bool_())
+        return pa.array([similar(p.as_buffer(), q.as_buffer()) for p, q in zip(x, y)], pa.bool_())
 
     return F.arrow_udf(compare, "boolean")(a, b)
 
@@ -190,7 +190,7 @@ def _matrix(source: DataFrame, grouped: DataFrame, counts: np.ndarray, width: in
 
     def run(batches):
         seen = set()
-        for batch in batches:
+        for batch in sliced(batches):
             keys, prefixes, size = [], [], 0
             for tokens in shingle_sets(raw(batch.column(1)), width):
                 key = _key(tokens)

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -33,6 +34,17 @@ def blocks(values: list, size_of, limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(values)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], column: int = 1, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut into runs of rows whose values in a string column take about `limit` bytes, one row at least.
+
+    A batch may hold very many long texts; what a task makes of them then exists for one run at a time.
+    """
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+        for start, stop in blocks(sizes, int, limit):
+            yield batch.slice(start, stop - start)
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values (a fixed permutation)."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
-import math
-import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,8 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from freshness.functions.scalars import contains_answer, passage_arrays
 from freshness.operators.ordered import width_slice, with_row_number
-
-_ALNUM = re.compile("[a-zA-Z0-9]")
+from freshness.session import stage
 
 
 def extract_documents(raw: DataFrame, text: str = "value") -> DataFrame:
@@ -56,76 +51,85 @@ def word_changes(sent_a: Column, sent_b: Column) -> tuple[Column, Column]:
     return F.array_sort(F.array_except(a, b)), F.array_sort(F.array_except(b, a))
 
 
-def bleu(reference: list[str], candidate: list[str]) -> float:
-    """Sentence BLEU with up to 4-grams and equal weights; 0 when any order has no match."""
-    if not candidate:
-        return 0.0
-    total = 0.0
-    for n in range(1, 5):
-        grams = Counter(tuple(candidate[i : i + n]) for i in range(len(candidate) - n + 1))
-        known = Counter(tuple(reference[i : i + n]) for i in range(len(reference) - n + 1))
-        hits = sum((grams & known).values())
-        if hits == 0:
-            return 0.0
-        total += math.log(hits / sum(grams.values())) / 4
-    short = 1.0 if len(candidate) > len(reference) else math.exp(1 - len(reference) / len(candidate))
-    return short * math.exp(total)
-
-
-def _spans(a: str, b: str) -> tuple[list[str], list[str]]:
-    """Runs of words only in a, and only in b, that hold a letter or digit."""
-    words_a, words_b = re.findall(r"\s+|\S+", a), re.findall(r"\s+|\S+", b)
-    gone, come = [], []
-    for tag, i, j, k, l in difflib.SequenceMatcher(None, words_a, words_b, autojunk=False).get_opcodes():
-        if tag in ("replace", "delete"):
-            gone.append("".join(words_a[i:j]))
-        if tag in ("replace", "insert"):
-            come.append("".join(words_b[k:l]))
-    return [s for s in gone if _ALNUM.search(s)], [s for s in come if _ALNUM.search(s)]
-
-
-def align(old: list[str], new: list[str], least_score: float = 0.1) -> list[tuple]:
-    """Aligned sentences as (sent_a, sent_b, removed, added, type, score)."""
-    rows = []
-    matcher = difflib.SequenceMatcher(lambda s: s in " \n", old, new)
-    for tag, i, j, k, l in matcher.get_opcodes():
-        if tag == "equal":
-            rows += [(s, s, [], [], None, None) for s in old[i:j]]
-            continue
-        waiting = list(new[k:l])
-        for gone in old[i:j]:
-            for at in range(len(waiting) - 1, -1, -1):
-                score = bleu(gone.split(), waiting[at].split())
-                if score > least_score:
-                    come = waiting.pop(at)
-                    removed, added = _spans(gone, come)
-                    rows.append((gone, come, removed, added, None if gone == come else "EDIT", score))
-                    break
-            else:
-                rows.append((gone, "", [gone], [], "DELETE", None))
-        rows += [("", come, [], [come], "INSERT", None) for come in waiting]
-    return rows
-
-
-def sentence_diff(pairs: DataFrame, doc: str, old: str, new: str) -> DataFrame:
-    """One row per aligned sentence of each document pair; works pair by pair, never on a group of pairs."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [doc, "pos", "sent_a", "sent_b", "sent_a_diffs", "sent_b_diffs", "diff_type", "score"]
-        for frame in frames:
-            for key, a, b in zip(frame[doc], frame[old], frame[new]):
-                aligned = align(list(a), list(b))
-                yield pd.DataFrame([(key, i, *row) for i, row in enumerate(aligned)], columns=columns)
+def _occurrences(pairs: DataFrame, doc: str, sentences: str, side: str) -> DataFrame:
+    """Sentences of one version with their place, numbered among equal ones of the document."""
+    rows = pairs.select(doc, F.posexplode(sentences).alias(f"pos_{side}", "_s")).withColumn("_s", F.coalesce("_s", F.lit("")))
+    return rows.withColumn("_nth", F.row_number().over(W.partitionBy(doc, "_s").orderBy(f"pos_{side}")))
 
-    doc_type = pairs.schema[doc].dataType.simpleString()
-    shape = (
-        f"{doc} {doc_type}, pos int, sent_a string, sent_b string, sent_a_diffs array<string>, "
-        "sent_b_diffs array<string>, diff_type string, score double"
-    )
-    # Alignment costs far more than moving the texts, so spread it evenly first; a
-    # fixed partition count keeps adaptive execution from merging the tasks again.
-    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return pairs.select(doc, old, new).repartition(tasks, doc).mapInPandas(run, shape)
+
+def _words(sentence: str) -> Column:
+    return F.regexp_extract_all(sentence, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+
+
+def _grams(rest: DataFrame, doc: str, side: str) -> DataFrame:
+    """How often each run of 1 to 4 words occurs in each sentence."""
+    pos, size = f"pos_{side}", F.size("_w")
+    orders = rest.select(doc, pos, _words("_s").alias("_w")).where(size > 0).select(
+        doc, pos, "_w", size.alias(f"len_{side}"), F.explode(F.sequence(F.lit(1), F.least(F.lit(4), size))).alias("n"))
+    runs = F.transform(F.sequence(F.lit(1), size - F.col("n") + 1), lambda i: F.array_join(F.slice("_w", i, F.col("n")), " "))
+    return orders.select(doc, pos, f"len_{side}", "n", F.explode(runs).alias("gram")).groupBy(doc, pos, f"len_{side}", "n", "gram").agg(
+        F.count(F.lit(1)).alias(f"times_{side}"))
+
+
+def sentence_scores(old: DataFrame, new: DataFrame, doc: str) -> DataFrame:
+    """BLEU (orders 1 to 4, equal weights, new against old) of sentences of one document that share a run of four words.
+
+    `old` (doc, pos_a, _s), `new` (doc, pos_b, _s). Without such a run the score is 0, so the equi join
+    on runs finds every pair with a score.
+    """
+    a, b = _grams(old, doc, "a"), _grams(new, doc, "b")
+    longest = [df.where("n = 4").select(doc, f"pos_{side}", "gram") for df, side in ((a, "a"), (b, "b"))]
+    met = longest[0].join(longest[1], [doc, "gram"]).select(doc, "pos_a", "pos_b").distinct()
+    shared = met.join(a, [doc, "pos_a"]).join(b, [doc, "pos_b", "n", "gram"])
+    counts = shared.groupBy(doc, "pos_a", "pos_b").agg(
+        F.max("len_a").alias("len_a"), F.max("len_b").alias("len_b"),
+        *[F.sum(F.when(F.col("n") == n, F.least("times_a", "times_b"))).alias(f"hits_{n}") for n in range(1, 5)])
+    logs = sum((F.log(F.col(f"hits_{n}") / (F.col("len_b") - n + 1)) for n in range(1, 5)), F.lit(0.0))
+    short = F.least(F.lit(0.0), 1 - F.col("len_a") / F.col("len_b"))
+    return counts.select(doc, "pos_a", "pos_b", F.round(F.exp(short + logs / 4), 9).alias("score"))
+
+
+def _runs_only_in(mine: Column, other: Column) -> Column:
+    """Runs of words that the other sentence does not hold, if they have a letter or digit."""
+    gap = "\u0001"
+    marked = F.array_join(F.transform(mine, lambda w: F.when(F.array_contains(other, w), F.lit(gap)).otherwise(w)), " ")
+    return F.filter(F.transform(F.split(marked, gap), lambda run: F.trim(run)), lambda run: run.rlike("[a-zA-Z0-9]"))
+
+
+def sentence_diff(pairs: DataFrame, doc: str, old: str, new: str, least_score: float = 0.1) -> DataFrame:
+    """One row per aligned sentence of each document's two versions.
+
+    The n-th copy of a sentence is the same as the n-th copy in the other version, wherever it stands. Of the
+    rest, an old and a new sentence that are each other's best partner (by BLEU, then the nearer
+    place, then the lower places) and score above `least_score` are an EDIT; other old ones are a DELETE, other
+    new ones an INSERT. Returns doc, pos_a, pos_b, sent_a, sent_b, the runs of words found in one side only,
+    diff_type (null: unchanged) and score (edits only).
+
+    `doc` names one pair of versions and is not null. A null list is an empty version, a null sentence an empty one.
+    """
+    a, b = _occurrences(pairs, doc, old, "a"), _occurrences(pairs, doc, new, "b")
+    both = stage(a.join(b, [doc, "_s", "_nth"], "full"))
+    rest_a = both.where("pos_b is null").select(doc, "pos_a", "_s")
+    rest_b = both.where("pos_a is null").select(doc, "pos_b", "_s")
+    scored = stage(sentence_scores(rest_a, rest_b, doc).where(F.col("score") > least_score))
+    better = F.struct("score", -F.abs(F.col("pos_a") - F.col("pos_b")), -F.col("pos_a"), -F.col("pos_b"))
+    of_old = scored.groupBy(doc, "pos_a").agg(F.max_by("pos_b", better).alias("pos_b"), F.max("score").alias("score"))
+    of_new = scored.groupBy(doc, "pos_b").agg(F.max_by("pos_a", better).alias("pos_a"))
+    edits = stage(of_old.join(of_new, [doc, "pos_a", "pos_b"]))
+
+    none = F.array().cast("array<string>")
+    row = lambda sent_a, sent_b, gone, come, kind, score: [
+        doc, "pos_a", "pos_b", sent_a.alias("sent_a"), sent_b.alias("sent_b"), gone.alias("sent_a_diffs"), come.alias("sent_b_diffs"),
+        F.lit(kind).cast("string").alias("diff_type"), score.cast("double").alias("score")]
+    s, blank, no_place, no_score = F.col("_s"), F.lit(""), F.lit(None).cast("int"), F.lit(None)
+    same = both.where("pos_a is not null and pos_b is not null").select(*row(s, s, none, none, None, no_score))
+    texts = edits.join(rest_a.withColumnRenamed("_s", "_a"), [doc, "pos_a"]).join(rest_b.withColumnRenamed("_s", "_b"), [doc, "pos_b"])
+    edited = texts.select(*row(F.col("_a"), F.col("_b"), _runs_only_in(_words("_a"), _words("_b")),
+                               _runs_only_in(_words("_b"), _words("_a")), "EDIT", F.col("score")))
+    gone = rest_a.join(edits.select(doc, "pos_a"), [doc, "pos_a"], "left_anti").withColumn("pos_b", no_place)
+    come = rest_b.join(edits.select(doc, "pos_b"), [doc, "pos_b"], "left_anti").withColumn("pos_a", no_place)
+    return same.unionByName(edited).unionByName(gone.select(*row(s, blank, F.array(s), none, "DELETE", no_score))).unionByName(
+        come.select(*row(blank, s, none, F.array(s), "INSERT", no_score)))
 
 
 def revision_passages(diffs: DataFrame, n: int = 10) -> DataFrame:

@@ -38,9 +38,49 @@ def _(t):
     return edited.select("doc_id", "pos", F.md5(F.array_join(removed, "|")).alias("removed"), F.md5(F.array_join(added, "|")).alias("added"))
 
 
-@query("sentence_diff")
+_ONLY_IN = """list_filter(list_transform(string_split(array_to_string(
+    list_transform({0}, lambda x: CASE WHEN list_contains({1}, x) THEN chr(1) ELSE x END), ' '), chr(1)), lambda r: trim(r)),
+  lambda r: regexp_matches(r, '[a-zA-Z0-9]'))"""
+_GRAMS = """SELECT doc_id, pos, len(w) AS size, n, array_to_string(w[i : i + n - 1], ' ') AS gram, count(*) AS times FROM (
+    SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT *, unnest([1, 2, 3, 4]) AS n FROM {0})) GROUP BY ALL"""
+
+
+@query("sentence_diff", f"""WITH {REVISIONS},
+a AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sentence ORDER BY pos) AS nth FROM old_sents),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sentence ORDER BY pos) AS nth FROM new_sents),
+both_sides AS (SELECT doc_id, sentence, a.pos AS pos_a, b.pos AS pos_b, regexp_extract_all(sentence, '[^\\x20\\x09-\\x0D]+') AS w
+  FROM a FULL JOIN b USING (doc_id, sentence, nth)),
+rest_a AS (SELECT doc_id, pos_a AS pos, sentence, w FROM both_sides WHERE pos_b IS NULL),
+rest_b AS (SELECT doc_id, pos_b AS pos, sentence, w FROM both_sides WHERE pos_a IS NULL),
+ga AS ({_GRAMS.format("rest_a")}), gb AS ({_GRAMS.format("rest_b")}),
+counted AS (
+  SELECT ga.doc_id, ga.pos AS pos_a, gb.pos AS pos_b, ga.size AS size_a, gb.size AS size_b, n, sum(least(ga.times, gb.times)) AS hits
+  FROM ga JOIN gb USING (doc_id, n, gram) GROUP BY ALL),
+scored AS (
+  SELECT doc_id, pos_a, pos_b, round(exp(least(0, 1 - any_value(size_a) / any_value(size_b)) + sum(ln(hits / (size_b - n + 1))) / 4), 9) AS score
+  FROM counted GROUP BY doc_id, pos_a, pos_b HAVING count(*) = 4),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, pos_a ORDER BY score DESC, abs(pos_a - pos_b), pos_a, pos_b) AS best_a,
+         row_number() OVER (PARTITION BY doc_id, pos_b ORDER BY score DESC, abs(pos_a - pos_b), pos_a, pos_b) AS best_b
+  FROM scored WHERE score > 0.1),
+edits AS (SELECT * FROM ranked WHERE best_a = 1 AND best_b = 1),
+found AS (
+  SELECT doc_id, pos_a, pos_b, sentence AS sent_a, sentence AS sent_b, '' AS gone, '' AS come, NULL AS diff_type, NULL::DOUBLE AS score
+  FROM both_sides WHERE pos_a IS NOT NULL AND pos_b IS NOT NULL
+  UNION ALL
+  SELECT doc_id, pos_a, pos_b, x.sentence, y.sentence, array_to_string({_ONLY_IN.format("x.w", "y.w")}, '|'),
+         array_to_string({_ONLY_IN.format("y.w", "x.w")}, '|'), 'EDIT', score
+  FROM edits e JOIN rest_a x USING (doc_id) JOIN rest_b y USING (doc_id) WHERE x.pos = pos_a AND y.pos = pos_b
+  UNION ALL
+  SELECT doc_id, pos, NULL, sentence, '', sentence, '', 'DELETE', NULL FROM rest_a x ANTI JOIN edits e ON x.doc_id = e.doc_id AND x.pos = e.pos_a
+  UNION ALL
+  SELECT doc_id, NULL, pos, '', sentence, '', sentence, 'INSERT', NULL FROM rest_b x ANTI JOIN edits e ON x.doc_id = e.doc_id AND x.pos = e.pos_b)
+SELECT doc_id, CAST(pos_a AS INTEGER) AS pos_a, CAST(pos_b AS INTEGER) AS pos_b, sent_a, sent_b, gone AS sent_a_diffs, come AS sent_b_diffs,
+  diff_type, round(score, 6) AS score FROM found""")
 def _(t):
-    return D.sentence_diff(t.revisions, "doc_id", "old", "new")
+    out = D.sentence_diff(t.revisions, "doc_id", "old", "new")
+    lists = {c: F.array_join(c, "|") for c in ("sent_a_diffs", "sent_b_diffs")}
+    return out.withColumns({**lists, "score": F.round("score", 6)})
 
 
 @query("revision_passages", f"""WITH {REVISIONS}, sides AS (

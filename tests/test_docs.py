@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,22 +9,52 @@ from freshness.operators import docs as D
 from freshness.sources import io
 
 
-def test_alignment_gives_both_texts_back():
+def diff(spark, old, new):
+    pairs = spark.createDataFrame([(7, old, new)], "doc LONG, old ARRAY<STRING>, new ARRAY<STRING>")
+    return D.sentence_diff(pairs, "doc", "old", "new").collect()
+
+
+def test_alignment_gives_both_texts_back(spark):
     old = ["The cat sat on the mat. ", "It was a warm day. ", "Nobody came. ", "End."]
     new = ["The cat sat on the red mat. ", "It was a warm day. ", "Someone else arrived quite late. ", "End."]
-    rows = D.align(old, new)
-    assert "".join(r[0] for r in rows) == "".join(old)
-    assert [r[4] for r in rows] == ["EDIT", None, "DELETE", "INSERT", None]
-    assert rows[0][2:4] == ([], ["red "])
-    assert D.align(old, old) == [(s, s, [], [], None, None) for s in old]
-
-
-def test_bleu():
-    words = "a b c d e f".split()
-    assert D.bleu(words, words) == pytest.approx(1.0)
-    assert D.bleu(words, "x y z w".split()) == 0.0
-    assert D.bleu(words, "a b c d".split()) == pytest.approx(np.exp(1 - 6 / 4))
-    assert D.bleu(words, []) == 0.0
+    rows = diff(spark, old, new)
+    assert [r.sent_a for r in sorted((r for r in rows if r.pos_a is not None), key=lambda r: r.pos_a)] == old
+    assert [r.sent_b for r in sorted((r for r in rows if r.pos_b is not None), key=lambda r: r.pos_b)] == new
+    assert {(r.pos_a, r.pos_b, r.diff_type) for r in rows} == {(0, 0, "EDIT"), (1, 1, None), (2, None, "DELETE"), (None, 2, "INSERT"), (3, 3, None)}
+    edit = next(r for r in rows if r.diff_type == "EDIT")
+    assert (edit.sent_a_diffs, edit.sent_b_diffs) == ([], ["red"])
+    # the cat sat on the red mat: 6 of 7 words, 4 of 6 pairs, 3 of 5 triples, 2 of 4 runs of four are in the old sentence
+    assert edit.score == pytest.approx((6 / 7 * 4 / 6 * 3 / 5 * 2 / 4) ** 0.25)
+
+
+def test_alignment_of_copies_moves_and_nothing(spark):
+    one, two = "Alpha beta gamma delta epsilon. ", "Alpha beta gamma delta zeta. "
+    rows = diff(spark, [one, one, "x"], ["x", one, two])
+    assert {(r.pos_a, r.pos_b, r.diff_type) for r in rows} == {(0, 1, None), (1, 2, "EDIT"), (2, 0, None)}
+    assert diff(spark, None, []) == []
+    assert [(r.sent_a, r.diff_type) for r in diff(spark, [None], None)] == [("", "DELETE")]
+    assert {r.diff_type for r in diff(spark, [one, one], [one, one])} == {None}
+
+
+def test_scores_equal_brute_force(spark):
+    rng = np.random.default_rng(3)
+    texts = lambda n: [" ".join(rng.choice(list("abc"), size=rng.integers(1, 12))) for _ in range(n)]
+    old, new = texts(12), texts(12)
+    frame = lambda s, pos: spark.createDataFrame([(1, i, x) for i, x in enumerate(s)], f"doc LONG, {pos} INT, _s STRING")
+    got = {(r.pos_a, r.pos_b): r.score for r in D.sentence_scores(frame(old, "pos_a"), frame(new, "pos_b"), "doc").collect()}
+
+    def grams(words, n):
+        return Counter(zip(*[words[i:] for i in range(n)]))
+
+    want = {}
+    for i, a in enumerate(old):
+        for j, b in enumerate(new):
+            x, y = a.split(), b.split()
+            share = [sum((grams(x, n) & grams(y, n)).values()) / max(1, len(y) - n + 1) for n in range(1, 5)]
+            if min(share) > 0:
+                want[i, j] = min(1, np.exp(1 - len(x) / len(y))) * np.prod(share) ** 0.25
+    assert got.keys() == want.keys() and want
+    assert all(got[k] == pytest.approx(want[k], abs=1e-8) for k in want)
 
 
 def test_sentences_join_to_the_text(spark):

@@ -8,11 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from freshness.functions.scalars import forecast_at
 from freshness.operators.ordered import hour_slice, names, range_slices, with_global_rank, with_row_number, with_running
 from freshness.operators.windows import uniform_draw
 
-COLD_ERROR = 1e6  # score of keys never trained, total-error policy
+COLD_ERROR = 1e6  # score of keys never trained, total-error and forecast-error policies
 COLD_QUERIES = 1e8  # score of keys never refreshed, query-proportional policy
 
 
@@ -103,25 +102,28 @@ def max_staleness(now: Column, made: str = "last_update") -> Column:
     return (micros(now) - micros(F.col(made))) / 1e6
 
 
-def forecast_errors(points, models, key, order, t: str, value: str, slice_by, decimals: int = 6) -> DataFrame:
+def forecast_errors(points, models, predicted: Column, key, order, t: str, value: str, slice_by, decimals: int = 6) -> DataFrame:
     """Per key: total scaled error of the stored forecast on points newer than the model.
 
-    `points` (key, t, value) are the readings, `models` (key, model_t, forecast)
-    hold one model per key. The scale is the mean absolute one-step change of
-    the readings up to the model.
+    `points` (key, t, value) are the readings, `models` (key, model_t, ...) hold one model per key, and
+    `predicted` is its forecast for a reading, over the columns of both and defined at any age. The scale is
+    the mean absolute one-step change of the readings up to the model; without a change there the error is null.
+    All readings of a key without a model are waiting, and its error is `COLD_ERROR`.
     """
     stepped = with_running(points, key, order, slice_by, {"_prev": ("previous", F.struct(F.col(value).alias("v")))})
-    joined = stepped.join(models, names(key))
-    newer = F.col(t) > F.col("model_t")
-    miss = F.abs(F.col(value) - forecast_at("forecast", F.col(t), F.col("model_t") + 1))
+    joined = stepped.join(models, names(key), "left")
+    cold = F.col("model_t").isNull()
+    newer = cold | (F.col(t) > F.col("model_t"))
+    miss = F.abs(F.col(value) - predicted)
     naive = F.abs(F.col(value) - F.col("_prev.v"))
     per_key = joined.groupBy(*names(key)).agg(
         F.sum(F.when(newer, miss)).alias("_miss"),
         F.avg(F.when(~newer, naive)).alias("_scale"),
         F.count_if(newer).alias("pending"),
+        F.bool_or(cold).alias("_cold"),
     )
     scaled = F.round(F.col("_miss") / F.nullif(F.col("_scale"), F.lit(0.0)), decimals)
-    return per_key.select(*names(key), "pending", scaled.alias("error"))
+    return per_key.select(*names(key), "pending", F.when(F.col("_cold"), F.lit(COLD_ERROR)).otherwise(scaled).alias("error"))
 
 
 def forecast_error_score(previous: Column | None = None, epsilon: float | None = None) -> Column:

@@ -101,9 +101,9 @@ fe AS (
 
 def forecast_error_table(t):
     rows = t.indexed.select("key", "rn", "value")
-    ahead = F.transform(F.sequence(F.lit(1), F.lit(200)), lambda i: F.col("value") + F.lit(0.1) * i)
-    models = rows.where("rn = 40").select("key", F.col("rn").alias("model_t"), ahead.alias("forecast"))
-    return R.forecast_errors(rows, models, "key", "rn", "rn", "value", width_slice("rn", 65_536))
+    models = rows.where("rn = 40").select("key", F.col("rn").alias("model_t"), F.col("value").alias("base"))
+    predicted = F.col("base") + F.lit(0.1) * (F.col("rn") - F.col("model_t"))
+    return R.forecast_errors(rows, models, predicted, "key", "rn", "rn", "value", width_slice("rn", 65_536))
 
 
 @query("rank_forecast_error", f"""WITH {FORECAST_ERRORS}

@@ -1,11 +1,14 @@
 import itertools
+from datetime import datetime, timedelta
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from freshness.operators import priority as R
 from freshness.operators.ordered import width_slice
+from freshness.plans import catalog
 
 
 def inputs(spark, rows):
@@ -80,3 +83,26 @@ def test_shedding(spark):
     kept = R.shed_oldest(rows.where("key = 0 OR t < 6"), "key", "t", 6, width_slice("t", 3)).collect()
     assert sorted(r.t for r in kept if r.key == 0) == [14, 16, 18]
     assert sorted(r.t for r in kept if r.key == 1) == [1, 3, 5]
+
+
+def test_forecast_error_counts_every_reading_and_every_key(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    sizes, start = {1: 700, 2: 60, 3: 20, 4: 41, 5: 40}, datetime(2024, 1, 1)
+    rows = [(k, start + timedelta(minutes=i), float(rng.normal(25, 9))) for k, n in sizes.items() for i in range(n)]
+    rows = [(i, k, ts, value, "view") for i, (k, ts, value) in enumerate(rows)]
+    schema = "event_id LONG, user_id LONG, ts TIMESTAMP_NTZ, value DOUBLE, event_type STRING"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    want = duckdb.sql(f"""WITH i AS (
+      SELECT user_id AS key, value, row_number() OVER w AS rn, lag(value) OVER w AS prev FROM '{tmp_path}/events.parquet/*.parquet'
+      WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    e AS (
+      SELECT key, count(*) FILTER (base IS NULL OR rn > 40) AS pending, CASE WHEN any_value(base) IS NULL THEN 1000000 ELSE
+        round(sum(abs(value - (base + 0.1::DOUBLE * (rn - 40)))) FILTER (rn > 40) / avg(abs(value - prev)) FILTER (rn <= 40), 6) END AS error
+      FROM i LEFT JOIN (SELECT key, value AS base FROM i WHERE rn = 40) USING (key) GROUP BY key)
+    SELECT key, error, greatest(key % 40 + 2.5, error) FROM e WHERE pending > 0""").fetchall()
+    assert {k for k, *_ in want} == {1, 2, 3, 4}
+    for at, name in ((1, "rank_forecast_error"), (2, "rank_forecast_error_epsilon")):
+        got = {r.key: (r.score, r["rank"]) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()}
+        by_score = sorted(want, key=lambda r: (-r[at], r[0]))
+        assert {k: r for k, (_, r) in got.items()} == {r[0]: i + 1 for i, r in enumerate(by_score)}
+        assert all(got[r[0]][0] == pytest.approx(r[at], abs=1e-5) for r in want)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import difflib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -89,21 +91,54 @@ def sentence_scores(old: DataFrame, new: DataFrame, doc: str) -> DataFrame:
     return counts.select(doc, "pos_a", "pos_b", F.round(F.exp(short + logs / 4), 9).alias("score"))
 
 
-def _runs_only_in(mine: Column, other: Column) -> Column:
-    """Runs of words that the other sentence does not hold, if they have a letter or digit."""
-    gap = "\u0001"
-    marked = F.array_join(F.transform(mine, lambda w: F.when(F.array_contains(other, w), F.lit(gap)).otherwise(w)), " ")
-    return F.filter(F.transform(F.split(marked, gap), lambda run: F.trim(run)), lambda run: run.rlike("[a-zA-Z0-9]"))
+def _changed(old: list[str], new: list[str]) -> tuple[list[str], list[str]]:
+    """Runs of words that went and that came, by their place in the sequence, if they have a letter or digit."""
+    old, new = list(old), list(new)
+    head = next((i for i, (x, y) in enumerate(zip(old, new)) if x != y), min(len(old), len(new)))
+    most = min(len(old), len(new)) - head
+    tail = next((i for i in range(most) if old[-1 - i] != new[-1 - i]), most)
+    a, b = old[head : len(old) - tail], new[head : len(new) - tail]
+    steps = [s for s in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if s[0] != "equal"]
+    runs = [" ".join(a[i:j]) for _, i, j, _, _ in steps], [" ".join(b[k:l]) for _, _, _, k, l in steps]
+    return tuple([r for r in side if re.search("[a-zA-Z0-9]", r)] for side in runs)
+
+
+def changed_runs(old: Column, new: Column) -> Column:
+    """(gone, come) of two lists of words, as `_changed` gives them."""
+
+    def each(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_changed(x, y) for x, y in zip(a, b)], columns=["gone", "come"])
+
+    return F.pandas_udf(each, "gone array<string>, come array<string>")(old, new)
+
+
+def best_pairs(scored: DataFrame, doc: str) -> DataFrame:
+    """Pairs of sentences that are each other's best partner, then those of the sentences left, until none can be paired.
+
+    `scored` (doc, pos_a, pos_b, score) is staged. Each round is one set of joins over the pairs that are left; the
+    best pair of a document is always taken, and contested sentences in a chain need a round for each link.
+    """
+    better = F.struct("score", -F.abs(F.col("pos_a") - F.col("pos_b")), -F.col("pos_a"), -F.col("pos_b"))
+    found, left = scored.limit(0), scored
+    while not left.isEmpty():
+        of_old = left.groupBy(doc, "pos_a").agg(F.max_by("pos_b", better).alias("pos_b"), F.max("score").alias("score"))
+        of_new = left.groupBy(doc, "pos_b").agg(F.max_by("pos_a", better).alias("pos_a"))
+        best = stage(of_old.join(of_new, [doc, "pos_a", "pos_b"]))
+        found = found.unionByName(best)
+        for side in ("pos_a", "pos_b"):
+            left = left.join(best.select(doc, side), [doc, side], "left_anti")
+        left = stage(left)
+    return found
 
 
 def sentence_diff(pairs: DataFrame, doc: str, old: str, new: str, least_score: float = 0.1) -> DataFrame:
     """One row per aligned sentence of each document's two versions.
 
     The n-th copy of a sentence is the same as the n-th copy in the other version, wherever it stands. Of the
-    rest, an old and a new sentence that are each other's best partner (by BLEU, then the nearer
-    place, then the lower places) and score above `least_score` are an EDIT; other old ones are a DELETE, other
-    new ones an INSERT. Returns doc, pos_a, pos_b, sent_a, sent_b, the runs of words found in one side only,
-    diff_type (null: unchanged) and score (edits only).
+    rest, an old and a new sentence that are each other's best partner among those not yet paired (by BLEU, then the
+    nearer place, then the lower places) and score above `least_score` are an EDIT; other old ones are a DELETE, other
+    new ones an INSERT. Returns doc, pos_a, pos_b, sent_a, sent_b, the runs of words that went and that came (a word
+    that moves, or one copy of several, counts), diff_type (null: unchanged) and score (edits only).
 
     `doc` names one pair of versions and is not null. A null list is an empty version, a null sentence an empty one.
     """
@@ -112,10 +147,7 @@ def sentence_diff(pairs: DataFrame, doc: str, old: str, new: str, least_score: f
     rest_a = both.where("pos_b is null").select(doc, "pos_a", "_s")
     rest_b = both.where("pos_a is null").select(doc, "pos_b", "_s")
     scored = stage(sentence_scores(rest_a, rest_b, doc).where(F.col("score") > least_score))
-    better = F.struct("score", -F.abs(F.col("pos_a") - F.col("pos_b")), -F.col("pos_a"), -F.col("pos_b"))
-    of_old = scored.groupBy(doc, "pos_a").agg(F.max_by("pos_b", better).alias("pos_b"), F.max("score").alias("score"))
-    of_new = scored.groupBy(doc, "pos_b").agg(F.max_by("pos_a", better).alias("pos_a"))
-    edits = stage(of_old.join(of_new, [doc, "pos_a", "pos_b"]))
+    edits = stage(best_pairs(scored, doc))
 
     none = F.array().cast("array<string>")
     row = lambda sent_a, sent_b, gone, come, kind, score: [
@@ -124,8 +156,9 @@ def sentence_diff(pairs: DataFrame, doc: str, old: str, new: str, least_score: f
     s, blank, no_place, no_score = F.col("_s"), F.lit(""), F.lit(None).cast("int"), F.lit(None)
     same = both.where("pos_a is not null and pos_b is not null").select(*row(s, s, none, none, None, no_score))
     texts = edits.join(rest_a.withColumnRenamed("_s", "_a"), [doc, "pos_a"]).join(rest_b.withColumnRenamed("_s", "_b"), [doc, "pos_b"])
-    edited = texts.select(*row(F.col("_a"), F.col("_b"), _runs_only_in(_words("_a"), _words("_b")),
-                               _runs_only_in(_words("_b"), _words("_a")), "EDIT", F.col("score")))
+    runs = changed_runs(_words("_a"), _words("_b"))
+    edited = texts.withColumn("_runs", runs).select(
+        *row(F.col("_a"), F.col("_b"), F.col("_runs.gone"), F.col("_runs.come"), "EDIT", F.col("score")))
     gone = rest_a.join(edits.select(doc, "pos_a"), [doc, "pos_a"], "left_anti").withColumn("pos_b", no_place)
     come = rest_b.join(edits.select(doc, "pos_b"), [doc, "pos_b"], "left_anti").withColumn("pos_a", no_place)
     return same.unionByName(edited).unionByName(gone.select(*row(s, blank, F.array(s), none, "DELETE", no_score))).unionByName(

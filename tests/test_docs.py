@@ -36,6 +36,31 @@ def test_alignment_of_copies_moves_and_nothing(spark):
     assert {r.diff_type for r in diff(spark, [one, one], [one, one])} == {None}
 
 
+@pytest.mark.parametrize("old,new,gone,come", [
+    ("The cat sat on the mat in the sun", "The cat sat on mat in the sun", ["the"], []),
+    ("The cat sat on mat in the sun", "The cat sat on the mat in the sun", [], ["the"]),
+    ("They said on that day that A met B", "They said on that day that B met A", ["met B"], ["B met"]),
+    ("Go on and on and on and on now", "Go on and on and on now", ["and on"], []),
+    ("He was here - on the first day", "He was here on the first day", [], []),
+])
+def test_repeated_and_moved_words_are_changes(spark, old, new, gone, come):
+    (row,) = diff(spark, [old], [new])
+    assert (row.diff_type, row.sent_a_diffs, row.sent_b_diffs) == ("EDIT", gone, come)
+
+
+def test_contested_sentences_take_the_next_best_partner(spark):
+    old = ["a b c d e f g", "a b c d e f k m", "a b c d e f k m p q r s"]
+    new = ["a b c d e f h", "a b c d n o", "a b c d v w x y"]
+    rows = diff(spark, old, new)
+    frame = lambda s, pos: spark.createDataFrame([(7, i, x) for i, x in enumerate(s)], f"doc LONG, {pos} INT, _s STRING")
+    scores = {(r.pos_a, r.pos_b): r.score for r in D.sentence_scores(frame(old, "pos_a"), frame(new, "pos_b"), "doc").collect() if r.score > 0.1}
+    want = set()
+    for i, j in sorted(scores, key=lambda p: (-scores[p], abs(p[0] - p[1]), *p)):
+        if all(i != x and j != y for x, y in want):
+            want.add((i, j))
+    assert {(r.pos_a, r.pos_b) for r in rows if r.diff_type == "EDIT"} == want and len(want) == 3
+
+
 def test_scores_equal_brute_force(spark):
     rng = np.random.default_rng(3)
     texts = lambda n: [" ".join(rng.choice(list("abc"), size=rng.integers(1, 12))) for _ in range(n)]

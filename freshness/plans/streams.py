@@ -33,6 +33,13 @@ def drain(t, stream, mode="append"):
     return t.spark.read.schema(stream.schema).parquet(out)
 
 
+def drain_windows(t, stream, key):
+    """Run an aggregated stream to its end and read the last state of every window, open ones included."""
+    out, marks = fresh_folder(t, "windows"), fresh_folder(t, "marks")
+    T.stream_table(stream, out, marks).trigger(availableNow=True).start().awaitTermination()
+    return T.current_table(t.spark, out, key)
+
+
 @query("replay_source", f"WITH {READINGS} SELECT * FROM readings")
 def _(t):
     return drain(t, replay(t, t.readings, ["ts", "event_id"]))
@@ -55,7 +62,7 @@ def _(t):
         F.col("user_id").alias("key"), "ts", "value", F.regexp_extract("props", "[0-9]+", 0).cast("double").alias("w"), "event_id"
     )
     stream = T.stream_watermark(replay(t, rows, ["ts", "event_id"]), "ts", "1 hour")
-    out = drain(t, T.stream_tumbling(stream, "key", "ts", "value", "w"))
+    out = drain_windows(t, T.stream_tumbling(stream, "key", "ts", "value", "w"), ["key", "window_start", "window_end"])
     ntz = {c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")}
     return out.withColumns(ntz).withColumn("weighted_avg", F.round("weighted_avg", 7))
 
@@ -64,7 +71,7 @@ def _(t):
 HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR""")
 def _(t):
     stream = T.stream_watermark(replay(t, t.readings, ["ts", "event_id"]), "ts", "2 hours")
-    out = drain(t, stream.groupBy(F.window("ts", "1 day").alias("w")).agg(F.count(F.lit(1)).alias("n")))
+    out = drain_windows(t, stream.groupBy(F.window("ts", "1 day").alias("w")).agg(F.count(F.lit(1)).alias("n")), "w")
     return out.select(F.col("w.start").cast("timestamp_ntz").alias("day"), "n")
 
 

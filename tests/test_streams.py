@@ -1,3 +1,6 @@
+import os
+
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -5,6 +8,7 @@ from pyspark.sql import functions as F
 
 from freshness.operators import priority as R, windows as N
 from freshness.operators.ordered import width_slice
+from freshness.plans import catalog
 from freshness.sources import io
 from freshness.streaming import streams as T
 
@@ -114,3 +118,29 @@ def test_memory_sink(spark, tmp_path, ratings):
     q.processAllAvailable()
     q.stop()
     assert spark.table("seen_counts").agg(F.sum("n")).first()[0] == len(ratings)
+
+
+def test_every_window_comes_out(spark):
+    folder = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    want = duckdb.sql(f"""SELECT user_id, date_trunc('hour', ts), date_trunc('hour', ts) + INTERVAL 1 HOUR,
+      round(sum(value * CAST(regexp_extract(props, '[0-9]+') AS DOUBLE)) / nullif(sum(CAST(regexp_extract(props, '[0-9]+') AS DOUBLE)), 0), 7), count(*)
+      FROM '{folder}/events.parquet' GROUP BY ALL""").fetchall()
+    rows = catalog.QUERIES["stream_tumbling"](spark, folder).collect()
+    got = {(r.key, r.window_start): (r.window_end, r.n, r.weighted_avg) for r in rows}
+    assert len(rows) == len(want) and got.keys() == {r[:2] for r in want}
+    assert all(got[r[:2]][:2] == (r[2], r[4]) for r in want)
+    assert all(got[r[:2]][2] == (None if r[3] is None else pytest.approx(r[3], abs=1e-6)) for r in want)
+    days = duckdb.sql(f"SELECT date_trunc('day', ts) AS day, count(*) AS n FROM '{folder}/events.parquet' GROUP BY 1").fetchall()
+    got = catalog.QUERIES["stream_watermark"](spark, folder).select("day", "n").collect()
+    assert sorted((r.day.date(), r.n) for r in got) == sorted((getattr(d, "date", lambda: d)(), n) for d, n in days)
+
+
+def test_a_window_open_over_batches_keeps_its_last_state(spark, tmp_path):
+    rows = spark.range(0, 40).select(F.timestamp_seconds(F.col("id") * 60).alias("ts"), (F.col("id") % 2).alias("key"))
+    io.write_replay(rows, "ts", str(tmp_path / "src"), 4)
+    stream = T.stream_watermark(io.replay_source(spark, str(tmp_path / "src"), rows.schema), "ts", "1 hour")
+    counts = stream.groupBy(F.window("ts", "1 hour").alias("w"), "key").agg(F.count(F.lit(1)).alias("n"))
+    T.stream_table(counts, str(tmp_path / "log"), str(tmp_path / "marks")).trigger(availableNow=True).start().awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "log")).count() > 2
+    got = T.current_table(spark, str(tmp_path / "log"), ["w", "key"])
+    assert sorted((r.key, r.n) for r in got.collect()) == [(0, 20), (1, 20)]

@@ -1,5 +1,7 @@
 """Section 2.4: aggregates."""
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from freshness.operators import aggs as A, joins as J
@@ -202,13 +204,20 @@ def _(t):
     return A.view_shares(daily, "user_id", "n").withColumn("share", F.round("share", 6))
 
 
-DAYS = [f"202401{d:02d}00" for d in range(1, 31)]
+EPOCH_DAY = "2023-12-31"
+
+
+def view_days(t):
+    """Names of the days from the first view to the last, also those without a view."""
+    day, epoch = F.to_date("ts"), F.lit(EPOCH_DAY).cast("date")
+    first, last = t.views.agg(F.coalesce(F.min(day), epoch), F.coalesce(F.max(day), epoch)).first()
+    return [f"{first + timedelta(days=i):%Y%m%d}00" for i in range((last - first).days + 1)]
 
 
-def views_wide(t):
+def views_wide(t, days):
     """Views of each user, one column per day."""
     day = F.date_format("ts", "yyyyMMdd'00'")
-    return t.views.withColumn("day", day).groupBy("user_id").pivot("day", DAYS).agg(F.count(F.lit(1))).fillna(0)
+    return t.views.withColumn("day", day).groupBy("user_id").pivot("day", days).agg(F.count(F.lit(1))).fillna(0)
 
 
 @query("views_long", """WITH d AS (SELECT unnest(range(0, 30)) AS i), u AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'view'),
@@ -216,7 +225,8 @@ v AS (SELECT user_id, date_diff('day', TIMESTAMP '2024-01-01', ts) AS i, count(*
 SELECT u.user_id, DATE '2024-01-01' + CAST(d.i AS INTEGER) AS day, coalesce(v.n, 0) AS n_views, (d.i + 1) * 1440 AS ts_min
 FROM u CROSS JOIN d LEFT JOIN v ON v.user_id = u.user_id AND v.i = d.i""")
 def _(t):
-    return A.views_long(views_wide(t), "user_id", DAYS, "2023-12-31")
+    days = view_days(t)
+    return A.views_long(views_wide(t, days), "user_id", days, EPOCH_DAY)
 
 
 @query("weight_buckets", """WITH w AS (SELECT user_id, greatest(count(*) // 10, 1) AS w FROM events GROUP BY user_id)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from freshness.llm import chat_format, decontaminate, hard_negatives, html_text, jaccard_join, lm_score, packing, quality_knn, quality_rules, spelling, token_counts, url_filter
+from freshness.llm import chat_format, chosen_path, decontaminate, hard_negatives, html_text, jaccard_join, lm_score, packing, quality_knn, quality_rules, spelling, token_counts, url_filter
 from freshness.llm.text import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -209,6 +209,14 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+# --- op11: near duplicates
+
+
+@query("op11_chosen_path")
+def op11_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.link_near_copies(read(spark, sf_dir, "documents"))
+
+
 # --- op12: hard negatives
 
 

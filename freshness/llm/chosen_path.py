@@ -7,8 +7,8 @@ table (node, set) that is shuffled, counted and branched as a whole.
 
 In each node the sets are first compared with one of them, the leader. What is similar is linked, and nodes whose sets all belong
 to one component are done: large groups of near copies end here. Nodes with few sets outside their largest component
-are leaves, and are compared exhaustively on sketches, in cells of bounded size; all others branch again.
-Links are confirmed on full sets, 100 * intersection >= 85 * union; pairs that fail are not asked again.
+are leaves, and are compared exhaustively in cells of bounded size: first on sketches, then the sets that have a candidate partner
+as a whole. All other nodes branch again. Links are confirmed on full sets, 100 * intersection >= 85 * union.
 
 Recall: a pair of similarity 0.85 stays together with probability about 0.87 at each depth, so ten trees miss it with 1e-9 in leaves of depth
 1, 2e-5 at depth 3 and 0.4 % at depth 6; sketches of 64 tokens hide it with about 4e-4. More similar pairs are missed
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from freshness.llm.components import connected_components
-from freshness.llm.set_pairs import key_head, set_key, shingle_sets, similar_pairs
+from freshness.llm.set_pairs import key_head, set_key, sets_of, shared, shingle_sets, similar_pairs
 from freshness.llm.text import _mix, raw, sliced
 from freshness.session import stage
 
@@ -36,8 +36,9 @@ COORDINATES = 64  # minwise tokens of a set
 TREES = 10
 SECOND = 100 / PERCENT - 1  # share of nodes that pick two coordinates
 AGREE = 44  # sketch bytes of 64 that agree in a candidate pair; 85 % of them minus 3.5 standard deviations
-OUTSIDE = 256  # sets outside the largest component of a node, up to which it is a leaf
-CHUNK = 1024  # sets of the largest component that are compared in one cell
+OUTSIDE = 512  # sets outside the largest component of a node, up to which it is a leaf
+CHUNK = 1024  # sets of a leaf that are streamed through one cell
+HELD = 32 << 20  # bytes of sets that a cell holds
 _FACTORS = _mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -130,67 +131,109 @@ def _mixed(members: DataFrame, parts: DataFrame) -> DataFrame:
     return placed.join(nodes, "node")
 
 
-def _leaf_pairs(leaves: DataFrame, sketches: DataFrame, forest: bool) -> DataFrame:
-    """Candidate pairs (a, b) of different components in leaves; with `forest` only those that could connect the components of a cell.
+def _cells(leaves: DataFrame, weight: str) -> DataFrame:
+    """(node, chunk, part, kind, key, comp) for each set of each cell of the leaves (`_mixed` members with a `weight` in bytes).
 
-    The sets of the largest component are dealt into chunks; the few others are sent to every chunk and compared with it, and in the
-    first chunk also with each other.
+    The sets of a leaf are dealt into chunks and streamed (kind 1) past those outside its largest component, which are sent
+    to every chunk and held (kind 0), in parts if they are large. So each pair of different components meets, and rows grow with the leaf.
     """
-    chunks = F.ceil(F.col("high") / CHUNK)
-    home = F.when(F.col("comp") == F.col("main"), F.array(F.pmod(F.xxhash64("key"), chunks))).otherwise(F.sequence(F.lit(0).cast("long"), chunks - 1))
-    cells = leaves.select("node", F.explode(home).alias("chunk"), (F.col("comp") == F.col("main")).cast("int").alias("base"), "key", "comp").join(sketches, "key")
-    cells = cells.select("node", "chunk", "base", "key", "comp", "n", "sketch").repartition("node", "chunk").sortWithinPartitions("node", "chunk", "base", "key")
-
-    def compare(rows: list[pa.RecordBatch], chunk: int):
-        table = pa.Table.from_batches(rows)
-        keys, comps, base = table["key"].to_pylist(), table["comp"].to_pylist(), np.asarray(table["base"])
-        sizes, sketch = np.asarray(table["n"]), np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, COORDINATES)
-        number = {c: i for i, c in enumerate(dict.fromkeys(comps))}
-        comp = np.array([number[c] for c in comps])
-        askers = int((base == 0).sum())
-        found = []
-        for i in range(askers):
-            start = i + 1 if chunk == 0 else askers
-            agree = (sketch[start:] == sketch[i]).sum(axis=1)
-            ok = (agree >= AGREE) & (comp[start:] != comp[i])
-            ok &= 100 * np.minimum(sizes[start:], sizes[i]) >= PERCENT * np.maximum(sizes[start:], sizes[i])
-            found += [(-int(agree[j]), i, start + int(j)) for j in np.flatnonzero(ok)]
-        if forest:
-            root = list(range(len(number)))
-
-            def find(x):
-                while root[x] != x:
-                    root[x] = root[root[x]]
-                    x = root[x]
-                return x
-
-            kept = []
-            for score, i, j in sorted(found):
-                x, y = find(comp[i]), find(comp[j])
-                if x != y:
-                    root[x] = y
-                    kept.append((score, i, j))
-            found = kept
-        pairs = [(keys[i], keys[j]) for _, i, j in found]
-        return pa.RecordBatch.from_arrays([pa.array([max(p) for p in pairs], pa.binary()), pa.array([min(p) for p in pairs], pa.binary())], names=["a", "b"])
+    outside = F.col("comp") != F.col("main")
+    held = leaves.where(outside).groupBy("node").agg(F.ceil(F.sum(weight) / HELD).alias("parts"))
+    shaped = leaves.join(held, "node").withColumn("chunks", F.ceil(F.col("size") / CHUNK))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    own_chunk, own_part = F.pmod(F.xxhash64("key"), F.col("chunks")), F.pmod(F.xxhash64("key", F.lit(1)), F.col("parts"))
+    place = lambda chunk, part, kind: F.struct(chunk.alias("chunk"), part.alias("part"), F.lit(kind).alias("kind"))
+    streamed = F.transform(upto("parts"), lambda part: place(own_chunk, part, 1))
+    kept = F.when(outside, F.transform(upto("chunks"), lambda chunk: place(chunk, own_part, 0))).otherwise(F.array().cast("array<struct<chunk:bigint,part:bigint,kind:int>>"))
+    return shaped.select("node", "key", "comp", F.explode(F.concat(streamed, kept)).alias("at")).select("node", "at.chunk", "at.part", "at.kind", "key", "comp")
+
+
+def _by_cell(batches, columns: int):
+    """(cell, kind, rows) for consecutive rows of one cell (node, chunk, part) and kind; a stretch may come in several pieces."""
+    for batch in batches:
+        marks = [np.asarray(batch.column(i)) for i in range(4)]
+        cuts = np.flatnonzero(np.any([np.diff(m) != 0 for m in marks], axis=0)) + 1
+        for start, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), len(batch)]):
+            if start < stop:
+                yield tuple(int(m[start]) for m in marks[:3]), int(marks[3][start]), [batch.column(i).slice(start, stop - start) for i in range(4, columns)]
+
+
+def _allowed(n: int, sizes: np.ndarray) -> np.ndarray:
+    return 100 * np.minimum(sizes, n) >= PERCENT * np.maximum(sizes, n)
+
+
+def _open_leaves(leaves: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(node, key): sets that have a candidate partner of another component in a leaf, by sketch.
+
+    A pair that shares several leaves belongs to the one with the smallest number, so it is compared once.
+    """
+    homes = leaves.groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("homes"))
+    cells = _cells(leaves.withColumn("weight", F.lit(COORDINATES)), "weight").join(sketches, "key").join(homes, "key")
+    cells = cells.select("node", "chunk", "part", "kind", "key", "comp", "n", "sketch", "homes").repartition("node", "chunk", "part")
 
     def run(batches):
-        cell, rows = None, []
-        for batch in batches:
-            nodes, chunk = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            cuts = np.flatnonzero((np.diff(nodes) != 0) | (np.diff(chunk) != 0)) + 1
-            for start, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), len(batch)]):
-                if start == stop:
-                    continue
-                if cell != (nodes[start], chunk[start]):
-                    if rows:
-                        yield compare(rows, int(cell[1]))
-                    cell, rows = (nodes[start], chunk[start]), []
-                rows.append(batch.slice(start, stop - start))
-        if rows:
-            yield compare(rows, int(cell[1]))
+        cell, held, rows = None, [], 0
+        for at, kind, (keys, comps, sizes, sketch, homes) in _by_cell(batches, 9):
+            if at != cell:
+                cell, held = at, []
+            table = np.frombuffer(b"".join(sketch.to_pylist()), np.uint8).reshape(-1, COORDINATES)
+            entries = (keys.to_pylist(), np.array(comps.to_pylist(), object), np.asarray(sizes), table, homes.to_pylist())
+            if kind == 0:
+                held += zip(*entries)
+                continue
+            names, groups, sizes, table, homes = entries
+            open_ = set()
+            for key, comp, n, mine, home in held:
+                ok = ((table == mine).sum(axis=1) >= AGREE) & (groups != comp) & _allowed(n, sizes)
+                home = set(home)
+                for j in np.flatnonzero(ok).tolist():
+                    if next(h for h in homes[j] if h in home) == at[0]:
+                        open_.update((key, names[j]))
+            if open_:
+                yield pa.RecordBatch.from_arrays([pa.array([at[0]] * len(open_), pa.int64()), pa.array(sorted(open_), pa.binary())], names=["node", "key"])
+
+    return cells.sortWithinPartitions("node", "chunk", "part", "kind").mapInArrow(run, "node long, key binary").distinct()
+
+
+def _leaf_links(source: DataFrame, classes: DataFrame, leaves: DataFrame, width: int) -> DataFrame:
+    """Links (a, b) that connect the components of leaves; `leaves` are `_mixed` members, compared on whole sets cell by cell."""
+    sized = leaves.join(classes.select("key", "n"), "key").withColumn("weight", F.col("n") * 8)
+    places = stage(_cells(sized, "weight"))
+    sets, wanted = sets_of(source, classes, places.select("key").distinct(), width)
+    cells = places.join(sets, "key").select("node", "chunk", "part", "kind", "key", "comp", "tokens")
 
-    return cells.mapInArrow(run, "a binary, b binary").distinct()
+    def run(batches):
+        cell, held, root = None, [], {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        for at, kind, (keys, comps, sets) in _by_cell(batches, 7):
+            if at != cell:
+                cell, held, root = at, [], {}
+            left, right = [], []
+            for key, comp, packed in zip(keys.to_pylist(), comps.to_pylist(), sets.to_pylist()):
+                tokens = np.frombuffer(packed, np.uint64)
+                if kind == 0:
+                    held.append((key, comp, tokens))
+                    continue
+                for other, theirs, hub in held:
+                    if find(comp) == find(theirs) or not _allowed(len(tokens), np.array(len(hub))):
+                        continue
+                    both = shared(hub, tokens)
+                    if 100 * both >= PERCENT * (len(hub) + len(tokens) - both):
+                        root[find(comp)] = find(theirs)
+                        left.append(key)
+                        right.append(other)
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
+
+    ordered = cells.repartition("node", "chunk", "part").sortWithinPartitions("node", "chunk", "part", "kind")
+    found = stage(ordered.mapInArrow(run, "a binary, b binary"))
+    wanted.destroy()
+    return found
 
 
 def link_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
@@ -199,24 +242,16 @@ def link_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     profile = stage(_profile(source, width))
     classes = stage(profile.where("key is not null").groupBy("key").agg(F.first("n").alias("n"), F.first("head").alias("head"), F.first("sig").alias("sig")))
     sketches = stage(_sketches(classes))
-    schema = "a binary, b binary"
-    links = tested = source.sparkSession.createDataFrame([], schema)
+    links = tested = source.sparkSession.createDataFrame([], "a binary, b binary")
     parts = source.sparkSession.createDataFrame([], "node binary, component binary")
 
-    def confirm(pairs: DataFrame) -> bool:
-        """Ask for new pairs, add what they show to the links and renew the components."""
-        nonlocal links, tested, parts
-        new = stage(pairs.join(tested, ["a", "b"], "left_anti"))
-        if new.isEmpty():
-            return False
-        links = links.unionByName(similar_pairs(source, classes, new, PERCENT, width))
-        tested = tested.unionByName(new)
-        parts = stage(connected_components(links))
-        return True
-
     frontier, leaves = stage(_first_nodes(classes)), []
     while True:
-        confirm(_leader_pairs(frontier, sketches))
+        new = stage(_leader_pairs(frontier, sketches).join(tested, ["a", "b"], "left_anti"))
+        if not new.isEmpty():
+            links = links.unionByName(similar_pairs(source, classes, new, PERCENT, width))
+            tested = tested.unionByName(new)
+            parts = stage(connected_components(links))
         mixed = stage(_mixed(frontier, parts))
         leaves.append(mixed.where(F.col("size") - F.col("high") <= OUTSIDE).select("node", "key"))
         large = mixed.where(F.col("size") - F.col("high") > OUTSIDE)
@@ -226,9 +261,10 @@ def link_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     together = leaves[0]
     for more in leaves[1:]:
         together = together.unionByName(more)
-    for forest in (True, False):
-        if not confirm(_leaf_pairs(_mixed(together, parts), sketches, forest)):
-            break
+    open_ = stage(_open_leaves(stage(_mixed(together, parts)), sketches))
+    if not open_.isEmpty():
+        links = links.unionByName(_leaf_links(source, classes, _mixed(open_, parts), width))
+        parts = stage(connected_components(links))
 
     rows = profile.join(parts.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     named = rows.where("key is not null").groupBy("component").agg(F.min("doc_id").alias("first"))

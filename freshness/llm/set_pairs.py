@@ -96,6 +96,13 @@ def _against_hub(percent: int):
     return run
 
 
+def sets_of(source: DataFrame, classes: DataFrame, keys: DataFrame, width: int):
+    """(key, tokens) of the wanted keys, which are distinct, from the documents; and the Bloom filter's broadcast, to destroy after use."""
+    needed = stage(classes.select("key", "head").join(keys, "key", "left_semi"))
+    wanted = source.sparkSession.sparkContext.broadcast(bloom_table(needed, "head", needed.count()))
+    return _wanted_sets(source, width, wanted).join(needed.select("key"), "key", "left_semi").dropDuplicates(["key"]), wanted
+
+
 def similar_pairs(source: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int, width: int) -> DataFrame:
     """Those of the pairs (a, b) of set keys with 100 * intersection >= percent * union, staged.
 
@@ -109,9 +116,7 @@ def similar_pairs(source: DataFrame, classes: DataFrame, pairs: DataFrame, perce
     own = hubs.select(F.col("b").alias("key"), "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"),
                       F.lit(None).cast("binary").alias("a"))
     routes = stage(routes.unionByName(own))
-    needed = stage(classes.select("key", "head").join(routes.select("key").distinct(), "key", "left_semi"))
-    wanted = spark.sparkContext.broadcast(bloom_table(needed, "head", needed.count()))
-    sets = _wanted_sets(source, width, wanted).join(needed.select("key"), "key", "left_semi").dropDuplicates(["key"])
+    sets, wanted = sets_of(source, classes, routes.select("key").distinct(), width)
     cells = sets.join(routes, "key").select("b", "part", "kind", "a", "tokens").repartition("b", "part").sortWithinPartitions("b", "part", "kind")
     found = stage(cells.mapInArrow(_against_hub(percent), "a binary, b binary"))
     wanted.destroy()

@@ -5,8 +5,8 @@ coordinates, and its sets go on to one child for each, named by their minwise to
 expected to meet in s / 0.85 children of a node. Ten independent trees start at once, and all their nodes of one depth are a
 table (node, set) that is shuffled, counted and branched as a whole.
 
-In each node the sets are first compared with one of them, the leader. What is similar is linked, and nodes whose sets all belong
-to one component are done: large groups of near copies end here. Nodes with few sets outside their largest component
+At the first depth, and every fourth from there, the sets of each node are compared with one of them, the leader. What is similar is
+linked, and nodes whose sets all belong to one component are done: large groups of near copies end here. Nodes with few sets outside their largest component
 are leaves, and are compared exhaustively in cells of bounded size: first on sketches, then the sets that have a candidate partner
 as a whole. All other nodes branch again. Links are confirmed on full sets, 100 * intersection >= 85 * union.
 
@@ -36,8 +36,9 @@ COORDINATES = 64  # minwise tokens of a set
 TREES = 10
 SECOND = 100 / PERCENT - 1  # share of nodes that pick two coordinates
 AGREE = 44  # sketch bytes of 64 that agree in a candidate pair; 85 % of them minus 3.5 standard deviations
-OUTSIDE = 512  # sets outside the largest component of a node, up to which it is a leaf
-CHUNK = 1024  # sets of a leaf that are streamed through one cell
+OUTSIDE = 2048  # sets outside the largest component of a node, up to which it is a leaf
+LED = 4  # depths from one comparison with leaders to the next
+CHUNK = 256  # sets of a leaf that are streamed through one cell
 HELD = 32 << 20  # bytes of sets that a cell holds
 _FACTORS = _mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -162,13 +163,14 @@ def _allowed(n: int, sizes: np.ndarray) -> np.ndarray:
     return 100 * np.minimum(sizes, n) >= PERCENT * np.maximum(sizes, n)
 
 
-def _open_leaves(leaves: DataFrame, sketches: DataFrame) -> DataFrame:
-    """(node, key): sets that have a candidate partner of another component in a leaf, by sketch.
+def _homes(leaves: DataFrame) -> DataFrame:
+    """(key, homes): the leaves of each set, a few for each tree, in order. A pair belongs to the first that both have, so it is compared once."""
+    return leaves.groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("homes"))
 
-    A pair that shares several leaves belongs to the one with the smallest number, so it is compared once.
-    """
-    homes = leaves.groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("homes"))
-    cells = _cells(leaves.withColumn("weight", F.lit(COORDINATES)), "weight").join(sketches, "key").join(homes, "key")
+
+def _open_leaves(leaves: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(node, key): sets that have a candidate partner of another component in a leaf, by sketch."""
+    cells = _cells(leaves.withColumn("weight", F.lit(COORDINATES)), "weight").join(sketches, "key").join(_homes(leaves), "key")
     cells = cells.select("node", "chunk", "part", "kind", "key", "comp", "n", "sketch", "homes").repartition("node", "chunk", "part")
 
     def run(batches):
@@ -200,31 +202,34 @@ def _leaf_links(source: DataFrame, classes: DataFrame, leaves: DataFrame, width:
     sized = leaves.join(classes.select("key", "n"), "key").withColumn("weight", F.col("n") * 8)
     places = stage(_cells(sized, "weight"))
     sets, wanted = sets_of(source, classes, places.select("key").distinct(), width)
-    cells = places.join(sets, "key").select("node", "chunk", "part", "kind", "key", "comp", "tokens")
+    cells = places.join(sets, "key").join(_homes(leaves), "key").select("node", "chunk", "part", "kind", "key", "comp", "tokens", "homes")
 
     def run(batches):
-        cell, held, root = None, [], {}
+        cell, held, root, table, sizes = None, [], {}, None, None
 
         def find(x):
             while root.setdefault(x, x) != x:
                 x = root[x]
             return x
 
-        for at, kind, (keys, comps, sets) in _by_cell(batches, 7):
+        for at, kind, (keys, comps, sets, homes) in _by_cell(batches, 8):
             if at != cell:
-                cell, held, root = at, [], {}
+                cell, held, root, table, sizes = at, [], {}, np.empty((0, COORDINATES), np.uint8), np.empty(0, np.int64)
+            tokens = [np.frombuffer(packed, np.uint64) for packed in sets.to_pylist()]
+            mine, theirs = minwise(tokens).astype(np.uint8), np.array([len(t) for t in tokens])
+            if kind == 0:
+                held += zip(keys.to_pylist(), comps.to_pylist(), tokens, map(set, homes.to_pylist()))
+                table, sizes = np.concatenate((table, mine)), np.concatenate((sizes, theirs))
+                continue
             left, right = [], []
-            for key, comp, packed in zip(keys.to_pylist(), comps.to_pylist(), sets.to_pylist()):
-                tokens = np.frombuffer(packed, np.uint64)
-                if kind == 0:
-                    held.append((key, comp, tokens))
-                    continue
-                for other, theirs, hub in held:
-                    if find(comp) == find(theirs) or not _allowed(len(tokens), np.array(len(hub))):
+            for key, comp, whole, sketch, home in zip(keys.to_pylist(), comps.to_pylist(), tokens, mine, homes.to_pylist()):
+                for i in np.flatnonzero(((table == sketch).sum(axis=1) >= AGREE) & _allowed(len(whole), sizes)).tolist():
+                    other, apart, hub, known = held[i]
+                    if find(comp) == find(apart) or next(h for h in home if h in known) != at[0]:
                         continue
-                    both = shared(hub, tokens)
-                    if 100 * both >= PERCENT * (len(hub) + len(tokens) - both):
-                        root[find(comp)] = find(theirs)
+                    both = shared(hub, whole)
+                    if 100 * both >= PERCENT * (len(hub) + len(whole) - both):
+                        root[find(comp)] = find(apart)
                         left.append(key)
                         right.append(other)
             if left:
@@ -245,13 +250,15 @@ def link_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     links = tested = source.sparkSession.createDataFrame([], "a binary, b binary")
     parts = source.sparkSession.createDataFrame([], "node binary, component binary")
 
-    frontier, leaves = stage(_first_nodes(classes)), []
+    frontier, leaves, depth = stage(_first_nodes(classes)), [], 0
     while True:
-        new = stage(_leader_pairs(frontier, sketches).join(tested, ["a", "b"], "left_anti"))
-        if not new.isEmpty():
-            links = links.unionByName(similar_pairs(source, classes, new, PERCENT, width))
-            tested = tested.unionByName(new)
-            parts = stage(connected_components(links))
+        if depth % LED == 0:
+            new = stage(_leader_pairs(frontier, sketches).join(tested, ["a", "b"], "left_anti"))
+            if not new.isEmpty():
+                links = links.unionByName(similar_pairs(source, classes, new, PERCENT, width))
+                tested = tested.unionByName(new)
+                parts = stage(connected_components(links))
+        depth += 1
         mixed = stage(_mixed(frontier, parts))
         leaves.append(mixed.where(F.col("size") - F.col("high") <= OUTSIDE).select("node", "key"))
         large = mixed.where(F.col("size") - F.col("high") > OUTSIDE)

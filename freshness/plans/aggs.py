@@ -220,10 +220,11 @@ def views_wide(t, days):
     return t.views.withColumn("day", day).groupBy("user_id").pivot("day", days).agg(F.count(F.lit(1))).fillna(0)
 
 
-@query("views_long", """WITH d AS (SELECT unnest(range(0, 30)) AS i), u AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'view'),
-v AS (SELECT user_id, date_diff('day', TIMESTAMP '2024-01-01', ts) AS i, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY ALL)
-SELECT u.user_id, DATE '2024-01-01' + CAST(d.i AS INTEGER) AS day, coalesce(v.n, 0) AS n_views, (d.i + 1) * 1440 AS ts_min
-FROM u CROSS JOIN d LEFT JOIN v ON v.user_id = u.user_id AND v.i = d.i""")
+@query("views_long", """WITH v AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY ALL),
+span AS (SELECT min(day) AS first, max(day) AS last FROM v),
+d AS (SELECT first + CAST(i AS INTEGER) AS day FROM (SELECT first, unnest(range(0, last - first + 1)) AS i FROM span)), u AS (SELECT DISTINCT user_id FROM v)
+SELECT u.user_id, d.day, coalesce(v.n, 0) AS n_views, (d.day - DATE '2023-12-31') * 1440 AS ts_min
+FROM u CROSS JOIN d LEFT JOIN v ON v.user_id = u.user_id AND v.day = d.day""")
 def _(t):
     days = view_days(t)
     return A.views_long(views_wide(t, days), "user_id", days, EPOCH_DAY)

@@ -94,9 +94,10 @@ FORECAST_ERRORS = f"""{INDEXED},
 stepped AS (SELECT key, rn, value, lag(value) OVER (PARTITION BY key ORDER BY rn) AS prev FROM indexed),
 model AS (SELECT key, 40 AS model_t, value AS base FROM indexed WHERE rn = 40),
 fe AS (
-  SELECT s.key, count(*) FILTER (rn > model_t) AS pending,
-    round(sum(abs(value - (base + 0.1::DOUBLE * (rn - model_t)))) FILTER (rn > model_t) / nullif(avg(abs(value - prev)) FILTER (rn <= model_t), 0), 6) AS error
-  FROM stepped s JOIN model m ON s.key = m.key GROUP BY s.key)"""
+  SELECT s.key, count(*) FILTER (model_t IS NULL OR rn > model_t) AS pending,
+    CASE WHEN bool_or(model_t IS NULL) THEN 1e6::DOUBLE ELSE round(sum(abs(value - (base + 0.1::DOUBLE * (rn - model_t)))) FILTER (rn > model_t)
+      / nullif(avg(abs(value - prev)) FILTER (rn <= model_t), 0), 6) END AS error
+  FROM stepped s LEFT JOIN model m ON s.key = m.key GROUP BY s.key)"""
 
 
 def forecast_error_table(t):

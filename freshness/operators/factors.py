@@ -91,7 +91,7 @@ def _solve(gram: pd.Series, rhs: pd.Series, reg: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(VECTOR)
-def _ridge(n: pd.Series, sum_y: pd.Series, sum_x: pd.Series, rhs: pd.Series, gram: pd.Series, alpha: pd.Series) -> pd.Series:
+def ridge_fit(n: pd.Series, sum_y: pd.Series, sum_x: pd.Series, rhs: pd.Series, gram: pd.Series, alpha: pd.Series) -> pd.Series:
     count, y = n.to_numpy(float)[:, None], sum_y.to_numpy(float)[:, None]
     if len(count) == 0:
         return pd.Series([], dtype=object)
@@ -113,7 +113,7 @@ def ridge_fold_in(rated, user, vector: str, rating: str, factors: int, alpha: fl
     """
     target = F.col(rating) - F.element_at(vector, -1)
     sums = gram_sums(rated, user, vector, target, factors)
-    fit = _ridge("n", "sum_y", "sum_x", "rhs", "gram", F.lit(alpha))
+    fit = ridge_fit("n", "sum_y", "sum_x", "rhs", "gram", F.lit(alpha))
     return sums.select(*names(user), "n", fit.alias("user_vec"))
 
 

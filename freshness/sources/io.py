@@ -101,13 +101,28 @@ def write_replay(df: DataFrame, order, path: str, files: int) -> None:
     """
     order = columns(order)
     df.repartitionByRange(files, *order).sortWithinPartitions(*order).write.parquet(path)
-    spark = df.sparkSession
+    _stamp_in_order(df.sparkSession, path)
+
+
+def write_steps(df: DataFrame, step: str, order, path: str) -> None:
+    """Rows in one Parquet file for each value of `step` (a whole number from 0), to be replayed one step at a time; no step is cut."""
+    numbered = df.withColumn("_folder", F.lpad(F.col(step).cast("string"), 12, "0"))
+    numbered.repartition("_folder").sortWithinPartitions("_folder", *columns(order)).write.partitionBy("_folder").parquet(path)
+    _stamp_in_order(df.sparkSession, path)
+
+
+def _stamp_in_order(spark: SparkSession, path: str) -> None:
+    """Give the data files under `path` modification times a second apart, in the order of their names."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     folder = jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(conf)
-    parts = sorted(s.getPath().toString() for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-"))
-    start = fs.getFileStatus(folder).getModificationTime() - len(parts) * 1000
-    for i, part in enumerate(parts):
+    found, listed = [], fs.listFiles(folder, True)
+    while listed.hasNext():
+        file = listed.next().getPath()
+        if file.getName().startswith("part-"):
+            found.append(file.toString())
+    start = fs.getFileStatus(folder).getModificationTime() - len(found) * 1000
+    for i, part in enumerate(sorted(found)):
         fs.setTimes(jvm.org.apache.hadoop.fs.Path(part), start + i * 1000, -1)
 
 

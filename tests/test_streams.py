@@ -6,11 +6,13 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from freshness.functions.scalars import biased_rating
 from freshness.operators import priority as R, windows as N
+from freshness.operators.factors import gram_sums, ridge_fit
 from freshness.operators.ordered import width_slice
 from freshness.plans import catalog
 from freshness.sources import io
-from freshness.streaming import streams as T
+from freshness.streaming import maintenance as M, streams as T
 
 D = 2
 
@@ -30,6 +32,71 @@ def solve(items, rows, alpha=0.001):
     return np.append(w, y.mean() - x.mean(0) @ w)
 
 
+def ridge_model():
+    sums = lambda e: gram_sums(e, "user_id", "item_vec", F.col("rating") - F.element_at("item_vec", -1), D)
+    fit = lambda: ridge_fit("n", "sum_y", "sum_x", "rhs", "gram", F.lit(0.001))
+    return M.Model(sums, fit, lambda: biased_rating("feature", "item_vec"), 3.0)
+
+
+def mean_model():
+    sums = lambda e: e.groupBy("user_id").agg(F.count("rating").alias("n"), F.sum("rating").alias("total"))
+    return M.Model(sums, lambda: F.array(F.col("total") / F.col("n")), lambda: F.element_at("feature", 1), 3.0)
+
+
+def sweep(spark, folder, batches, runs, **options):
+    job = M.Maintenance(spark, folder, runs, mean_model(), "user_id", "rating", ["ts"], F.col("item_id") != 3, **options)
+    for b, rows in enumerate(batches):
+        job.run_batch(spark.createDataFrame(rows), b)
+    return job
+
+
+def test_runs_of_a_sweep(spark, tmp_path, ratings):
+    """Each run of a sweep equals its own plain loop; repeating a round and folding the logs change nothing."""
+    batches = [ratings[ratings["ts"] // 40 == b] for b in range(4)]
+    runs = [M.Run("total_error", 1.5, lambda r: F.round(R.total_error(), 9)), M.Run("max_pending", 2, lambda r: R.max_pending()),
+            M.Run("batch", 3.0), M.Run("max_pending", 0.0, lambda r: R.max_pending()), M.Run("max_pending", M.EVERYTHING, lambda r: R.max_pending())]
+    job = sweep(spark, str(tmp_path / "a"), batches, runs, compact_every=2)
+    got = job.table("predictions").toPandas()
+    assert not got[(got["y_pred"] != 3.0) & ~got["known"]].size and len(got) == len(runs) * len(ratings)
+    for run in runs:
+        feature, error, pending, saved = {}, {}, {}, 0.0
+        for b, rows in enumerate(batches):
+            for r in rows.itertuples():
+                guess = feature.get(r.user_id, 3.0) if r.item_id != 3 else 3.0
+                mine = got[(got["ts"] == r.ts) & (got["policy"] == run.policy) & (got["budget"].isna() if run.budget is None else got["budget"] == run.budget)]
+                assert mine["y_pred"].tolist() == [pytest.approx(guess)]
+                error[r.user_id] = error.get(r.user_id, 0.0) + abs(guess - r.rating)
+                pending[r.user_id] = pending.get(r.user_id, 0) + (r.item_id != 3)
+            waiting = [u for u, n in pending.items() if n]
+            score = error if run.policy == "total_error" else pending
+            saved += run.budget or 0
+            if run.policy == "batch":
+                chosen, saved = (waiting, 0.0) if len(waiting) <= saved else ([], saved)
+            elif run.budget is None:
+                chosen = waiting
+            else:
+                chosen = sorted(waiting, key=lambda u: (-round(score[u], 9), u))[: run.allowed(b)]
+            seen = pd.concat(batches[: b + 1])
+            for u in chosen:
+                feature[u] = seen[(seen["user_id"] == u) & (seen["item_id"] != 3)]["rating"].mean()
+                error[u], pending[u] = 0.0, 0
+    rows = lambda j: sorted(map(str, j.table("predictions").collect()))
+    before = rows(job)
+    job.run_batch(spark.createDataFrame(batches[3]), 3)
+    assert rows(job) == before
+    assert rows(sweep(spark, str(tmp_path / "b"), batches, runs, compact_every=100)) == before
+
+
+def test_a_step_is_never_cut(spark, tmp_path):
+    rows = spark.range(0, 100).select("id", F.floor(F.col("id") / 30).alias("step"))
+    io.write_steps(rows, "step", "id", str(tmp_path / "src"))
+    seen = []
+    stream = io.replay_source(spark, str(tmp_path / "src"), rows.schema).drop("_folder")
+    writer = stream.writeStream.foreachBatch(lambda df, b: seen.append((b, sorted(r.id for r in df.collect())))).option("checkpointLocation", str(tmp_path / "m"))
+    writer.trigger(availableNow=True).start().awaitTermination()
+    assert seen == [(b, list(range(b * 30, min(100, b * 30 + 30)))) for b in range(4)]
+
+
 @pytest.mark.parametrize("update_first,budget", [(False, 1.5), (False, 0.0), (True, 1.5)])
 def test_maintenance_equals_the_loop(spark, tmp_path, ratings, update_first, budget):
     rng = np.random.default_rng(9)
@@ -39,8 +106,9 @@ def test_maintenance_equals_the_loop(spark, tmp_path, ratings, update_first, bud
     io.write_replay(spark.createDataFrame(ratings), "ts", src, 4)
     files = [spark.read.parquet(f).toPandas() for f in sorted(spark.read.parquet(src).inputFiles())]
     schema = spark.read.parquet(src).schema
-    job = T.Maintenance(spark, str(tmp_path / "out"), table, D, R.total_error, budget, update_first=update_first)
-    writer = T.stream_maintain(io.replay_source(spark, src, schema), str(tmp_path / "marks"), job)
+    job = M.Maintenance(spark, str(tmp_path / "out"), [M.Run("total_error", budget, lambda r: R.total_error())], ridge_model(), "user_id", "rating", ["ts"],
+                        update_first=update_first, compact_every=2)
+    writer = M.stream_maintain(io.replay_source(spark, src, schema).join(table, "item_id"), str(tmp_path / "marks"), job)
     writer.trigger(availableNow=True).start().awaitTermination()
 
     vec, err, pending, seen = {}, {}, {}, ratings.iloc[:0]
@@ -77,7 +145,7 @@ def test_maintenance_equals_the_loop(spark, tmp_path, ratings, update_first, bud
     for t, guess in preds.items():
         assert got[t] == pytest.approx(guess), t
     made = job.table("updates").collect()
-    assert sorted((r["batch"], r.user_id) for r in made) == sorted(chosen)
+    assert sorted((r.round_no, r.user_id) for r in made) == sorted(chosen)
     assert len(chosen) <= 4 * budget
 
 

@@ -1,50 +1,46 @@
 """N-gram Jaccard join by a token-group matrix.
 
-Documents with the same shingle set are one class. Classes that share their smallest shingle (in one
-of a few random orders) and are similar to one leader are connected, and what is connected makes a group; every other
-class is a group of its own. The matrix
-has a row for each (token, group) of the groups' token unions. A class can only be similar to a member of a
-group if enough of its tokens are in the group's union, so the overlap of groups is bounded on
-the matrix and only groups that pass are opened and compared set by set.
-
-Exactness: two sets of similarity 0.8 share one of their rarest fifth of tokens, in any fixed order of all tokens
-(here: by counts of hashed buckets over all documents, then by hash). The matrix therefore holds those tokens
-only, and no similar pair is lost. Groups lose no link either: a pair of groups is settled only
-when both are known to be connected, and is opened to its members otherwise.
+Documents with the same shingle set are one class. Classes that share their smallest shingle (in one of a few random orders) and are
+similar to one leader are connected, and what is connected makes a group; every other class is a group of its own. The matrix has a
+row for each (token, class) of the rarest tokens of each set, with the class's group. A token whose classes all belong to one group is
+settled, and tokens with the same classes count once. The groups that meet in one of the others are opened there: their
+classes are dealt into cells of bounded size and compared on whole sets.
+
+Exactness: two sets of similarity 0.8 share one of their rarest fifth of tokens, in any fixed order of all tokens (here: by counts of
+hashed buckets over all documents, then by hash). The matrix therefore holds those tokens only, and no similar pair is lost. A pair
+that meets in several tokens belongs to the one with the longest list, so it is compared once. Only links between
+groups are sought, and a cell stops asking once it has connected two groups itself; components lose nothing by that.
 
 Edge cases: null and wordless texts have an empty set and are linked with nothing; fewer words than a
-shingle make one shingle of them all; repeated rows are one class; rows with a null id take part, but never name
-a component (null if all of its ids are null); an empty table gives an empty result.
+shingle make one shingle of them all; repeated rows are one class; rows that share an id but differ in text are separate; rows with a null id
+take part, but never name a component (null if all of its ids are null); ties do not matter; very long texts are hashed in slabs; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, functions as F
 
-from freshness.llm.bloom import bloom_table, may_contain
 from freshness.llm.components import connected_components
-from freshness.llm.text import _mix, distinct, hashed, raw, sliced, window_hashes
+from freshness.llm.set_pairs import key_head, set_key, sets_of, shared, shingle_sets, similar_pairs
+from freshness.llm.text import _mix, raw, sliced
 from freshness.session import stage
 
 WIDTH = 5
+PERCENT = 80
 BUCKETS, CHUNKS = 1 << 20, 64  # token counts by hash; 4 MB, whatever the input
+TASK_BLOCK = 256  # tasks whose counts are added up in one group
 ORDERS = 3  # random orders of tokens in which classes may share their smallest one
 LARGE = 8  # classes that share their smallest shingle, from which on a leader is sought
 SALTED = 1024  # classes that are compared with one leader
-OPENED = 512  # members of an opened group that are compared in one task
-NO_ID = 1 << 62  # class ids from here on stand for classes whose document ids are all null
-
-
-def shingle_sets(texts: list[bytes], width: int = WIDTH) -> Iterator[np.ndarray]:
-    """For each text, sorted distinct 64-bit hashes of its lower-cased runs of `width` words."""
-    for words, windows in hashed([t.lower() for t in texts], width):
-        yield distinct(windows if len(words) >= width or not len(words) else window_hashes(words, len(words)))
+HOMES = 16  # tokens of a class by which pairs that meet again are recognised
+STREAMED, MOST = 256, 64  # classes of a list that are streamed through one cell, and chunks of a list at most
+HELD = 32 << 20  # bytes of sets that a cell holds
 
 
 def prefix_length(n):
@@ -52,19 +48,6 @@ def prefix_length(n):
     return n - (4 * n + 4) // 5 + 1
 
 
-def needed_overlap(a, b):
-    """Least intersection of sets of a and b tokens with 100 * intersection >= 80 * union."""
-    return (4 * (a + b) + 8) // 9
-
-
-def _key(tokens: np.ndarray) -> bytes:
-    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
-
-
-def _head(key: bytes) -> int:
-    return int.from_bytes(key[:8], "little", signed=True)
-
-
 def _order(tokens: np.ndarray, i: int) -> np.ndarray:
     """The tokens' places in one of a few fixed random orders."""
     return tokens if i == 0 else _mix(tokens ^ np.uint64(i * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
@@ -83,8 +66,8 @@ def _profile(source: DataFrame, width: int) -> DataFrame:
             ids, sizes, keys, heads, least, buckets = batch.column(0), [], [], [], [], []
             for tokens in shingle_sets(raw(batch.column(1)), width):
                 sizes.append(len(tokens))
-                keys.append(_key(tokens))
-                heads.append(_head(keys[-1]))
+                keys.append(set_key(tokens))
+                heads.append(key_head(keys[-1]))
                 least.append([int(_order(tokens, i).min().astype(np.int64)) for i in range(ORDERS)] if len(tokens) else None)
                 buckets.append((tokens >> np.uint64(44)).astype(np.int32))
             counts += np.bincount(np.concatenate(buckets), minlength=BUCKETS) if buckets else 0
@@ -94,26 +77,29 @@ def _profile(source: DataFrame, width: int) -> DataFrame:
                  none.cast(pa.int32()), none.cast(pa.binary())], names=NAMES)
         if counts.any():
             packed = [zlib.compress(part.tobytes(), 1) for part in np.split(counts, CHUNKS)]
+            block = TaskContext.get().partitionId() // TASK_BLOCK
             none = pa.nulls(CHUNKS)
             yield pa.RecordBatch.from_arrays(
                 [none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.int64()), none.cast(pa.list_(pa.int64())),
-                 pa.array(range(CHUNKS), pa.int32()), pa.array(packed, pa.binary())], names=NAMES)
+                 pa.array(range(block * CHUNKS, (block + 1) * CHUNKS), pa.int32()), pa.array(packed, pa.binary())], names=NAMES)
 
     NAMES = ["doc_id", "n", "key", "head", "smallest", "chunk", "counts"]
     return source.mapInArrow(run, "doc_id long, n long, key binary, head long, smallest array<long>, chunk int, counts binary")
 
 
 def _bucket_counts(profile: DataFrame) -> np.ndarray:
-    """Counts of all documents' tokens by bucket: 2^20 numbers, summed by Spark."""
+    """Counts of all documents' tokens by bucket: 2^20 numbers, summed by Spark over blocks of tasks and then over the blocks."""
 
     def add(key, table):
         total = sum(np.frombuffer(zlib.decompress(c), np.int64) for c in table["counts"].to_pylist())
-        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
-    rows = profile.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(add, "chunk int, counts binary").toArrow()
+    schema = "chunk int, counts binary"
+    blocks = profile.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(add, schema)
+    rows = blocks.withColumn("chunk", F.col("chunk") % CHUNKS).groupBy("chunk").applyInArrow(add, schema).toArrow()
     out = np.zeros((CHUNKS, BUCKETS // CHUNKS), np.int64)
     for chunk, counts in zip(rows["chunk"].to_pylist(), rows["counts"].to_pylist()):
-        out[chunk] = np.frombuffer(counts, np.int64)
+        out[chunk] = np.frombuffer(zlib.decompress(counts), np.int64)
     return out.reshape(-1)
 
 
@@ -123,81 +109,36 @@ def rare_first(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return tokens[order[: prefix_length(len(tokens))]]
 
 
-def _sets(source: DataFrame, width: int, wanted) -> DataFrame:
-    """(key, tokens) of the documents whose key may be in a Bloom filter; each key once a task."""
-
-    def run(batches):
-        table, seen = wanted.value, set()
-        for batch in sliced(batches):
-            keys, sets, size = [], [], 0
-            for tokens in shingle_sets(raw(batch.column(1)), width):
-                if not len(tokens):
-                    continue
-                key = _key(tokens)
-                if key not in seen and may_contain(table, np.array([_head(key)]))[0]:
-                    seen.add(key)
-                    keys.append(key)
-                    sets.append(tokens.tobytes())
-                    size += len(sets[-1])
-                if size > 4 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], names=["key", "tokens"])
-                    keys, sets, size = [], [], 0
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], names=["key", "tokens"])
-
-    return source.mapInArrow(run, "key binary, tokens binary")
-
-
-def similar(a: bytes | pa.Buffer, b: bytes | pa.Buffer) -> bool:
-    """100 * intersection >= 80 * union for two packed sorted sets."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    if 5 * min(len(x), len(y)) < 4 * max(len(x), len(y)):
-        return False
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return 100 * both >= 80 * (len(x) + len(y) - both)
-
-
-def _similar(a: str, b: str) -> Column:
-    def compare(x: pa.Array, y: pa.Array) -> pa.Array:
-        return pa.array([similar(p.as_buffer(), q.as_buffer()) for p, q in zip(x, y)], pa.bool_())
-
-    return F.arrow_udf(compare, "boolean")(a, b)
-
-
-def _filter(spark, keys: DataFrame, column: str):
-    return spark.sparkContext.broadcast(bloom_table(keys, column, keys.count()))
-
-
 def _leaders(source: DataFrame, classes: DataFrame, width: int) -> DataFrame:
     """(a, b): classes similar to a leader, and that leader.
 
     In each of a few orders, classes with the same smallest token are compared with one of them, if there are `LARGE` or
-    more. Very many are dealt to several leaders by hash, differently in each order, so no task compares more than about
-    `SALTED` sets with one and copies of one text meet all the same.
+    more. Very many are dealt to several leaders by hash, differently in each order, so no leader meets more than about
+    `SALTED` sets and copies of one text meet all the same.
     """
-    rows = classes.select("cid", "head", F.posexplode("smallest").alias("i", "token"))
+    rows = classes.select("key", F.posexplode("smallest").alias("i", "token"))
     large = rows.groupBy("i", "token").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= LARGE)
-    shared = rows.join(large, ["i", "token"]).select("i", "token", "cid", F.pmod(F.xxhash64("head", "i"), F.ceil(F.col("size") / SALTED)).alias("salt"))
-    shared = stage(shared)
-    first = shared.groupBy("i", "token", "salt").agg(F.min("cid").alias("leader"))
-    pairs = shared.join(first, ["i", "token", "salt"]).where("cid <> leader").select(F.col("cid").alias("a"), F.col("leader").alias("b")).distinct()
-    return _verify(source, pairs, classes, width)
+    dealt = rows.join(large, ["i", "token"]).select("i", "token", "key", F.pmod(F.xxhash64("key", "i"), F.ceil(F.col("size") / SALTED)).alias("salt"))
+    dealt = stage(dealt)
+    first = dealt.groupBy("i", "token", "salt").agg(F.min("key").alias("b"))
+    pairs = stage(dealt.join(first, ["i", "token", "salt"]).where("key <> b").select(F.col("key").alias("a"), "b").distinct())
+    return similar_pairs(source, classes, pairs, PERCENT, width)
 
 
-def _matrix(source: DataFrame, grouped: DataFrame, counts: np.ndarray, width: int) -> DataFrame:
-    """(token, cid, gid, n) for the prefix of every class."""
-    shared = source.sparkSession.sparkContext.broadcast(np.minimum(counts, 0xFFFFFFFF).astype(np.uint32))
+def _matrix(source: DataFrame, grouped: DataFrame, counts: np.ndarray, width: int):
+    """(token, key, gid, n) for the prefix of every class, dealt by token; and the broadcast of the counts."""
+    given = source.sparkSession.sparkContext.broadcast(np.minimum(counts, 0xFFFFFFFF).astype(np.uint32))
 
     def run(batches):
         seen = set()
         for batch in sliced(batches):
             keys, prefixes, size = [], [], 0
             for tokens in shingle_sets(raw(batch.column(1)), width):
-                key = _key(tokens)
+                key = set_key(tokens)
                 if len(tokens) and key not in seen:
                     seen.add(key)
                     keys.append(key)
-                    prefixes.append(rare_first(tokens, shared.value).astype(np.int64))
+                    prefixes.append(rare_first(tokens, given.value).astype(np.int64))
                     size += len(prefixes[-1])
                 if size > 1 << 18:
                     yield pack(keys, prefixes)
@@ -211,149 +152,216 @@ def _matrix(source: DataFrame, grouped: DataFrame, counts: np.ndarray, width: in
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), lists], names=["key", "prefix"])
 
     prefixes = source.mapInArrow(run, "key binary, prefix array<long>")
-    return prefixes.join(grouped.select("key", "cid", "gid", "n"), "key").dropDuplicates(["key"]).select(F.explode("prefix").alias("token"), "cid", "gid", "n")
+    classes = prefixes.join(grouped.select("key", "gid", "n"), "key").dropDuplicates(["key"])
+    return classes.select(F.explode("prefix").alias("token"), "key", "gid", "n").repartition("token"), given
 
 
-def _verify(source: DataFrame, pairs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
-    """The pairs (a, b) of class ids whose sets are similar. Only the sets of these classes leave the documents."""
-    pairs = stage(pairs)
-    ids = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
-    needed = stage(classes.join(ids, "cid").select("key", "head", "cid"))
-    wanted = _filter(source.sparkSession, needed, "head")
-    sets = stage(_sets(source, width, wanted).join(needed.drop("head"), "key").dropDuplicates(["key"]).select("cid", "tokens"))
-    left = pairs.join(sets.select(F.col("cid").alias("a"), F.col("tokens").alias("x")), "a")
-    both = left.join(sets.select(F.col("cid").alias("b"), F.col("tokens").alias("y")), "b")
-    return stage(both.where(_similar("x", "y")).select("a", "b"))
+def _open_lists(entries: DataFrame) -> DataFrame:
+    """(token, key, gid, n, size, main) of the tokens whose classes belong to several groups, one token for each set of classes.
 
+    `main` is the group of most of them.
+    """
+    mark = F.xxhash64("key")
+    lists = entries.groupBy("token").agg(
+        F.count(F.lit(1)).alias("size"), F.min("gid").alias("low"), F.max("gid").alias("high"), F.bit_xor(mark).alias("x"),
+        F.sum(F.shiftrightunsigned(mark, 24)).alias("s"))
+    once = lists.where("low <> high").groupBy("size", "x", "s").agg(F.min("token").alias("token")).select("token", "size")
+    rows = stage(entries.join(once, "token"))
+    counts = rows.groupBy("token", "gid").agg(F.count(F.lit(1)).alias("c"))
+    main = counts.groupBy("token").agg(F.max(F.struct("c", "gid"))["gid"].alias("main"))
+    return rows.join(main, "token")
+
+
+def _cells(lists: DataFrame, weight) -> DataFrame:
+    """(token, chunk, part, kind, key, gid) for each class of each cell of the lists.
+
+    The classes of a list are dealt into chunks and streamed (kind 1) past those outside its main group, which are sent to every chunk
+    and held (kind 0), in parts if they are large. So each pair of different groups meets, and rows grow with the list.
+    """
+    outside = F.col("gid") != F.col("main")
+    held = lists.where(outside).groupBy("token").agg(F.ceil(F.sum(weight) / HELD).alias("parts"), F.ceil(F.least(F.first("size") / STREAMED, F.lit(MOST))).alias("chunks"))
+    shaped = lists.join(held, "token")
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    own_chunk, own_part = F.pmod(F.xxhash64("key"), F.col("chunks")), F.pmod(F.xxhash64("key", F.lit(1)), F.col("parts"))
+    place = lambda chunk, part, kind: F.struct(chunk.alias("chunk"), part.alias("part"), F.lit(kind).alias("kind"))
+    streamed = F.transform(upto("parts"), lambda part: place(own_chunk, part, 1))
+    kept = F.when(outside, F.transform(upto("chunks"), lambda chunk: place(chunk, own_part, 0))).otherwise(F.array().cast("array<struct<chunk:bigint,part:bigint,kind:int>>"))
+    return shaped.select("token", "key", "gid", "n", F.explode(F.concat(streamed, kept)).alias("at")).select("token", "at.chunk", "at.part", "at.kind", "key", "gid", "n")
 
-def _enough(common: str, a: str, b: str):
-    """Whether `common` shared prefix tokens leave room for a similar pair of sets of a and b tokens.
 
-    Of the tokens up to the end of the prefix that ends first, all common ones are counted; after it
-    that set has n - prefix = ceil(0.8 n) - 1 tokens left.
-    """
-    rest = F.floor((4 * F.greatest(F.col(a), F.col(b)) + 4) / 5) - 1
-    return F.col(common) + rest >= F.floor((4 * (F.col(a) + F.col(b)) + 8) / 9)
+def _with_homes(cells: DataFrame, lists: DataFrame) -> DataFrame:
+    """Cells with the `HOMES` longest lists of each class, which two classes share in the same order."""
+    order = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("s"), "token"))), 1, HOMES)
+    return cells.join(lists.groupBy("key").agg(order["token"].alias("homes")), "key")
 
 
-def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """(doc_id, n_shingles, component_id, set_key) for each row of `docs`; `set_key` is the digest of its shingle set."""
+class _Held:
+    """The held classes of a cell, and which of them a streamed class has to be compared with."""
+
+    def __init__(self, token: int):
+        self.token, self.keys, self.groups, self.sets = token, [], [], []
+        self.sizes, self.homes = np.empty(0, np.int64), np.empty((0, HOMES), np.int64)
+
+    def add(self, keys, groups, sizes, homes, sets=()):
+        self.keys += keys
+        self.groups += groups
+        self.sets += sets
+        self.sizes, self.homes = np.concatenate((self.sizes, sizes)), np.concatenate((self.homes, homes))
+        self.marks = np.array([hash(g) for g in self.groups])
+
+    def partners(self, group: bytes, size: int, home: np.ndarray) -> np.ndarray:
+        """Held classes of other groups and of a fitting size that do not meet the class in an earlier one of its homes."""
+        ok = (self.marks != hash(group)) & (100 * np.minimum(self.sizes, size) >= PERCENT * np.maximum(self.sizes, size))
+        at = np.flatnonzero(ok)
+        place = np.flatnonzero(home == self.token)
+        earlier = home[: place[0]] if len(place) else home
+        earlier = earlier[earlier != _NONE]
+        return at[~np.isin(self.homes[at], earlier).any(axis=1)] if len(earlier) else at
+
+
+_NONE = np.iinfo(np.int64).min  # no home; no hash is treated as one
+
+
+def _homes(column: pa.Array) -> np.ndarray:
+    """Lists of at most `HOMES` tokens as a padded matrix."""
+    out = np.full((len(column), HOMES), _NONE)
+    for i, tokens in enumerate(column.to_pylist()):
+        out[i, : len(tokens)] = tokens
+    return out
+
+
+def _stretches(batches, columns: int):
+    """(cell, kind, columns) for consecutive rows of one cell (token, chunk, part) and kind; a stretch may come in several pieces."""
+    for batch in batches:
+        marks = [np.asarray(batch.column(i)) for i in range(4)]
+        cuts = np.flatnonzero(np.any([np.diff(m) != 0 for m in marks], axis=0)) + 1
+        for start, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), len(batch)]):
+            if start < stop:
+                yield tuple(int(m[start]) for m in marks[:3]), int(marks[3][start]), [batch.column(i).slice(start, stop - start) for i in range(4, columns)]
+
+
+def _ordered(cells: DataFrame) -> DataFrame:
+    return cells.repartition("token", "chunk", "part").sortWithinPartitions("token", "chunk", "part", "kind")
+
+
+def _meeting(lists: DataFrame) -> DataFrame:
+    """(token, key): the classes that have a partner to be compared with in a list."""
+
+    def run(batches):
+        cell = held = None
+        for at, kind, (keys, groups, sizes, homes) in _stretches(batches, 8):
+            if at != cell:
+                cell, held = at, _Held(at[0])
+            names, mine, n, table = keys.to_pylist(), groups.to_pylist(), np.asarray(sizes), _homes(homes)
+            if kind == 0:
+                held.add(names, mine, n, table)
+                continue
+            found = set()
+            for key, group, size, home in zip(names, mine, n.tolist(), table):
+                partners = held.partners(group, size, home) if held.keys else ()
+                if len(partners):
+                    found.add(key)
+                    found.update(held.keys[i] for i in partners.tolist())
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([at[0]] * len(found), pa.int64()), pa.array(sorted(found), pa.binary())], names=["token", "key"])
+
+    cells = _with_homes(_cells(lists, F.lit(64)), lists).select("token", "chunk", "part", "kind", "key", "gid", "n", "homes")
+    return _ordered(cells).mapInArrow(run, "token long, key binary").distinct()
+
+
+def _opened(source: DataFrame, classes: DataFrame, lists: DataFrame, every: DataFrame, width: int) -> DataFrame:
+    """Links (a, b) between groups, by comparing the whole sets of the opened classes cell by cell."""
+
+    def run(batches):
+        cell = held = None
+        root: dict = {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        for at, kind, (keys, groups, sizes, homes, sets) in _stretches(batches, 9):
+            if at != cell:
+                cell, held, root = at, _Held(at[0]), {}
+            names, mine, n, table = keys.to_pylist(), groups.to_pylist(), np.asarray(sizes), _homes(homes)
+            tokens = [np.frombuffer(t, np.uint64) for t in sets.to_pylist()]
+            if kind == 0:
+                held.add(names, mine, n, table, tokens)
+                continue
+            left, right = [], []
+            for key, group, size, home, whole in zip(names, mine, n.tolist(), table, tokens):
+                for i in held.partners(group, size, home).tolist() if held.keys else ():
+                    if find(group) == find(held.groups[i]):
+                        continue
+                    both = shared(held.sets[i], whole)
+                    if 100 * both >= PERCENT * (len(held.sets[i]) + len(whole) - both):
+                        root[find(group)] = find(held.groups[i])
+                        left.append(key)
+                        right.append(held.keys[i])
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
+
+    places = stage(_with_homes(_cells(lists, F.col("n") * 8), every))
+    sets, wanted = sets_of(source, classes, places.select("key").distinct(), width)
+    cells = places.join(sets, "key").select("token", "chunk", "part", "kind", "key", "gid", "n", "homes", "tokens")
+    found = stage(_ordered(cells).mapInArrow(run, "a binary, b binary"))
+    wanted.destroy()
+    return found
+
+
+def _linked(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(doc_id, n, key, component, first) for each row of `docs`: its set, its component's smallest set key and document id."""
     source = _texts(docs, id_col, text_col)
     profile = stage(_profile(source, width))
     members = profile.where("chunk is null").select("doc_id", "n", "key", "head", "smallest")
-    classes = members.where("n > 0").groupBy("key").agg(
-        F.min("doc_id").alias("cid"), F.first("n").alias("n"), F.first("head").alias("head"), F.first("smallest").alias("smallest"))
-    classes = stage(classes.withColumn("cid", F.coalesce("cid", F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64("key"), 3))))
+    classes = stage(members.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("head").alias("head"), F.first("smallest").alias("smallest")))
     counts = _bucket_counts(profile)
 
     stars = _leaders(source, classes, width)
     groups = stage(connected_components(stars))
-    grouped = stage(classes.join(groups.select(F.col("node").alias("cid"), "component"), "cid", "left").select(
-        "key", "head", "cid", "n", F.coalesce("component", "cid").alias("gid")))
-    entries = _matrix(source, grouped, counts, width).repartition("token")
-    by_group = entries.groupBy("token", "gid").agg(F.count(F.lit(1)).alias("members"), F.min("n").alias("low"), F.max("n").alias("high"))
-    several = by_group.groupBy("token").agg(F.count(F.lit(1)).alias("groups")).where("groups > 1").select("token")
-    rows = stage(by_group.join(several, "token"))
-
-    left = rows.select("token", F.col("gid").alias("a"), F.col("low").alias("low_a"), F.col("high").alias("high_a"))
-    right = rows.select("token", F.col("gid").alias("b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
-    met = left.join(right, "token").where("a < b and 5 * high_a >= 4 * low_b and 5 * high_b >= 4 * low_a")
-    bounds = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.min("low_a").alias("low_a"), F.max("high_a").alias("high_a"),
-                                       F.min("low_b").alias("low_b"), F.max("high_b").alias("high_b"))
-    starred = groups.select(F.col("component").alias("gid")).distinct()
-    sizes = stage(bounds.join(starred.select(F.col("gid").alias("a"), F.lit(True).alias("many_a")), "a", "left")
-                  .join(starred.select(F.col("gid").alias("b"), F.lit(True).alias("many_b")), "b", "left")
-                  .withColumn("single", F.col("many_a").isNull() & F.col("many_b").isNull())
-                  .where(~F.col("single") | _enough("common", "low_a", "low_b")).select("a", "b", "single"))
-    links = stars.unionByName(_verify(source, sizes.select("a", "b"), classes, width))
-    parts = stage(connected_components(links))
-
-    # groups of several classes that the leaders did not connect: bound each class of the smaller one against the other, then open that
-    named = lambda side: parts.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
-    members_of = grouped.groupBy("gid").agg(F.count(F.lit(1)).alias("size"))
-    sized = lambda side: members_of.select(F.col("gid").alias(side), F.col("size").alias(f"size_{side}"))
-    apart = sizes.where("not single").join(named("a"), "a", "left").join(named("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
-    small_first = F.col("size_a") <= F.col("size_b")
-    apart = stage(apart.join(sized("a"), "a").join(sized("b"), "b").select(
-        F.when(small_first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(small_first, F.col("b")).otherwise(F.col("a")).alias("b"),
-        F.greatest("size_a", "size_b").alias("size")))
-    if not apart.isEmpty():
-        links = links.unionByName(_opened(source, grouped, counts, apart, width))
-        parts = stage(connected_components(links))
-
-    named_class = classes.select("key", "cid").join(parts.withColumnRenamed("node", "cid"), "cid", "left").select(
-        "key", F.coalesce("component", "cid").alias("component"))
-    return members.join(named_class, "key", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("component") < NO_ID, F.col("component")).alias("component_id"),
-        F.lower(F.hex("key")).alias("set_key"))
-
-
-def _opened(source: DataFrame, grouped: DataFrame, counts: np.ndarray, apart: DataFrame, width: int) -> DataFrame:
-    """Links (a, b) between the classes of group `a` and those of group `b`, the larger one, for each row of `apart`.
-
-    Each class q of `a` is bounded against the token union of `b`. The groups that qualify are opened: their members are dealt into
-    chunks of about `OPENED`, its queries likewise, and each two chunks are compared set by set, up to a query's first link.
-    """
-    ids = apart.select(F.col("a").alias("gid")).union(apart.select(F.col("b").alias("gid"))).distinct()
-    few = stage(grouped.join(ids, "gid").select("key", "head", "cid", "gid", "n"))
-    entries = stage(_matrix(source, few, counts, width))
-    union = entries.groupBy("token", "gid").agg(F.min("n").alias("low"), F.max("n").alias("high")).withColumnRenamed("gid", "b")
-    queries = entries.select("token", F.col("cid").alias("q"), F.col("gid").alias("a"), F.col("n").alias("n_q"))
-    met = queries.join(apart, "a").join(union, ["token", "b"]).where("5 * high >= 4 * n_q and 5 * n_q >= 4 * low")
-    # the overlap with the union bounds that with any member; the needed overlap is least for the smallest or the largest member that fits
-    counted = met.groupBy("q", "b").agg(F.count(F.lit(1)).alias("common"), F.min("n_q").alias("n_q"), F.min("low").alias("low"), F.max("high").alias("high"),
-                                        F.first("size").alias("size"))
-    counted = counted.withColumns({"low": F.greatest("low", F.ceil(F.col("n_q") * 0.8)), "high": F.least("high", F.floor(F.col("n_q") * 1.25)),
-                                   "common": F.col("common") + 1})  # one more for what rounding takes
-    qualified = stage(counted.where(_enough("common", "n_q", "low") | _enough("common", "n_q", "high")).select(
-        "q", "b", F.ceil(F.col("size") / OPENED).alias("chunks")))
-    opened = stage(qualified.groupBy("b").agg(F.first("chunks").alias("chunks"), F.ceil(F.count(F.lit(1)) / OPENED).alias("parts")))
-    needed = stage(few.join(opened.select(F.col("b").alias("gid")), "gid", "left_semi").select(*few.columns).union(
-        few.join(qualified.select(F.col("q").alias("cid")), "cid", "left_semi").select(*few.columns)).distinct())
-    wanted = _filter(source.sparkSession, needed, "head")
-    sets = stage(_sets(source, width, wanted).join(needed.select("key", "cid", "gid"), "key").dropDuplicates(["key"]).select("cid", "gid", "tokens"))
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    members = sets.withColumnRenamed("gid", "b").join(opened, "b").select(
-        "b", F.pmod(F.xxhash64("cid"), "chunks").alias("chunk"), each("parts").alias("part"), "cid", "tokens")
-    asked = qualified.drop("chunks").join(opened, "b").join(sets.select(F.col("cid").alias("q"), "tokens"), "q").select(
-        F.col("b").alias("b"), each("chunks").alias("chunk"), F.pmod(F.xxhash64("q"), "parts").alias("part"), "q", F.col("tokens").alias("tokens"))
-    cell = ["b", "chunk", "part"]
-    return stage(asked.groupBy(cell).cogroup(members.groupBy(cell)).applyInArrow(_first_links, "a long, b long"))
-
-
-def _first_links(asked, members):
-    """(a, b): each asked class with one similar member, if there is any."""
-    theirs = [np.frombuffer(t, np.uint64) for t in members["tokens"].to_pylist()]
-    ids, found = members["cid"].to_pylist(), []
-    if theirs:
-        sizes = np.array([len(t) for t in theirs])
-        tokens, starts = np.concatenate(theirs), np.cumsum(sizes) - sizes
-        for q, packed in zip(asked["q"].to_pylist(), asked["tokens"].to_pylist()):
-            mine = np.frombuffer(packed, np.uint64)
-            at = np.minimum(np.searchsorted(mine, tokens), len(mine) - 1)
-            both = np.add.reduceat((mine[at] == tokens).astype(np.int64), starts)
-            similar_ = np.flatnonzero(100 * both >= 80 * (sizes + len(mine) - both))
-            if len(similar_):
-                found.append((q, ids[similar_[0]]))
-    return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+    named = groups.withColumnsRenamed({"node": "key", "component": "gid"})
+    grouped = stage(classes.join(named, "key", "left").select("key", "n", F.coalesce("gid", "key").alias("gid")))
+    entries, given = _matrix(source, grouped, counts, width)
+    lists = stage(_open_lists(entries))
+    given.destroy()
+    meeting = stage(_meeting(lists))
+    links = stars
+    if not meeting.isEmpty():
+        links = links.unionByName(_opened(source, classes, lists.join(meeting, ["token", "key"], "left_semi"), lists, width))
+    parts = stage(connected_components(links)).withColumnsRenamed({"node": "key"})
+
+    rows = members.join(parts, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    firsts = rows.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("first"))
+    out = rows.select("doc_id", "n", "key", "component").join(firsts, "component", "left")
+    return out.select("doc_id", "n", "key", "component", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("first")).alias("first"))
+
+
+def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+    """(doc_id, n_shingles, component_id, set_key) for each row of `docs`; `set_key` is the digest of its shingle set."""
+    return _linked(docs, id_col, text_col, width).select(
+        "doc_id", F.col("n").alias("n_shingles"), F.col("first").alias("component_id"), F.lower(F.hex("key")).alias("set_key"))
 
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """One row of `docs` for each component: that of its smallest document id.
+    """One row of `docs` for each component: one with its smallest document id.
 
-    Equal rows of that id become one. Rows without an id stay only if their component has no id, one for each set.
-    A document without words is its own component, and stays.
+    Of rows with that id in one component the one with the smallest set key and row hash stays; different texts under one id that are not
+    linked go by their own components. A component without any id keeps one row. A document without words is its own
+    component, and stays once for each id. No column name is reserved.
     """
-    linked = link_documents(docs, id_col, text_col, width)
-    dropped = linked.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(dropped, F.col(id_col).cast("long") == F.col("__id"), "left_anti")
-    unnamed = docs.where(F.col(id_col).isNull())
-    if unnamed.isEmpty():
-        return named.dropDuplicates([id_col])
-    key = F.arrow_udf(lambda texts: pa.array([_key(s).hex() for s in shingle_sets(raw(texts), width)], pa.string()), "string")
-    alone = linked.where("doc_id is null and component_id is null and n_shingles > 0").select(F.col("set_key").alias("__key")).distinct()
-    marked = unnamed.withColumn("__key", key(F.col(text_col).cast("string")))
-    kept = marked.join(alone, "__key").dropDuplicates(["__key"]).select(*docs.columns)
-    empty = marked.where(F.length(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x09-\x0D\x20]", "")) == 0).select(*docs.columns)
-    return named.dropDuplicates([id_col]).unionByName(kept).unionByName(empty)
+    linked = stage(_linked(docs, id_col, text_col, width))
+    several = linked.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("doc_id")
+    # a row whose id occurs once is named by its id alone, so its text is not looked at again
+    away = stage(linked.where("doc_id <> first").select("doc_id").unionByName(several).distinct())
+    packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    plain = packed.where("doc_id is not null").join(away, "doc_id", "left_anti").select("row.*")
+    special = packed.where("doc_id is null").unionByName(packed.join(several, "doc_id", "left_semi").select("row", "doc_id", "text"))
+    if special.isEmpty():
+        return plain
+    stay = linked.where(F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("component", "doc_id").agg(F.min("key").alias("key"))
+    key = F.arrow_udf(lambda texts: pa.array([set_key(s) for s in shingle_sets(raw(texts), width)], pa.binary()), "binary")
+    marked = special.select("row", "doc_id", key("text").alias("key"), F.xxhash64("row").alias("order"))
+    ids = [F.col("doc_id").eqNullSafe(F.col("_id")), F.col("key") == F.col("_key")]
+    kept = marked.join(stay.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")), ids, "left_semi")
+    return plain.unionByName(kept.groupBy("doc_id", "key").agg(F.min_by("row", "order").alias("row")).select("row.*"))

@@ -43,13 +43,19 @@ def folder(spark, tmp_path_factory):
         [(7000, 0, None, None), (7000, 1, "assistant", "<s>\\[/INST] [\\INST] \n x"), (7000, 1, "assistant", ""), (7001, None, "tool[END]", "[OUT]a</s>"), (None, 0, "user", "hi")],
         "conv_id long, turn long, role string, text string")
     read("conversations").unionByName(chats).write.parquet(f"{out}/conversations.parquet")
+    vectors = read("embeddings")
+    size = len(vectors.first().embedding)
+    row = lambda i, x, label: (i, None if x is None else [x] * size, label)
+    odd = [row(100000, 0.25, 1), row(100000, 0.25, 1), row(100001, 0.25, 1), row(100002, 0.25, 2), row(100003, -0.125, 2), row(200000, None, 1), row(200100, 0.5, None),
+           row(None, 0.5, 1), row(200200, float("nan"), 1), row(200300, float("inf"), 2), row(100004, 0.0, 3), (200400, [0.5, None] + [0.0] * (size - 2), 1)]
+    vectors.unionByName(spark.createDataFrame(odd, "vec_id long, embedding array<float>, label int")).write.parquet(f"{out}/embeddings.parquet")
     return out
 
 
 @pytest.fixture(scope="session")
 def empty(spark, folder, tmp_path_factory):
     out = str(tmp_path_factory.mktemp("empty"))
-    for t in ("documents", "labels", "benchmark", "pages", "conversations"):
+    for t in ("documents", "labels", "benchmark", "pages", "conversations", "embeddings"):
         spark.read.parquet(f"{folder}/{t}.parquet").limit(0).write.parquet(f"{out}/{t}.parquet")
     return out
 

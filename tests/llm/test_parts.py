@@ -73,7 +73,8 @@ def test_large_groups_of_near_copies(spark, monkeypatch):
     """Small limits send the same texts through leaders, several groups and opened groups."""
     random.seed(5)
     monkeypatch.setattr(jaccard_join, "SALTED", 8)
-    monkeypatch.setattr(jaccard_join, "OPENED", 4)
+    monkeypatch.setattr(jaccard_join, "STREAMED", 4)
+    monkeypatch.setattr(jaccard_join, "HELD", 4096)
     from tests.llm.test_queries import brute_components
 
     texts = []

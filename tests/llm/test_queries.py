@@ -29,7 +29,7 @@ def words(text):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql_twin(spark, folder, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "conversations"):
+    for t in ("documents", "pages", "benchmark", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
     got = QUERIES[name](spark, folder)
     want = con.execute(ORACLES[name])
@@ -102,7 +102,7 @@ def test_packing(spark, folder, texts):
     assert len(sequences) * 4096 < 1.1 * sum(r.length for r in found) + 4096
 
 
-def brute_components(texts):
+def brute_components(texts, percent=80):
     sets = []
     for _, text in texts:
         w = (text or "").encode().lower().split()
@@ -116,16 +116,13 @@ def brute_components(texts):
         return x
 
     at = defaultdict(list)
-    same_id = {}
     for i, s in enumerate(sets):
         shared = Counter(j for x in s for j in at[x])
         for x in s:
             at[x].append(i)
         for j, both in shared.items():
-            if 100 * both >= 80 * (len(s) + len(sets[j]) - both):
+            if 100 * both >= percent * (len(s) + len(sets[j]) - both):
                 parent[find(i)] = find(j)
-        if texts[i][0] is not None:
-            parent[find(i)] = find(same_id.setdefault(texts[i][0], i))
     least = {}
     for i, (d, _) in enumerate(texts):
         if d is not None:
@@ -137,6 +134,12 @@ def test_jaccard_join(spark, folder, texts):
     assert Counter(tuple(r) for r in rows(spark, "op7_jaccard_join", folder)) == brute_components(texts)
 
 
+def test_chosen_path(spark, folder, texts):
+    found = rows(spark, "op11_chosen_path", folder)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute_components(texts, 85)
+    assert all(r.kept == (r.doc_id is not None and r.doc_id == r.component_id) for r in found)
+
+
 def test_quality_rules(spark, folder, texts):
     want = Counter()
     for d, text in texts:

@@ -43,13 +43,13 @@ def checkpoint_root(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write `df` as Parquet under the checkpoint folder and read it back.
+def stage(df: DataFrame, **options) -> DataFrame:
+    """Write `df` as Parquet under the checkpoint folder, with options of the writer, and read it back.
 
     Cuts the lineage, survives executor loss, and pins columns that a second
     evaluation could number differently (partition ids, random draws).
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -3,8 +3,9 @@
 Documents with the same shingle set are one class. Classes that share their smallest shingle (in one of a few random orders) and are
 similar to one leader are connected, and what is connected makes a group; every other class is a group of its own. The matrix has a
 row for each (token, class) of the rarest tokens of each set, with the class's group. A token whose classes all belong to one group is
-settled, and tokens with the same classes count once. The groups that meet in one of the others are opened there: their
-classes are dealt into cells of bounded size and compared on whole sets.
+settled, and tokens with the same classes are one with a weight. The classes of groups that meet in one of the others are dealt into cells
+of bounded size, where the overlap of each two is bounded by the weights of the tokens that they share; only classes that
+qualify are opened, and compared on whole sets, again cell by cell.
 
 Exactness: two sets of similarity 0.8 share one of their rarest fifth of tokens, in any fixed order of all tokens (here: by counts of
 hashed buckets over all documents, then by hash). The matrix therefore holds those tokens only, and no similar pair is lost. A pair
@@ -126,7 +127,7 @@ def _leaders(source: DataFrame, classes: DataFrame, width: int) -> DataFrame:
 
 
 def _matrix(source: DataFrame, grouped: DataFrame, counts: np.ndarray, width: int):
-    """(token, key, gid, n) for the prefix of every class, dealt by token; and the broadcast of the counts."""
+    """(token, head, gid, n) for the prefix of every class, dealt by token; and the broadcast of the counts. Classes and groups go by 64-bit numbers here."""
     given = source.sparkSession.sparkContext.broadcast(np.minimum(counts, 0xFFFFFFFF).astype(np.uint32))
 
     def run(batches):
@@ -152,20 +153,20 @@ def _matrix(source: DataFrame, grouped: DataFrame, counts: np.ndarray, width: in
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), lists], names=["key", "prefix"])
 
     prefixes = source.mapInArrow(run, "key binary, prefix array<long>")
-    classes = prefixes.join(grouped.select("key", "gid", "n"), "key").dropDuplicates(["key"])
-    return classes.select(F.explode("prefix").alias("token"), "key", "gid", "n").repartition("token"), given
+    classes = prefixes.join(grouped.select("key", "head", F.xxhash64("gid").alias("gid"), F.col("n").cast("int").alias("n")), "key").dropDuplicates(["key"])
+    return classes.select(F.explode("prefix").alias("token"), "head", "gid", "n").repartition("token"), given
 
 
 def _open_lists(entries: DataFrame) -> DataFrame:
-    """(token, key, gid, n, size, main) of the tokens whose classes belong to several groups, one token for each set of classes.
+    """(token, head, gid, n, size, weight, main) of the tokens whose classes belong to several groups.
 
-    `main` is the group of most of them.
+    Tokens with the same classes become one, and `weight` is their number. `main` is the group of most of the classes.
     """
-    mark = F.xxhash64("key")
+    mark = F.xxhash64("head")
     lists = entries.groupBy("token").agg(
         F.count(F.lit(1)).alias("size"), F.min("gid").alias("low"), F.max("gid").alias("high"), F.bit_xor(mark).alias("x"),
         F.sum(F.shiftrightunsigned(mark, 24)).alias("s"))
-    once = lists.where("low <> high").groupBy("size", "x", "s").agg(F.min("token").alias("token")).select("token", "size")
+    once = lists.where("low <> high").groupBy("size", "x", "s").agg(F.min("token").alias("token"), F.count(F.lit(1)).alias("weight")).select("token", "size", "weight")
     rows = stage(entries.join(once, "token"))
     counts = rows.groupBy("token", "gid").agg(F.count(F.lit(1)).alias("c"))
     main = counts.groupBy("token").agg(F.max(F.struct("c", "gid"))["gid"].alias("main"))
@@ -173,7 +174,7 @@ def _open_lists(entries: DataFrame) -> DataFrame:
 
 
 def _cells(lists: DataFrame, weight) -> DataFrame:
-    """(token, chunk, part, kind, key, gid) for each class of each cell of the lists.
+    """(token, chunk, part, kind, head, gid, n) for each class of each cell of the lists.
 
     The classes of a list are dealt into chunks and streamed (kind 1) past those outside its main group, which are sent to every chunk
     and held (kind 0), in parts if they are large. So each pair of different groups meets, and rows grow with the list.
@@ -182,36 +183,34 @@ def _cells(lists: DataFrame, weight) -> DataFrame:
     held = lists.where(outside).groupBy("token").agg(F.ceil(F.sum(weight) / HELD).alias("parts"), F.ceil(F.least(F.first("size") / STREAMED, F.lit(MOST))).alias("chunks"))
     shaped = lists.join(held, "token")
     upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    own_chunk, own_part = F.pmod(F.xxhash64("key"), F.col("chunks")), F.pmod(F.xxhash64("key", F.lit(1)), F.col("parts"))
+    own_chunk, own_part = F.pmod(F.xxhash64("head"), F.col("chunks")), F.pmod(F.xxhash64("head", F.lit(1)), F.col("parts"))
     place = lambda chunk, part, kind: F.struct(chunk.alias("chunk"), part.alias("part"), F.lit(kind).alias("kind"))
     streamed = F.transform(upto("parts"), lambda part: place(own_chunk, part, 1))
     kept = F.when(outside, F.transform(upto("chunks"), lambda chunk: place(chunk, own_part, 0))).otherwise(F.array().cast("array<struct<chunk:bigint,part:bigint,kind:int>>"))
-    return shaped.select("token", "key", "gid", "n", F.explode(F.concat(streamed, kept)).alias("at")).select("token", "at.chunk", "at.part", "at.kind", "key", "gid", "n")
+    return shaped.select("token", "head", "gid", "n", F.explode(F.concat(streamed, kept)).alias("at")).select("token", "at.chunk", "at.part", "at.kind", "head", "gid", "n")
 
 
 def _with_homes(cells: DataFrame, lists: DataFrame) -> DataFrame:
     """Cells with the `HOMES` longest lists of each class, which two classes share in the same order."""
     order = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("s"), "token"))), 1, HOMES)
-    return cells.join(lists.groupBy("key").agg(order["token"].alias("homes")), "key")
+    return cells.join(lists.groupBy("head").agg(order["token"].alias("homes")), "head")
 
 
 class _Held:
     """The held classes of a cell, and which of them a streamed class has to be compared with."""
 
     def __init__(self, token: int):
-        self.token, self.keys, self.groups, self.sets = token, [], [], []
-        self.sizes, self.homes = np.empty(0, np.int64), np.empty((0, HOMES), np.int64)
+        self.token, self.more = token, []
+        self.heads, self.groups, self.sizes, self.homes = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, HOMES), np.int64)
 
-    def add(self, keys, groups, sizes, homes, sets=()):
-        self.keys += keys
-        self.groups += groups
-        self.sets += sets
+    def add(self, heads, groups, sizes, homes, more):
+        self.heads, self.groups = np.concatenate((self.heads, heads)), np.concatenate((self.groups, groups))
         self.sizes, self.homes = np.concatenate((self.sizes, sizes)), np.concatenate((self.homes, homes))
-        self.marks = np.array([hash(g) for g in self.groups])
+        self.more += more
 
-    def partners(self, group: bytes, size: int, home: np.ndarray) -> np.ndarray:
+    def partners(self, group: int, size: int, home: np.ndarray) -> np.ndarray:
         """Held classes of other groups and of a fitting size that do not meet the class in an earlier one of its homes."""
-        ok = (self.marks != hash(group)) & (100 * np.minimum(self.sizes, size) >= PERCENT * np.maximum(self.sizes, size))
+        ok = (self.groups != group) & (100 * np.minimum(self.sizes, size) >= PERCENT * np.maximum(self.sizes, size))
         at = np.flatnonzero(ok)
         place = np.flatnonzero(home == self.token)
         earlier = home[: place[0]] if len(place) else home
@@ -230,84 +229,118 @@ def _homes(column: pa.Array) -> np.ndarray:
     return out
 
 
-def _stretches(batches, columns: int):
-    """(cell, kind, columns) for consecutive rows of one cell (token, chunk, part) and kind; a stretch may come in several pieces."""
+def _stretches(batches):
+    """(token, held classes, streamed classes as rows (head, group, size, homes, more)) of consecutive rows of one cell (token, chunk, part)."""
+    cell = held = None
     for batch in batches:
         marks = [np.asarray(batch.column(i)) for i in range(4)]
         cuts = np.flatnonzero(np.any([np.diff(m) != 0 for m in marks], axis=0)) + 1
         for start, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), len(batch)]):
-            if start < stop:
-                yield tuple(int(m[start]) for m in marks[:3]), int(marks[3][start]), [batch.column(i).slice(start, stop - start) for i in range(4, columns)]
+            if start == stop:
+                continue
+            at = tuple(int(m[start]) for m in marks[:3])
+            if at != cell:
+                cell, held = at, _Held(at[0])
+            heads, groups, sizes = (np.asarray(batch.column(i))[start:stop] for i in (4, 5, 6))
+            homes = _homes(batch.column(7).slice(start, stop - start))
+            more = batch.column(8).slice(start, stop - start).to_pylist()
+            if marks[3][start] == 0:
+                held.add(heads, groups, sizes, homes, more)
+            elif len(held.heads):
+                yield cell, held, zip(heads.tolist(), groups.tolist(), sizes.tolist(), homes, more)
 
 
-def _ordered(cells: DataFrame) -> DataFrame:
-    return cells.repartition("token", "chunk", "part").sortWithinPartitions("token", "chunk", "part", "kind")
+def _in_cells(cells: DataFrame, more: str) -> DataFrame:
+    """Cells in their order, with what `_stretches` reads."""
+    ordered = cells.select("token", "chunk", "part", "kind", "head", "gid", "n", "homes", more).repartition("token", "chunk", "part")
+    return ordered.sortWithinPartitions("token", "chunk", "part", "kind")
 
 
-def _meeting(lists: DataFrame) -> DataFrame:
-    """(token, key): the classes that have a partner to be compared with in a list."""
+def _opening(prepare, enough):
+    """(token, head) of the classes with a partner for which `enough(held, index, size, prepare(more))` holds."""
 
     def run(batches):
-        cell = held = None
-        for at, kind, (keys, groups, sizes, homes) in _stretches(batches, 8):
-            if at != cell:
-                cell, held = at, _Held(at[0])
-            names, mine, n, table = keys.to_pylist(), groups.to_pylist(), np.asarray(sizes), _homes(homes)
-            if kind == 0:
-                held.add(names, mine, n, table)
-                continue
+        for (token, _, _), held, rows in _stretches(batches):
             found = set()
-            for key, group, size, home in zip(names, mine, n.tolist(), table):
-                partners = held.partners(group, size, home) if held.keys else ()
-                if len(partners):
-                    found.add(key)
-                    found.update(held.keys[i] for i in partners.tolist())
+            for head, group, size, home, more in rows:
+                mine = prepare(more)
+                partners = [i for i in held.partners(group, size, home).tolist() if enough(held, i, size, mine)]
+                if partners:
+                    found.add(head)
+                    found.update(held.heads[partners].tolist())
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([at[0]] * len(found), pa.int64()), pa.array(sorted(found), pa.binary())], names=["token", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array([token] * len(found), pa.int64()), pa.array(sorted(found), pa.int64())], names=["token", "head"])
+
+    return run
+
+
+def _weights(tokens: list[dict]) -> dict[int, int]:
+    return {x["token"]: x["weight"] for x in tokens}
 
-    cells = _with_homes(_cells(lists, F.lit(64)), lists).select("token", "chunk", "part", "kind", "key", "gid", "n", "homes")
-    return _ordered(cells).mapInArrow(run, "token long, key binary").distinct()
+
+def _overlap_allows(held: _Held, i: int, size: int, mine: dict) -> bool:
+    """Whether the shared prefix tokens leave room for a similar pair.
+
+    Of the tokens up to the end of the prefix that ends first, all common ones are counted; after it
+    that set has n - prefix = ceil(0.8 n) - 1 tokens left.
+    """
+    theirs, other = held.more[i], int(held.sizes[i])
+    if not isinstance(theirs, dict):
+        theirs = held.more[i] = _weights(theirs)
+    small, large = (mine, theirs) if len(mine) < len(theirs) else (theirs, mine)
+    common = sum(w for t, w in small.items() if t in large)
+    return common + (4 * max(size, other) + 4) // 5 - 1 >= (4 * (size + other) + 8) // 9
+
+
+def _meeting(lists: DataFrame) -> DataFrame:
+    """(token, head): the classes that have a partner to be compared with in a list.
+
+    First by groups, sizes and homes, which are narrow; then, for those that are left, by the number of tokens that a pair shares.
+    """
+    places = _with_homes(_cells(lists, F.lit(64)), lists).withColumn("more", F.lit(0))
+    some = stage(_in_cells(places, "more").mapInArrow(_opening(lambda more: None, lambda *_: True), "token long, head long").distinct())
+    left = lists.join(some, ["token", "head"], "left_semi")
+    shared_tokens = lists.groupBy("head").agg(F.collect_list(F.struct("token", "weight")).alias("tokens"))
+    places = _with_homes(_cells(left, F.col("n") * 4), lists).join(shared_tokens, "head")
+    return stage(_in_cells(places, "tokens").mapInArrow(_opening(_weights, _overlap_allows), "token long, head long").distinct())
 
 
 def _opened(source: DataFrame, classes: DataFrame, lists: DataFrame, every: DataFrame, width: int) -> DataFrame:
     """Links (a, b) between groups, by comparing the whole sets of the opened classes cell by cell."""
 
     def run(batches):
-        cell = held = None
-        root: dict = {}
+        cell, root = None, {}
 
         def find(x):
             while root.setdefault(x, x) != x:
                 x = root[x]
             return x
 
-        for at, kind, (keys, groups, sizes, homes, sets) in _stretches(batches, 9):
+        for at, held, rows in _stretches(batches):
             if at != cell:
-                cell, held, root = at, _Held(at[0]), {}
-            names, mine, n, table = keys.to_pylist(), groups.to_pylist(), np.asarray(sizes), _homes(homes)
-            tokens = [np.frombuffer(t, np.uint64) for t in sets.to_pylist()]
-            if kind == 0:
-                held.add(names, mine, n, table, tokens)
-                continue
+                cell, root = at, {}
             left, right = [], []
-            for key, group, size, home, whole in zip(names, mine, n.tolist(), table, tokens):
-                for i in held.partners(group, size, home).tolist() if held.keys else ():
-                    if find(group) == find(held.groups[i]):
+            for head, group, size, home, packed in rows:
+                whole = np.frombuffer(packed, np.uint64)
+                for i in held.partners(group, size, home).tolist():
+                    other = int(held.groups[i])
+                    if find(group) == find(other):
                         continue
-                    both = shared(held.sets[i], whole)
-                    if 100 * both >= PERCENT * (len(held.sets[i]) + len(whole) - both):
-                        root[find(group)] = find(held.groups[i])
-                        left.append(key)
-                        right.append(held.keys[i])
+                    theirs = np.frombuffer(held.more[i], np.uint64)
+                    both = shared(theirs, whole)
+                    if 100 * both >= PERCENT * (len(theirs) + len(whole) - both):
+                        root[find(group)] = find(other)
+                        left.append(head)
+                        right.append(int(held.heads[i]))
             if left:
-                yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
-    places = stage(_with_homes(_cells(lists, F.col("n") * 8), every))
+    places = stage(_with_homes(_cells(lists, F.col("n") * 8), every).join(classes.select("head", "key"), "head"))
     sets, wanted = sets_of(source, classes, places.select("key").distinct(), width)
-    cells = places.join(sets, "key").select("token", "chunk", "part", "kind", "key", "gid", "n", "homes", "tokens")
-    found = stage(_ordered(cells).mapInArrow(run, "a binary, b binary"))
+    found = stage(_in_cells(places.join(sets, "key"), "tokens").mapInArrow(run, "a long, b long"))
     wanted.destroy()
-    return found
+    named = lambda side: classes.select(F.col("head").alias(side), F.col("key").alias(f"key_{side}"))
+    return stage(found.join(named("a"), "a").join(named("b"), "b").select(F.col("key_a").alias("a"), F.col("key_b").alias("b")))
 
 
 def _linked(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -321,14 +354,14 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFram
     stars = _leaders(source, classes, width)
     groups = stage(connected_components(stars))
     named = groups.withColumnsRenamed({"node": "key", "component": "gid"})
-    grouped = stage(classes.join(named, "key", "left").select("key", "n", F.coalesce("gid", "key").alias("gid")))
+    grouped = stage(classes.join(named, "key", "left").select("key", "head", "n", F.coalesce("gid", "key").alias("gid")))
     entries, given = _matrix(source, grouped, counts, width)
     lists = stage(_open_lists(entries))
     given.destroy()
-    meeting = stage(_meeting(lists))
+    meeting = _meeting(lists)
     links = stars
     if not meeting.isEmpty():
-        links = links.unionByName(_opened(source, classes, lists.join(meeting, ["token", "key"], "left_semi"), lists, width))
+        links = links.unionByName(_opened(source, classes, lists.join(meeting, ["token", "head"], "left_semi"), lists, width))
     parts = stage(connected_components(links)).withColumnsRenamed({"node": "key"})
 
     rows = members.join(parts, "key", "left").withColumn("component", F.coalesce("component", "key"))

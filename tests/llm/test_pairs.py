@@ -40,8 +40,8 @@ def test_rows_grow_with_a_large_group(spark, monkeypatch):
     rng = random.Random(4)
     texts = list(enumerate(family(rng, 0, 2000, 2), 1))
     seen = []
-    real = jaccard_join._ordered
-    monkeypatch.setattr(jaccard_join, "_ordered", lambda cells: seen.append(cells.count()) or real(cells))
+    real = jaccard_join._in_cells
+    monkeypatch.setattr(jaccard_join, "_in_cells", lambda cells, more: seen.append(cells.count()) or real(cells, more))
     found = jaccard_join.link_documents(spark.createDataFrame(texts, "doc_id long, text string")).collect()
     assert len({r.component_id for r in found}) < len(found) and all(n <= 20 * len(texts) for n in seen), seen
 

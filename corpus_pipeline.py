@@ -7,6 +7,8 @@ checkpoint folder and reads them for the next.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from freshness.llm import decontaminate, jaccard_join, packing, quality_knn, quality_rules
@@ -45,12 +47,28 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 
+BATCH_ROWS = 1000  # whole rows that go to a Python worker at once; the stages carry every text, and many texts are long
+
+
+def in_small_batches(apply):
+    """The stage with Arrow batches of `BATCH_ROWS`; they bound what the JVM and the workers of an executor hold, and change no row."""
+
+    @functools.wraps(apply)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        return apply(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("quality classifier", quality_classifier),
-    ("quality rules", quality_rules_stage),
-    ("n-gram Jaccard join", near_duplicates),
-    ("benchmark decontamination", decontamination),
-    ("packing", pack),
+    (name, in_small_batches(apply)) for name, apply in (
+        ("quality classifier", quality_classifier),
+        ("quality rules", quality_rules_stage),
+        ("n-gram Jaccard join", near_duplicates),
+        ("benchmark decontamination", decontamination),
+        ("packing", pack),
+    )
 ]
 
 ORACLE_SQL = None  # the classifier, the learned rules and the tokenizer have no SQL form; tests compare with brute force

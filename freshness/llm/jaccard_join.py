@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from freshness.llm.components import connected_components
-from freshness.llm.set_pairs import key_head, set_key, sets_of, shared, shingle_sets, similar_pairs
+from freshness.llm.set_pairs import giving_back, key_head, set_key, sets_of, shared, shingle_sets, similar_pairs
 from freshness.llm.text import _mix, raw, sliced
 from freshness.session import stage
 
@@ -85,7 +85,7 @@ def _profile(source: DataFrame, width: int) -> DataFrame:
                  pa.array(range(block * CHUNKS, (block + 1) * CHUNKS), pa.int32()), pa.array(packed, pa.binary())], names=NAMES)
 
     NAMES = ["doc_id", "n", "key", "head", "smallest", "chunk", "counts"]
-    return source.mapInArrow(run, "doc_id long, n long, key binary, head long, smallest array<long>, chunk int, counts binary")
+    return source.mapInArrow(giving_back(run), "doc_id long, n long, key binary, head long, smallest array<long>, chunk int, counts binary")
 
 
 def _bucket_counts(profile: DataFrame) -> np.ndarray:
@@ -152,7 +152,7 @@ def _matrix(source: DataFrame, grouped: DataFrame, counts: np.ndarray, width: in
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes)))
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), lists], names=["key", "prefix"])
 
-    prefixes = source.mapInArrow(run, "key binary, prefix array<long>")
+    prefixes = source.mapInArrow(giving_back(run), "key binary, prefix array<long>")
     classes = prefixes.join(grouped.select("key", "head", F.xxhash64("gid").alias("gid"), F.col("n").cast("int").alias("n")), "key").dropDuplicates(["key"])
     return classes.select(F.explode("prefix").alias("token"), "head", "gid", "n").repartition("token"), given
 
@@ -298,11 +298,11 @@ def _meeting(lists: DataFrame) -> DataFrame:
     First by groups, sizes and homes, which are narrow; then, for those that are left, by the number of tokens that a pair shares.
     """
     places = _with_homes(_cells(lists, F.lit(64)), lists).withColumn("more", F.lit(0))
-    some = stage(_in_cells(places, "more").mapInArrow(_opening(lambda more: None, lambda *_: True), "token long, head long").distinct())
+    some = stage(_in_cells(places, "more").mapInArrow(giving_back(_opening(lambda more: None, lambda *_: True)), "token long, head long").distinct())
     left = lists.join(some, ["token", "head"], "left_semi")
     shared_tokens = lists.groupBy("head").agg(F.collect_list(F.struct("token", "weight")).alias("tokens"))
     places = _with_homes(_cells(left, F.col("n") * 4), lists).join(shared_tokens, "head")
-    return stage(_in_cells(places, "tokens").mapInArrow(_opening(_weights, _overlap_allows), "token long, head long").distinct())
+    return stage(_in_cells(places, "tokens").mapInArrow(giving_back(_opening(_weights, _overlap_allows)), "token long, head long").distinct())
 
 
 def _opened(source: DataFrame, classes: DataFrame, lists: DataFrame, every: DataFrame, width: int) -> DataFrame:
@@ -337,7 +337,7 @@ def _opened(source: DataFrame, classes: DataFrame, lists: DataFrame, every: Data
 
     places = stage(_with_homes(_cells(lists, F.col("n") * 8), every).join(classes.select("head", "key"), "head"))
     sets, wanted = sets_of(source, classes, places.select("key").distinct(), width)
-    found = stage(_in_cells(places.join(sets, "key"), "tokens").mapInArrow(run, "a long, b long"))
+    found = stage(_in_cells(places.join(sets, "key"), "tokens").mapInArrow(giving_back(run), "a long, b long"))
     wanted.destroy()
     named = lambda side: classes.select(F.col("head").alias(side), F.col("key").alias(f"key_{side}"))
     return stage(found.join(named("a"), "a").join(named("b"), "b").select(F.col("key_a").alias("a"), F.col("key_b").alias("b")))

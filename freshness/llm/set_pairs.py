@@ -8,6 +8,8 @@ set and streams the others past it, so hubs with very many partners are split an
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -23,6 +25,22 @@ FLUSH = 4 << 20  # bytes of sets in one Arrow batch
 PART = 1 << 20  # tokens of a hub's partners that one cell compares
 
 
+def giving_back(run):
+    """The task function `run`, after which its worker returns what it has freed to the system; a worker lives for many tasks."""
+
+    @functools.wraps(run)
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim:
+                trim(0)
+
+    return task
+
+
 def shingle_sets(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
     """For each text, sorted distinct 64-bit hashes of its lower-cased runs of `width` words; of all its words if they are fewer."""
     for words, windows in hashed([t.lower() for t in texts], width):
@@ -67,7 +85,7 @@ def _wanted_sets(source: DataFrame, width: int, wanted) -> DataFrame:
             if keys:
                 yield pack(keys, sets)
 
-    return source.mapInArrow(run, "key binary, tokens binary")
+    return source.mapInArrow(giving_back(run), "key binary, tokens binary")
 
 
 def _against_hub(percent: int):
@@ -118,6 +136,6 @@ def similar_pairs(source: DataFrame, classes: DataFrame, pairs: DataFrame, perce
     routes = stage(routes.unionByName(own))
     sets, wanted = sets_of(source, classes, routes.select("key").distinct(), width)
     cells = sets.join(routes, "key").select("b", "part", "kind", "a", "tokens").repartition("b", "part").sortWithinPartitions("b", "part", "kind")
-    found = stage(cells.mapInArrow(_against_hub(percent), "a binary, b binary"))
+    found = stage(cells.mapInArrow(giving_back(_against_hub(percent)), "a binary, b binary"))
     wanted.destroy()
     return found

@@ -47,7 +47,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 
-BATCH_ROWS = 1000  # whole rows that go to a Python worker at once; the stages carry every text, and many texts are long
+BATCH_ROWS = 400  # whole rows that go to a Python worker at once; the stages carry every text, and many texts are long
 
 
 def in_small_batches(apply):

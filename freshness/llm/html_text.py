@@ -39,13 +39,14 @@ _BLOCK_TAGS = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hr html iframe legend li main menu nav noscript ol optgroup option p pre section select summary table tbody "
     "td textarea tfoot th thead title tr ul video".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_SKIPPED = frozenset("script style template svg math object".split())
+_RAW = frozenset("script style".split())  # their text ends at their end tag alone, or with the page
+_HIDDEN = frozenset("svg template".split())  # left out up to their end tag; without one the page goes on behind the start tag
 _CLOSES = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 _CLOSES_P = _BLOCK_TAGS - {"button", "caption", "head", "html", "body", "iframe", "legend", "noscript", "optgroup", "option", "select", "tbody", "td", "textarea",
                            "tfoot", "th", "thead", "title", "tr", "video"}
 _STOPS = frozenset("table ul ol dl div section article main aside nav header footer form body html".split())  # an implied end does not go beyond these
-_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
-_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>")
+# A quote opens a value only behind an equals sign; any other quote is a character like others, and the tag ends at the first `>`.
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|[=\"'])*+)>")
 _NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PARTS = re.compile(r"[a-z]+")
 
@@ -104,7 +105,7 @@ def leaf_blocks(page: str) -> list[Block]:
             close = page.find(">", start)
             at = size if close < 0 else close + 1
             continue
-        tag = _TAG.match(page, start) or _PLAIN_TAG.match(page, start)
+        tag = _TAG.match(page, start)
         if not tag:
             parts.append("<")
             at = start + 1
@@ -114,10 +115,10 @@ def leaf_blocks(page: str) -> list[Block]:
         if name == "br":
             parts.append(" ")
             continue
-        if name in _SKIPPED and not tag[1]:
+        if name in _RAW | _HIDDEN and not tag[1]:
             if not tag[3].endswith("/"):
                 close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-                at = close.end() if close else size
+                at = close.end() if close else size if name in _RAW else at
             continue
         if name in _BLOCK_TAGS:
             end_block()

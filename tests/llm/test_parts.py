@@ -161,3 +161,19 @@ def test_pipeline(spark, folder, empty):
     packed = pipeline.STAGES[-1][1](spark, docs, folder)
     assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
     assert pipeline.run(spark, empty).count() == 0
+
+
+@pytest.mark.parametrize("page,texts", [
+    ("<p data=it's>Long article text that doesn't end</p><p>next</p>", ["Long article text that doesn't end", "next"]),
+    ("<p title='a > b' alt=\"c > d\">one</p>", ["one"]),
+    ("<p title=\"open>two</p><p>three</p>", ["two", "three"]),
+    ("<article><svg><p>four</p></article>", ["four"]),
+    ("<p>five <svg><title>icon</title></svg>six</p>", ["five six"]),
+    ("<p>area <math><mi>x</mi></math> of <object>seven</object></p>", ["area x of seven"]),
+    ("<template><p>eight</p>", ["eight"]),
+    ("<p>nine</p><script>a < b; '<p>no</p>'", ["nine"]),
+])
+def test_broken_pages_lose_no_text(page, texts):
+    from freshness.llm.html_text import leaf_blocks
+
+    assert [b.text for b in leaf_blocks(page)] == texts

@@ -4,6 +4,8 @@ Each streaming query drains its source with an available-now trigger into a
 fresh folder and returns what was written.
 """
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from freshness.functions import udfs as U
@@ -55,6 +57,17 @@ def _(t):
     return t.spark.read.parquet(out)
 
 
+@query("console_or_memory_sink", "SELECT event_type, count(*) AS n, max(event_id) AS last_event FROM events GROUP BY event_type")
+def _(t):
+    """One row for each event type in a table in memory, which suits results of a known small size only."""
+    rows = replay(t, t.events.select("event_type", "ts", "event_id"), ["ts", "event_id"])
+    counts = rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last_event"))
+    name = f"seen_{uuid.uuid4().hex}"
+    sink = S.console_or_memory_sink(counts, name, "complete").option("checkpointLocation", fresh_folder(t, "marks"))
+    sink.trigger(availableNow=True).start().awaitTermination()
+    return t.spark.table(name)
+
+
 @query("stream_tumbling", """WITH e AS (
   SELECT user_id AS key, date_trunc('hour', ts) AS h, value, CAST(regexp_extract(props, '[0-9]+') AS DOUBLE) AS w FROM events)
 SELECT key, h AS window_start, h + INTERVAL 1 HOUR AS window_end, round(sum(value * w) / nullif(sum(w), 0), 7) AS weighted_avg, count(*) AS n

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from freshness.functions.scalars import dot, dot_fixed
+from freshness.operators.folds import fold_scan
 from freshness.operators.joins import quadratic_form, vector_moments
-from freshness.operators.ordered import names, with_row_number, with_running
+from freshness.operators.ordered import names, with_global_rank, with_running
 from freshness.operators.windows import uniform_draw
 from freshness.session import stage
 
@@ -159,87 +158,19 @@ def ridge_alternate(ratings, user, item, rating, factors: int, iters: int, alpha
     return users, items
 
 
-def _sgd_step(u: Column, event: Column, lr: Column, reg: Column) -> Column:
-    miss = event["y"] - dot(u, event["m"])
-    return F.zip_with(u, event["m"], lambda a, b: a + lr * (miss * b - reg * a))
-
-
-_MAP_FIELDS = "a array<double>, b array<double>"
-
-
-def _as_affine(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A list of events as the map u -> A u + b that folding over it applies."""
-    for frame in frames:
-        maps, shifts = [], []
-        for events, lr, reg in zip(frame["_events"], frame["lr"], frame["reg"]):
-            d = len(events[0]["m"])
-            a, b = np.eye(d), np.zeros(d)
-            for e in events:
-                m = np.asarray(e["m"], dtype=float)
-                a = (1 - lr * reg) * a - lr * np.outer(m, m @ a)
-                b = (1 - lr * reg) * b + lr * (e["y"] - m @ b) * m
-            maps.append(a.ravel())
-            shifts.append(b)
-        yield frame.drop(columns=["_events"]).assign(a=maps, b=shifts)
-
-
-def _compose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A list of maps, in order, as one map."""
-    for frame in frames:
-        maps, shifts = [], []
-        for steps in frame["_maps"]:
-            d = len(steps[0]["b"])
-            a, b = np.eye(d), np.zeros(d)
-            for s in steps:
-                step = np.asarray(s["a"], dtype=float).reshape(d, d)
-                a, b = step @ a, step @ b + np.asarray(s["b"], dtype=float)
-            maps.append(a.ravel())
-            shifts.append(b)
-        yield frame.drop(columns=["_maps"]).assign(a=maps, b=shifts)
-
-
-def _apply_affine(u: Column, step: Column, size: Column) -> Column:
-    rows = F.sequence(F.lit(0), size - 1)
-    return F.transform(
-        rows, lambda i: F.get(step["b"], i) + dot(F.slice(step["a"], i * size + 1, size), u)
-    )
-
-
 def sgd_fold(
     rated, users, user: str, order, vector: str, rating: str, params: list[tuple[float, float]], slice_by,
-    user_vec: str = "user_vec", block_rows: int = 100_000, fan: int = 2_000,
+    user_vec: str = "user_vec", block_rows: int = 1_024, fan: int = 256,
 ) -> DataFrame:
     """Ordered gradient steps on each user vector, item vectors fixed.
 
-    Step: u + lr (err m - reg u), for each (lr, reg) of `params`. A user's first
-    `block_rows` events are folded directly. A step is affine in u, so further
-    blocks are each turned into one map (A, b) in parallel, maps are composed in
-    groups of `fan`, and the few that remain are applied in order. Gives
-    (user, lr, reg, user_vec); users without events are left out.
+    Step: u + lr (err m - reg u), for each (lr, reg) of `params`, by a prefix scan
+    over blocks of `block_rows` events (see `folds`). Gives (user, lr, reg,
+    user_vec); users without events are left out.
     """
-    placed = with_row_number(rated, user, order, slice_by, "_rn")
-    event = F.struct("_rn", F.col(rating).alias("y"), F.col(vector).alias("m"))
-    block = F.floor((F.col("_rn") - 1) / block_rows).cast("long").alias("_block")
-    lists = placed.groupBy(user, block).agg(F.sort_array(F.collect_list(event)).alias("_events"))
     grid = F.array(*[F.struct(F.lit(float(lr)).alias("lr"), F.lit(float(reg)).alias("reg")) for lr, reg in params])
-    lists = lists.withColumn("_p", F.explode(grid)).select(user, "_block", "_events", "_p.lr", "_p.reg")
-
-    head = lists.where("_block = 0").join(users.select(user, user_vec), user)
-    folded = head.select(
-        user, "lr", "reg",
-        F.aggregate("_events", F.col(user_vec), lambda u, e: _sgd_step(u, e, F.col("lr"), F.col("reg"))).alias("_u"),
-    )
-    key_type = rated.schema[user].dataType.simpleString()
-    tail = lists.where("_block > 0")
-    maps = tail.mapInPandas(_as_affine, f"{user} {key_type}, _block long, lr double, reg double, {_MAP_FIELDS}")
-    packed = F.sort_array(F.collect_list(F.struct("_block", "a", "b"))).alias("_maps")
-    grouped = maps.groupBy(user, "lr", "reg", F.floor(F.col("_block") / fan).cast("long").alias("_group")).agg(packed)
-    composed = grouped.mapInPandas(_compose, f"{user} {key_type}, lr double, reg double, _group long, {_MAP_FIELDS}")
-    last = composed.groupBy(user, "lr", "reg").agg(F.sort_array(F.collect_list(F.struct("_group", "a", "b"))).alias("_maps"))
-    joined = folded.join(last, [user, "lr", "reg"], "left")
-    size = F.size("_u")
-    moved = F.aggregate("_maps", F.col("_u"), lambda u, s: _apply_affine(u, s, size))
-    return joined.select(user, "lr", "reg", F.when(F.col("_maps").isNull(), F.col("_u")).otherwise(moved).alias(user_vec))
+    out = fold_scan(rated, users, user, order, vector, rating, params, slice_by, user_vec, None, block_rows, fan)
+    return out.withColumn("_g", F.get(grid, F.col("_p"))).select(user, "_g.lr", "_g.reg", F.col("_after").alias(user_vec))
 
 
 def sgd_both(rated, users, items, user, item, rating, size: int, lr: float, reg: float, rounds: int):
@@ -287,44 +218,34 @@ def grid_search(train, test, users, user, order, vector, rating, size, rates, re
     return sums.select("lr", "reg", "n", (F.col("_s") / F.col("n")).alias("mse")).orderBy("mse", "lr", "reg")
 
 
-def learning_curve(events, test, users, user, order, vector, rating, size, every: int, lr: float, reg: float, slice_by):
-    """Test MSE after each `every` updates, next to the MSE of the start vectors.
+def learning_curve(
+    events, test, users, user, order, vector, rating, size, every: int, lr: float, reg: float, block_rows: int = 1_024, fan: int = 256
+):
+    """Test MSE after each `every` updates, next to the MSE of the start vectors; checkpoint 0 is the state before any.
 
-    Events of a user between two checkpoints become one affine map; the running
-    composition gives the user's vector at each checkpoint where it changed, and
-    the curve is the running sum of the error changes.
+    Counts test rows of users that the events update. Updates are numbered over the
+    whole table by range partitions, so a busy day splits, and those numbers are the
+    slices of a user's history. The scan gives each user's vector before and after
+    a checkpoint; the curve is the running sum of the error changes. Events without
+    user, rating or vector are no updates.
     """
-    placed = with_row_number(events, None, order, slice_by, "_rn")
-    event = F.struct("_rn", F.col(rating).alias("y"), F.col(vector).alias("m"))
-    step = F.ceil(F.col("_rn") / every).cast("long").alias("checkpoint")
-    lists = placed.groupBy(user, step).agg(F.sort_array(F.collect_list(event)).alias("_events"))
-    lists = lists.withColumns({"lr": F.lit(float(lr)), "reg": F.lit(float(reg))})
-    key_type = events.schema[user].dataType.simpleString()
-    maps = lists.mapInPandas(_as_affine, f"{user} {key_type}, checkpoint long, lr double, reg double, {_MAP_FIELDS}")
-    per_user = maps.groupBy(user).agg(F.sort_array(F.collect_list(F.struct("checkpoint", "a", "b"))).alias("_maps"))
-    known = per_user.join(users, user).join(test_moments(test, user, vector, rating, size), user)
-
-    n = F.lit(size)
-    walk = F.aggregate(
-        "_maps",
-        F.struct(F.col("user_vec").alias("u"), F.array(F.struct(F.lit(0).cast("long").alias("checkpoint"), F.col("user_vec").alias("u"))).alias("seen")),
-        lambda acc, s: F.struct(
-            _apply_affine(acc["u"], s, n).alias("u"),
-            F.concat(acc["seen"], F.array(F.struct(s["checkpoint"].alias("checkpoint"), _apply_affine(acc["u"], s, n).alias("u")))).alias("seen"),
-        ),
-    )
-    versions = known.withColumn("_seen", walk["seen"])
-    errors = versions.withColumn("_e", F.transform("_seen", lambda v: squared_error(v["u"], size)))
-    changes = errors.select("n", F.posexplode("_seen").alias("_i", "v"), "_e").select(
-        F.col("v.checkpoint").alias("checkpoint"),
-        (F.get("_e", F.col("_i")) - F.when(F.col("_i") > 0, F.get("_e", F.col("_i") - 1)).otherwise(0.0)).alias("_change"),
-        F.when(F.col("_i") == 0, F.col("n")).otherwise(0).alias("_rows"),
-    )
-    per_step = changes.groupBy("checkpoint").agg(F.sum("_change").alias("_change"), F.sum("_rows").alias("_rows"))
-    curve = with_running(
-        per_step, None, "checkpoint", F.floor(F.col("checkpoint") / 100_000).cast("long"),
-        {"_total": ("sum", F.col("_change")), "_start": ("first", F.col("_change"))}, {"_n": ("sum", F.col("_rows"))},
-    )
-    return curve.select(
-        "checkpoint", (F.col("_total") / F.col("_n")).alias("mse"), (F.col("_start") / F.col("_n")).alias("fixed_mse")
-    )
+    whole = F.col(user).isNotNull() & F.col(vector).isNotNull() & F.col(rating).isNotNull()
+    rows = events.where(whole)
+    ranked = with_global_rank(rows, order, "_at")
+    step = F.ceil(F.col("_at") / every).cast("long")
+    slices = F.floor((F.col("_at") - 1) / 65_536).cast("long")
+    moved = fold_scan(ranked, users, user, "_at", vector, rating, [(lr, reg)], slices, "user_vec", step, block_rows, fan)
+    moments = test_moments(test, user, vector, rating, size)
+    scored = moved.join(moments, user)
+    change = squared_error(F.col("_after"), size) - squared_error(F.col("_before"), size)
+    per_step = scored.select(F.col("_tag").alias("checkpoint"), change.alias("_change")).groupBy("checkpoint").agg(F.sum("_change").alias("_change"))
+
+    updated = users.join(rows.select(user), user, "left_semi").join(moments, user)
+    start = updated.agg(F.sum(squared_error(F.col("user_vec"), size)).alias("_start"), F.sum("n").alias("_n"))
+    steps = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.max(step), F.lit(0).cast("long")))).alias("checkpoint")
+    spine = ranked.agg(steps)
+    every_step = spine.join(per_step, "checkpoint", "left").select("checkpoint", F.coalesce("_change", F.lit(0.0)).alias("_change"))
+    slice_of = F.floor(F.col("checkpoint") / 100_000).cast("long")
+    curve = with_running(every_step, None, "checkpoint", slice_of, {"_total": ("sum", F.col("_change"))})
+    first, n = start.select("_start").scalar(), start.select("_n").scalar()
+    return curve.select("checkpoint", ((first + F.col("_total")) / n).alias("mse"), (first / n).alias("fixed_mse"))

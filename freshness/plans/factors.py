@@ -110,17 +110,40 @@ def _(t):
     return _flat(users, "user_id", "user_vec")
 
 
-@query("grid_search")
+# The fold, event by event, for each (lr, reg) of `params`; keeps a version per user and checkpoint `c` of the event.
+FOLDED = f"""{RATINGS}, {ITEMS}, {USERS},
+rated AS (SELECT * FROM ratings JOIN items USING (item_id)),
+test AS (SELECT user_id, rating, item_vec FROM rated WHERE ts >= TIMESTAMP '{SPLIT}'),
+train AS (SELECT *, row_number() OVER (ORDER BY {RATING_ORDER_SQL}) AS g FROM rated WHERE ts < TIMESTAMP '{SPLIT}'),
+ev AS (SELECT user_id, rating, item_vec, CAST(ceil(g / {{every}}) AS BIGINT) AS c, row_number() OVER (PARTITION BY user_id ORDER BY g) AS rn FROM train),
+params AS ({{params}}),
+fold AS (
+  SELECT user_id, lr, reg, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS c, user_vec AS u FROM users, params WHERE user_id IN (SELECT user_id FROM ev)
+  UNION ALL
+  SELECT f.user_id, lr, reg, e.rn, e.c, list_transform(list_zip(f.u, e.item_vec), lambda p: p[1] + lr * ((e.rating - list_dot_product(f.u, e.item_vec)) * p[2] - reg * p[1]))
+  FROM fold f JOIN ev e ON f.user_id = e.user_id AND e.rn = f.rn + 1)"""
+EVERY = 1_000
+RATES, REGS = [1e-3, 1e-2, 1e-1, 2e-1, 2e-2], [1e-2, 1e-1, 2e-1, 2e-2]
+GRID = f"SELECT unnest({RATES})::DOUBLE AS lr, reg FROM (SELECT unnest({REGS})::DOUBLE AS reg)"
+
+
+@query("grid_search", f"""WITH RECURSIVE {FOLDED.format(every=EVERY, params=GRID)},
+final AS (SELECT user_id, lr, reg, arg_max(u, rn) AS u FROM fold GROUP BY ALL)
+SELECT lr, reg, count(*) AS n, round(avg((rating - list_dot_product(u, item_vec)) ** 2), 8) AS mse FROM final JOIN test USING (user_id) GROUP BY lr, reg""")
 def _(t):
     train, test = halves(rated(t))
-    return X.grid_search(
-        train, test, t.users, "user_id", RATING_ORDER, "item_vec", "rating", RANK, [0.01, 0.05], [0.0, 0.05], day_slice("ts")
-    )
+    out = X.grid_search(train, test, t.users, "user_id", RATING_ORDER, "item_vec", "rating", RANK, RATES, REGS, day_slice("ts"))
+    return out.withColumn("mse", F.round("mse", 8))
 
 
-@query("learning_curve")
+@query("learning_curve", f"""WITH RECURSIVE {FOLDED.format(every=EVERY, params=f"SELECT {LR}::DOUBLE AS lr, {REG}::DOUBLE AS reg")},
+versions AS (SELECT user_id, c, arg_max(u, rn) AS u FROM fold GROUP BY ALL),
+errors AS (SELECT user_id, c, sum((rating - list_dot_product(u, item_vec)) ** 2) AS e, count(*) AS n FROM versions JOIN test USING (user_id) GROUP BY ALL),
+changes AS (SELECT c, n, e - lag(e, 1, 0) OVER (PARTITION BY user_id ORDER BY c) AS d FROM errors),
+curve AS (SELECT c, sum(d) AS d FROM (SELECT c, d FROM changes UNION ALL SELECT unnest(range(0, (SELECT max(c) FROM ev) + 1)), 0) GROUP BY c),
+total AS (SELECT sum(n) AS n, sum(d) AS start FROM changes WHERE c = 0)
+SELECT c AS checkpoint, round(sum(d) OVER (ORDER BY c) / n, 8) AS mse, round(start / n, 8) AS fixed_mse FROM curve, total""")
 def _(t):
     train, test = halves(rated(t))
-    return X.learning_curve(
-        train, test, t.users, "user_id", RATING_ORDER, "item_vec", "rating", RANK, 10_000, 0.05, 0.01, day_slice("ts")
-    )
+    out = X.learning_curve(train, test, t.users, "user_id", RATING_ORDER, "item_vec", "rating", RANK, EVERY, LR, REG)
+    return out.select("checkpoint", F.round("mse", 8).alias("mse"), F.round("fixed_mse", 8).alias("fixed_mse"))

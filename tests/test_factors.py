@@ -90,7 +90,7 @@ def test_learning_curve_and_grid(spark, rated, data):
     train, test = rated[0].where("t < 100"), rated[0].where("t >= 100")
     held = rows[rows["t"] >= 100]
     error = lambda u: np.mean([(r.y - u[r.user] @ items[r.item]) ** 2 for r in held.itertuples()])
-    curve = {r.checkpoint: r for r in X.learning_curve(train, test, users, "user", "t", "m", "y", D, 25, 0.05, 0.01, width_slice("t", 30)).collect()}
+    curve = {r.checkpoint: r for r in X.learning_curve(train, test, users, "user", "t", "m", "y", D, 25, 0.05, 0.01).collect()}
     known = set(rows[rows["t"] < 100]["user"])
     assert known >= set(held["user"])
     for c in range(0, 5):
@@ -103,6 +103,32 @@ def test_learning_curve_and_grid(spark, rated, data):
     assert [r.mse for r in grid] == sorted(r.mse for r in grid)
 
 
+@pytest.mark.parametrize("block,fan", [(1000, 10), (4, 3)])
+def test_a_hot_user_and_rows_without_values(spark, block, fan):
+    rng = np.random.default_rng(7)
+    items = {i: rng.normal(size=D) for i in range(9)}
+    rows = [(1 if t % 4 else 2 + t % 3, int(rng.integers(0, 9)), t, float(rng.uniform(1, 5))) for t in range(400)]
+    odd = [(1, 0, 17, None), (None, 1, 18, 2.0), (9, 2, 19, 3.0)]  # no rating, no user, a user without start vector
+    vecs = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in items.items()], "item LONG, m ARRAY<DOUBLE>")
+    events = spark.createDataFrame(rows + odd, "user LONG, item LONG, t LONG, y DOUBLE").join(vecs, "item")
+    start = {u: np.full(D, 0.2) for u in range(1, 6)}
+    users = spark.createDataFrame([(u, [0.2] * D) for u in start], "user LONG, user_vec ARRAY<DOUBLE>")
+    frame = pd.DataFrame(rows, columns=["user", "item", "t", "y"])
+    out = X.sgd_fold(events, users, "user", "t", "m", "y", [(0.05, 0.01)], F.lit(0), block_rows=block, fan=fan).collect()
+    want = loop(items, frame, start, 0.05, 0.01)
+    assert {r.user for r in out} == set(frame["user"])
+    for r in out:
+        np.testing.assert_allclose(r.user_vec, want[r.user])
+    known = events.where("user <> 9 AND y IS NOT NULL")
+    error = lambda u: np.mean([(r.y - u[r.user] @ items[r.item]) ** 2 for r in frame.itertuples()])
+    curve = X.learning_curve(known, known, users, "user", "t", "m", "y", D, 90, 0.05, 0.01, block, fan).orderBy("checkpoint").collect()
+    assert [r.checkpoint for r in curve] == list(range(6))
+    for r in curve:
+        assert r.mse == pytest.approx(error(loop(items, frame[frame["t"] < r.checkpoint * 90], start, 0.05, 0.01)))
+    nothing = events.where("false")
+    assert X.sgd_fold(nothing, users, "user", "t", "m", "y", [(0.05, 0.01)], F.lit(0)).count() == 0
+
+
 def test_alternation_fits_low_rank_ratings(spark):
     rng = np.random.default_rng(3)
     u, m = rng.normal(size=(20, 2)), rng.normal(size=(15, 2))

@@ -160,7 +160,7 @@ def ridge_alternate(ratings, user, item, rating, factors: int, iters: int, alpha
 
 def sgd_fold(
     rated, users, user: str, order, vector: str, rating: str, params: list[tuple[float, float]], slice_by,
-    user_vec: str = "user_vec", block_rows: int = 1_024, fan: int = 256,
+    user_vec: str = "user_vec", block_rows: int = 1_024, fan: int = 1_024,
 ) -> DataFrame:
     """Ordered gradient steps on each user vector, item vectors fixed.
 
@@ -219,7 +219,7 @@ def grid_search(train, test, users, user, order, vector, rating, size, rates, re
 
 
 def learning_curve(
-    events, test, users, user, order, vector, rating, size, every: int, lr: float, reg: float, block_rows: int = 1_024, fan: int = 256
+    events, test, users, user, order, vector, rating, size, every: int, lr: float, reg: float, block_rows: int = 1_024, fan: int = 1_024
 ):
     """Test MSE after each `every` updates, next to the MSE of the start vectors; checkpoint 0 is the state before any.
 

@@ -186,7 +186,7 @@ def block_ends(maps: DataFrame, begin: DataFrame, user: str, fan: int, levels: i
 
 def fold_scan(
     events: DataFrame, users: DataFrame, user: str, order, vector: str, rating: str, params: Sequence[tuple[float, float]],
-    slice_by, user_vec: str, tag: Column | None = None, block_rows: int = 1_024, fan: int = 256, levels: int = 2,
+    slice_by, user_vec: str, tag: Column | None = None, block_rows: int = 1_024, fan: int = 1_024, levels: int = 1,
 ) -> DataFrame:
     """Fold every user's events, in order, over the start vector, once for each (lr, reg) of `params`.
 
@@ -214,7 +214,8 @@ def fold_scan(
     followed = _sorted(placed.where("_block < _final").drop("_final"), [user, "_block"], "_rn")
     maps = stage(followed.mapInPandas(_block_maps(user, lr, reg), shape))
     begin = known.select(user, F.explode(F.array(*[F.lit(p) for p in range(len(lr))])).alias("_p"), "_u")
-    ends = block_ends(maps, begin, user, fan, levels)
+    long_ones = begin.join(maps.select(user).distinct(), user, "left_semi")
+    ends = block_ends(maps, long_ones, user, fan, levels)
     starts = begin.withColumn("_block", F.lit(0).cast("long")).unionByName(ends.withColumn("_block", F.col("_block") + 1))
 
     opening = starts.select(

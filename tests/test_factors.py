@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from freshness.operators import factors as X
+from freshness.operators.folds import fold_scan
 from freshness.operators.ordered import width_slice
 
 D = 3
@@ -125,6 +126,11 @@ def test_a_hot_user_and_rows_without_values(spark, block, fan):
     assert [r.checkpoint for r in curve] == list(range(6))
     for r in curve:
         assert r.mse == pytest.approx(error(loop(items, frame[frame["t"] < r.checkpoint * 90], start, 0.05, 0.01)))
+    for levels in (0, 2):
+        out = fold_scan(known, users, "user", "t", "m", "y", [(0.05, 0.01)], F.lit(0), "user_vec", None, block, fan, levels).collect()
+        assert len(out) == len(set(frame["user"]))
+        for r in out:
+            np.testing.assert_allclose(r._after, want[r.user])
     nothing = events.where("false")
     assert X.sgd_fold(nothing, users, "user", "t", "m", "y", [(0.05, 0.01)], F.lit(0)).count() == 0
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from freshness.operators import joins as J, priority as R
+from freshness.operators import allocation as A, joins as J, priority as R
 from freshness.operators.ordered import day_slice, hour_slice, width_slice
 from freshness.plans.joins import INDEXED
 from freshness.plans.registry import query
@@ -225,6 +225,17 @@ def _(t):
     return R.allocate_fits(loss_table(t), "key", "n_fits", "loss", 400, 6)
 
 
+@query("allocate_fits_any", f"""WITH {LOSS}, g AS (
+  SELECT key, n_fits, lag(loss) OVER (PARTITION BY key ORDER BY n_fits) - loss AS gain FROM loss WHERE n_fits % 2 = 0),
+r AS (SELECT *, row_number() OVER (ORDER BY gain DESC, key, n_fits) AS rank FROM g WHERE gain > 0)
+SELECT l.key, 2 * count(r.key) AS n_fits FROM (SELECT DISTINCT key FROM loss) l LEFT JOIN r ON l.key = r.key AND rank <= 200 GROUP BY l.key""")
+def _(t):
+    """A single fit saves nothing here and a pair of fits does, so a choice by the next fit alone finds no gain."""
+    even = loss_table(t).where("n_fits % 2 = 0")
+    steps = even.withColumn("n_fits", F.explode(F.array("n_fits", F.col("n_fits") + 1)))
+    return A.allocate_fits_any(steps, "key", "n_fits", "loss", 400)
+
+
 @query("slide_for_fits", """SELECT user_id AS key, CAST(round(count(*) / (2 + user_id % 7)) AS BIGINT) AS slide FROM events GROUP BY user_id""")
 def _(t):
     keys = t.readings.groupBy("key").agg(F.count(F.lit(1)).alias("length")).withColumn("fits", 2 + F.col("key") % 7)

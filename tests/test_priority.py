@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from freshness.operators import priority as R
+from freshness.operators import allocation as A, priority as R
 from freshness.operators.ordered import width_slice
 from freshness.plans import catalog
 
@@ -67,6 +67,33 @@ def test_allocation_is_the_cheapest(spark):
         assert sum(losses[k][n] for k, n in got.items()) == pytest.approx(best)
 
 
+@pytest.mark.parametrize("fan", [2, 32])
+def test_allocation_over_any_curve_equals_enumeration(spark, fan):
+    rng = np.random.default_rng(5)
+    losses = {k: {i: float(rng.uniform(0, 9)) for i in range(k % 2, 5) if i == k % 2 or rng.random() < 0.8} for k in range(1, 7)}
+    losses[7] = {0: 8.0, 1: 8.0, 2: 8.0, 3: 0.5}  # nothing saved before the third fit
+    rows = [(k, i, v) for k, curve in losses.items() for i, v in curve.items()]
+    odd = [(1, 1, 99.0), (None, 0, 0.0), (2, None, 0.0), (2, 4, None), (3, 3, float("nan"))]
+    table = spark.createDataFrame(rows + odd, "key LONG, fits LONG, loss DOUBLE")
+    choices = [list(losses[k].items()) for k in sorted(losses)]
+    base = sum(min(c) for c in losses.values())
+    reached = {}
+    for combo in itertools.product(*choices):
+        extra = sum(i for i, _ in combo) - base
+        reached[extra] = min(reached.get(extra, np.inf), sum(v for _, v in combo))
+    for cap in (0, 2, 3, 7, 100):
+        got = {r.key: r.n_fits for r in A.allocate_fits_any(table, "key", "fits", "loss", cap, fan).collect()}
+        assert set(got) == set(losses) and sum(got.values()) - base <= cap
+        assert sum(losses[k][n] for k, n in got.items()) == pytest.approx(min(v for x, v in reached.items() if x <= cap))
+
+
+def test_allocation_without_rows_and_with_ties(spark):
+    table = spark.createDataFrame([(k, i, 4.0 - 2 * i) for k in (5, 3, 9) for i in (0, 1)], "key LONG, fits LONG, loss DOUBLE")
+    assert A.allocate_fits_any(table.where("false"), "key", "fits", "loss", 3).count() == 0
+    got = {r.key: r.n_fits for r in A.allocate_fits_any(table, "key", "fits", "loss", 2).collect()}
+    assert got == {3: 1, 5: 1, 9: 0}
+
+
 def test_inputs_split_at_the_last_update(spark):
     ev = spark.createDataFrame([(1, 1), (1, 5), (1, 9), (2, 3)], "key LONG, t LONG")
     up = spark.createDataFrame([(1, 2), (1, 5)], "key LONG, t LONG")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import difflib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -244,6 +244,27 @@ def hit_at_k(ranked: DataFrame, question_id: str, hit: str, ks=(1, 5, 10)) -> Da
     return per_question.agg(*[F.avg(f"top{k}").alias(f"top{k}") for k in ks], F.count(F.lit(1)).alias("n_questions"))
 
 
+def retrieval_scores(pairs: DataFrame, questions: DataFrame, passages: DataFrame, ks: Sequence[int] = (1, 5, 10)) -> DataFrame:
+    """For each (question_id, version, ...): whether a passage with the answer is among the first k (`top1`, ...), and `doc_size`, the passages of the version.
+
+    Passages (revid, passage, vector, text) go by inner product with the vector of questions (question_id, vector, answer), lower
+    passage first on ties. Each task keeps the first max(ks) of a pair before rows are shuffled, without texts and vectors. A version without
+    passages has no hits and size 0; a null answer is never hit.
+    """
+    asked = pairs.select("question_id", "version").join(questions.select("question_id", F.col("vector").alias("_q"), "answer"), "question_id")
+    held = passages.select(F.col("revid").alias("version"), "passage", F.col("vector").alias("_p"), "text")
+    score = F.aggregate(F.zip_with("_q", "_p", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda a, x: a + x)
+    scored = asked.join(held, "version").select(
+        "question_id", "version", "passage", score.alias("_score"), F.coalesce(F.contains("text", "answer"), F.lit(False)).cast("int").alias("_hit"))
+    place = F.row_number().over(W.partitionBy("question_id", "version").orderBy(F.desc("_score"), "passage"))
+    first = scored.withColumn("_place", place).where(F.col("_place") <= max(ks)).groupBy("question_id", "version").agg(
+        *[F.max(F.when(F.col("_place") <= k, F.col("_hit")).otherwise(0)).alias(f"top{k}") for k in ks])
+    sizes = held.groupBy("version").agg(F.count(F.lit(1)).alias("doc_size"))
+    out = pairs.join(first, ["question_id", "version"], "left").join(sizes, "version", "left")
+    nought = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return out.select(*pairs.columns, *[nought(f"top{k}") for k in ks], nought("doc_size"))
+
+
 def check_streams(edits: DataFrame, questions: DataFrame, init: DataFrame, revisions: DataFrame) -> DataFrame:
     """Number of questions that break each rule of a consistent stream.
 

@@ -1,7 +1,7 @@
 """All registered queries; importing a plan module registers its queries."""
 
 from freshness.plans import (  # noqa: F401
-    aggs, docs, factors, io, joins, prep, priority, report, scalars, seasonal, streams, windows,
+    aggs, docs, factors, io, joins, maintained_docs, prep, priority, report, scalars, seasonal, streams, windows,
 )
 from freshness.plans.registry import ORACLES, QUERIES
 

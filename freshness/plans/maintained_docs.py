@@ -33,11 +33,15 @@ def letter_counts_sql(text, each="{}"):
     return "[" + ", ".join(each.format(f"(length({text}) - length(replace({text}, '{c}', '')))") for c in LETTERS) + "]::DOUBLE[]"
 
 
+def revised(sentences, number):
+    """Sentences of a revision; numbers 1 to 4 lack those at number + 2 modulo 7."""
+    return F.filter(sentences, lambda s, i: (F.col(number) == 0) | (i % 7 != F.col(number) + 2))
+
+
 def doc_revisions(t):
-    """(revid, sents): revid is 8 x doc_id + the number of the revision; numbers 1 to 4 lack the sentences at number + 2 modulo 7."""
-    kept = F.filter("_s", lambda s, i: (F.col("_v") == 0) | (i % 7 != F.col("_v") + 2))
+    """(revid, sents): revid is 8 x doc_id + the number of the revision."""
     each = t.documents.select("doc_id", split_sentences("text").alias("_s"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("_v"))
-    return each.select((F.col("doc_id") * 8 + F.col("_v")).alias("revid"), kept.alias("sents"))
+    return each.select((F.col("doc_id") * 8 + F.col("_v")).alias("revid"), revised("_s", "_v").alias("sents"))
 
 
 def doc_events(t):
@@ -58,10 +62,15 @@ def doc_events(t):
     return stage(edits.unionByName(asks, allowMissingColumns=True))
 
 
-def doc_questions(rows, revisions):
-    """A sentence at the start, at a third or at two thirds of the revision; its letters are the vector and its text the answer."""
+def doc_questions(rows, documents):
+    """A sentence at the start, at a third or at two thirds of the revision; its letters are the vector and its text the answer.
+
+    Texts are joined once and not once a revision; the revision is made after the join.
+    """
     ids = rows.where("question_id is not null").select("question_id").distinct()
-    placed = ids.withColumn("revid", F.floor(F.col("question_id") / 3)).join(revisions, "revid")
+    revid = F.floor(F.col("question_id") / 3)
+    numbered = ids.select("question_id", F.floor(revid / 8).alias("doc_id"), (revid % 8).alias("_v"))
+    placed = numbered.join(documents.select("doc_id", split_sentences("text").alias("_s")), "doc_id").select("question_id", revised("_s", "_v").alias("sents"))
     at = F.floor(F.col("question_id") % 3 * F.size("sents") / 3).cast("int")
     asked = placed.select("question_id", F.trim(F.get("sents", at)).alias("answer"))
     return asked.select("question_id", F.array(*letter_counts(F.col("answer"))).alias("vector"), "answer")
@@ -77,7 +86,7 @@ def doc_passages(revisions):
 def maintained(t):
     rows = doc_events(t)
     revisions = doc_revisions(t)
-    questions, passages = stage(doc_questions(rows, revisions)), stage(doc_passages(revisions))
+    questions, passages = stage(doc_questions(rows, t.documents)), stage(doc_passages(revisions))
     held = t.documents.where("doc_id % 40 <> 39").select("doc_id", (F.col("doc_id") * 8).alias("init_revid"))
     path = fresh_folder(t, "steps")
     S.write_steps(rows, "step", ["ts", "ask_id", "revid"], path)

@@ -42,7 +42,46 @@ _GRAMS = """SELECT doc_id, pos, len(w) AS size, n, array_to_string(w[i : i + n -
     SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT *, unnest([1, 2, 3, 4]) AS n FROM {0})) GROUP BY ALL"""
 
 
-@query("sentence_diff", f"""WITH {REVISIONS},
+# Changed runs of words: what no run of equal words covers, longest run first (ties: the earlier in the old, then in the new
+# sentence), then the same left and right of it. A box is a stretch of both sentences, `way` a diagonal of equal words.
+_LONGEST = """SELECT doc_id, pos_a, pos_b, a_from, a_to, b_from, b_to,
+    max(struct_pack(size := least(i_to, a_to, b_to - d) - greatest(i_from, a_from, b_from - d), i := -greatest(i_from, a_from, b_from - d), j := -d)) AS best
+  FROM boxes JOIN ways USING (doc_id, pos_a, pos_b) WHERE least(i_to, a_to, b_to - d) > greatest(i_from, a_from, b_from - d) GROUP BY ALL"""
+_SPANS = f"""edited AS MATERIALIZED (
+  SELECT doc_id, pos_a, pos_b, score, x.sentence AS sent_a, y.sentence AS sent_b, x.w AS wa, y.w AS wb, least(len(x.w), len(y.w)) AS least_words
+  FROM edits e JOIN rest_a x USING (doc_id) JOIN rest_b y USING (doc_id) WHERE x.pos = pos_a AND y.pos = pos_b),
+headed AS (SELECT *, coalesce(list_min(list_filter(range(1, least_words + 1), lambda i: wa[i] <> wb[i])) - 1, least_words) AS head FROM edited),
+tailed AS (
+  SELECT *, coalesce(list_min(list_filter(range(1, least_words - head + 1), lambda i: wa[len(wa) + 1 - i] <> wb[len(wb) + 1 - i])) - 1, least_words - head) AS tail FROM headed),
+middle AS MATERIALIZED (SELECT doc_id, pos_a, pos_b, wa[head + 1 : len(wa) - tail] AS a, wb[head + 1 : len(wb) - tail] AS b FROM tailed),
+met AS (
+  SELECT doc_id, pos_a, pos_b, i, j - i AS d FROM (SELECT doc_id, pos_a, pos_b, unnest(a) AS word, unnest(range(1, len(a) + 1)) AS i FROM middle)
+  JOIN (SELECT doc_id, pos_a, pos_b, unnest(b) AS word, unnest(range(1, len(b) + 1)) AS j FROM middle) USING (doc_id, pos_a, pos_b, word)),
+ways AS MATERIALIZED (
+  SELECT doc_id, pos_a, pos_b, d, min(i) AS i_from, max(i) + 1 AS i_to
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, pos_a, pos_b, d ORDER BY i) AS island FROM met) GROUP BY doc_id, pos_a, pos_b, d, island),
+boxes AS (
+  SELECT doc_id, pos_a, pos_b, 1::BIGINT AS a_from, len(a) + 1 AS a_to, 1::BIGINT AS b_from, len(b) + 1 AS b_to FROM middle
+  UNION ALL
+  SELECT doc_id, pos_a, pos_b, side.a_from, side.a_to, side.b_from, side.b_to FROM (
+    SELECT doc_id, pos_a, pos_b, unnest([
+      struct_pack(a_from := a_from, a_to := -best.i, b_from := b_from, b_to := -best.i - best.j),
+      struct_pack(a_from := -best.i + best.size, a_to := a_to, b_from := -best.i - best.j + best.size, b_to := b_to)]) AS side
+    FROM ({_LONGEST}))),
+blocks AS (
+  SELECT doc_id, pos_a, pos_b, -best.i AS i, -best.i - best.j AS j, best.size AS size FROM ({_LONGEST})
+  UNION ALL SELECT doc_id, pos_a, pos_b, len(a) + 1, len(b) + 1, 0 FROM middle),
+gaps AS (
+  SELECT *, coalesce(lag(i + size) OVER same_pair, 1) AS i_from, coalesce(lag(j + size) OVER same_pair, 1) AS j_from FROM blocks
+  WINDOW same_pair AS (PARTITION BY doc_id, pos_a, pos_b ORDER BY i, j)),
+texts AS (
+  SELECT doc_id, pos_a, pos_b, i, array_to_string(a[i_from : i - 1], ' ') AS ta, array_to_string(b[j_from : j - 1], ' ') AS tb FROM gaps JOIN middle USING (doc_id, pos_a, pos_b)),
+spans AS (
+  SELECT doc_id, pos_a, pos_b, string_agg(ta, '|' ORDER BY i) FILTER (regexp_matches(ta, '[a-zA-Z0-9]')) AS gone,
+    string_agg(tb, '|' ORDER BY i) FILTER (regexp_matches(tb, '[a-zA-Z0-9]')) AS come FROM texts GROUP BY ALL)"""
+
+
+@query("sentence_diff", f"""WITH RECURSIVE {REVISIONS},
 a AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sentence ORDER BY pos) AS nth FROM old_sents),
 b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sentence ORDER BY pos) AS nth FROM new_sents),
 both_sides AS (SELECT doc_id, sentence, a.pos AS pos_a, b.pos AS pos_b, regexp_extract_all(sentence, '[^\\x20\\x09-\\x0D]+') AS w
@@ -61,21 +100,22 @@ ranked AS (
          row_number() OVER (PARTITION BY doc_id, pos_b ORDER BY score DESC, abs(pos_a - pos_b), pos_a, pos_b) AS best_b
   FROM scored WHERE score > 0.1),
 edits AS (SELECT * FROM ranked WHERE best_a = 1 AND best_b = 1),
+{_SPANS},
 found AS (
-  SELECT doc_id, pos_a, pos_b, sentence AS sent_a, sentence AS sent_b, NULL AS diff_type, NULL::DOUBLE AS score
+  SELECT doc_id, pos_a, pos_b, sentence AS sent_a, sentence AS sent_b, '' AS gone, '' AS come, NULL AS diff_type, NULL::DOUBLE AS score
   FROM both_sides WHERE pos_a IS NOT NULL AND pos_b IS NOT NULL
   UNION ALL
-  SELECT doc_id, pos_a, pos_b, x.sentence, y.sentence, 'EDIT', score
-  FROM edits e JOIN rest_a x USING (doc_id) JOIN rest_b y USING (doc_id) WHERE x.pos = pos_a AND y.pos = pos_b
+  SELECT doc_id, pos_a, pos_b, sent_a, sent_b, coalesce(gone, ''), coalesce(come, ''), 'EDIT', score FROM edited LEFT JOIN spans USING (doc_id, pos_a, pos_b)
   UNION ALL
-  SELECT doc_id, pos, NULL, sentence, '', 'DELETE', NULL FROM rest_a x ANTI JOIN edits e ON x.doc_id = e.doc_id AND x.pos = e.pos_a
+  SELECT doc_id, pos, NULL, sentence, '', sentence, '', 'DELETE', NULL FROM rest_a x ANTI JOIN edits e ON x.doc_id = e.doc_id AND x.pos = e.pos_a
   UNION ALL
-  SELECT doc_id, NULL, pos, '', sentence, 'INSERT', NULL FROM rest_b x ANTI JOIN edits e ON x.doc_id = e.doc_id AND x.pos = e.pos_b)
-SELECT doc_id, CAST(pos_a AS INTEGER) AS pos_a, CAST(pos_b AS INTEGER) AS pos_b, sent_a, sent_b,
+  SELECT doc_id, NULL, pos, '', sentence, '', sentence, 'INSERT', NULL FROM rest_b x ANTI JOIN edits e ON x.doc_id = e.doc_id AND x.pos = e.pos_b)
+SELECT doc_id, CAST(pos_a AS INTEGER) AS pos_a, CAST(pos_b AS INTEGER) AS pos_b, sent_a, sent_b, gone AS sent_a_diffs, come AS sent_b_diffs,
   diff_type, round(score, 6) AS score FROM found""")
 def _(t):
-    out = D.sentence_diff(t.revisions, "doc_id", "old", "new").drop("sent_a_diffs", "sent_b_diffs")
-    return out.withColumn("score", F.round("score", 6))
+    out = D.sentence_diff(t.revisions, "doc_id", "old", "new")
+    lists = {c: F.array_join(c, "|") for c in ("sent_a_diffs", "sent_b_diffs")}
+    return out.withColumns({**lists, "score": F.round("score", 6)})
 
 
 @query("sentence_spans")

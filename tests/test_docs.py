@@ -1,11 +1,13 @@
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from freshness.functions import scalars as S
 from freshness.operators import docs as D
+from freshness.plans import catalog
 from freshness.sources import io
 
 
@@ -139,3 +141,27 @@ def test_minute_index_before_the_epoch(spark):
     rows = spark.sql("SELECT TIMESTAMP_NTZ '2024-01-01 00:01:30' AS a, TIMESTAMP_NTZ '2023-12-31 23:59:00' AS b")
     got = rows.select(S.minute_index("a", "2024-01-01").alias("a"), S.minute_index("b", "2024-01-01").alias("b")).first()
     assert (got.a, got.b) == (1, None)
+
+
+def test_equal_sentences_are_not_written(spark, monkeypatch):
+    """Only sentences without an equal are staged; the others come from the row of their document."""
+    staged = []
+    monkeypatch.setattr(D, "stage", lambda df, stage=D.stage: staged.append(stage(df)) or staged[-1])
+    old = ["It was a warm day. ", "It was a warm day. ", "The cat sat on the mat. "]
+    rows = diff(spark, old, ["The cat sat on the red mat. ", "It was a warm day. ", "It was a warm day. "])
+    assert {(r.pos_a, r.pos_b) for r in rows} == {(0, 1), (1, 2), (2, 0)}
+    assert staged and not any("warm" in str(df.collect()) for df in staged)
+
+
+def test_spans_come_with_the_alignment(spark, tmp_path):
+    """The registered query names the words that went and came; its twin repeats them, moved words and single copies too."""
+    texts = ["It was late. One of them saw b c d e and f. " * 4 + "He said x y z w v to us. He said v x y z w to us. End.", ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id LONG, text STRING").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = catalog.QUERIES["sentence_diff"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = con.sql(catalog.ORACLES["sentence_diff"])
+    place = lambda r: tuple(-1 if r[c] is None else r[c] for c in ("doc_id", "pos_a", "pos_b"))
+    spans = lambda rs: sorted((*place(r), r["sent_a_diffs"], r["sent_b_diffs"]) for r in rs)
+    want = spans([dict(zip(got.columns, r)) for r in got.fetchall()])
+    assert spans(r.asDict() for r in rows) == want and any(r[3] for r in want) and any(r[4] for r in want)

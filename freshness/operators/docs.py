@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -53,39 +54,73 @@ def word_changes(sent_a: Column, sent_b: Column) -> tuple[Column, Column]:
     return F.array_sort(F.array_except(a, b)), F.array_sort(F.array_except(b, a))
 
 
-def _occurrences(pairs: DataFrame, doc: str, sentences: str, side: str) -> DataFrame:
-    """Sentences of one version with their place, numbered among equal ones of the document."""
-    rows = pairs.select(doc, F.posexplode(sentences).alias(f"pos_{side}", "_s")).withColumn("_s", F.coalesce("_s", F.lit("")))
-    return rows.withColumn("_nth", F.row_number().over(W.partitionBy(doc, "_s").orderBy(f"pos_{side}")))
+def _same_places(old: list[str], new: list[str]) -> list[int]:
+    """For each old sentence the place of the new one that equals it, the n-th copy to the n-th copy; -1 without one."""
+    places = {}
+    for at, sentence in enumerate(new):
+        places.setdefault(sentence, []).append(at)
+    left = {sentence: iter(at) for sentence, at in places.items()}
+    return [next(left.get(sentence, iter(())), -1) for sentence in old]
+
+
+def same_places(old: Column, new: Column) -> Column:
+    """`_same_places` of two lists without nulls."""
+
+    def each(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([_same_places(x, y) for x, y in zip(a, b)], dtype=object)
+
+    return F.pandas_udf(each, "array<int>")(old, new)
 
 
 def _words(sentence: str) -> Column:
     return F.regexp_extract_all(sentence, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
 
 
-def _grams(rest: DataFrame, doc: str, side: str) -> DataFrame:
-    """How often each run of 1 to 4 words occurs in each sentence."""
-    pos, size = f"pos_{side}", F.size("_w")
-    orders = rest.select(doc, pos, _words("_s").alias("_w")).where(size > 0).select(
-        doc, pos, "_w", size.alias(f"len_{side}"), F.explode(F.sequence(F.lit(1), F.least(F.lit(4), size))).alias("n"))
-    runs = F.transform(F.sequence(F.lit(1), size - F.col("n") + 1), lambda i: F.array_join(F.slice("_w", i, F.col("n")), " "))
-    return orders.select(doc, pos, f"len_{side}", "n", F.explode(runs).alias("gram")).groupBy(doc, pos, f"len_{side}", "n", "gram").agg(
-        F.count(F.lit(1)).alias(f"times_{side}"))
+def _runs(places: list[int], sentences: list[str]) -> dict[int, tuple[int, list[Counter]]]:
+    """By place: words of the sentence and how often each run of 1 to 4 of them occurs."""
+    out = {}
+    for at, sentence in zip(places, sentences):
+        words = re.findall(r"[^\x20\x09-\x0D]+", sentence)
+        size, runs = out.get(at, (0, [Counter() for _ in range(4)]))
+        for n, times in enumerate(runs):
+            times.update(zip(*[words[i:] for i in range(n + 1)]))
+        out[at] = max(size, len(words)), runs
+    return out
 
 
-def sentence_scores(old: DataFrame, new: DataFrame, doc: str) -> DataFrame:
+def _shared(old: dict, new: dict) -> Iterator[tuple]:
+    """(pos_a, pos_b, len_a, len_b, hits of the orders 1 to 4) of the sentences that share a run of four words."""
+    holders = {}
+    for at, (_, runs) in new.items():
+        for run in runs[3]:
+            holders.setdefault(run, []).append(at)
+    for a, (len_a, mine) in old.items():
+        for b in {b for run in mine[3] for b in holders.get(run, ())}:
+            len_b, theirs = new[b]
+            yield a, b, len_a, len_b, *[sum(min(k, y[run]) for run, k in x.items() if run in y) for x, y in zip(mine, theirs)]
+
+
+def sentence_scores(old: DataFrame, new: DataFrame, doc: str, at_once: int = 256) -> DataFrame:
     """BLEU (orders 1 to 4, equal weights, new against old) of sentences of one document that share a run of four words.
 
-    `old` (doc, pos_a, _s), `new` (doc, pos_b, _s). Without such a run the score is 0, so the equi join
-    on runs finds every pair with a score.
+    `old` (doc, pos_a, _s), `new` (doc, pos_b, _s). Without such a run the score is 0. The sentences of a document
+    are shuffled once, as lists; its pairs are found `at_once` old sentences at a time.
     """
-    a, b = _grams(old, doc, "a"), _grams(new, doc, "b")
-    longest = [df.where("n = 4").select(doc, f"pos_{side}", "gram") for df, side in ((a, "a"), (b, "b"))]
-    met = longest[0].join(longest[1], [doc, "gram"]).select(doc, "pos_a", "pos_b").distinct()
-    shared = met.join(a, [doc, "pos_a"]).join(b, [doc, "pos_b", "n", "gram"])
-    counts = shared.groupBy(doc, "pos_a", "pos_b").agg(
-        F.max("len_a").alias("len_a"), F.max("len_b").alias("len_b"),
-        *[F.sum(F.when(F.col("n") == n, F.least("times_a", "times_b"))).alias(f"hits_{n}") for n in range(1, 5)])
+    a, b = [df.groupBy(doc).agg(F.collect_list(F.struct(pos, "_s")).alias(name)) for df, pos, name in ((old, "pos_a", "_a"), (new, "pos_b", "_b"))]
+    starts = F.explode(F.sequence(F.lit(1), F.size("_a"), F.lit(at_once))).alias("_from")
+    parts = a.join(b, doc).select(doc, "_a", "_b", starts).select(doc, F.slice("_a", F.col("_from"), at_once).alias("_a"), "_b")
+    columns = ["pos_a", "pos_b", "len_a", "len_b", *[f"hits_{n}" for n in range(1, 5)]]
+
+    def pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for key, at_a, s_a, at_b, s_b in frame.itertuples(index=False):
+                found = pd.DataFrame(_shared(_runs(at_a, s_a), _runs(at_b, s_b)), columns=columns)
+                if len(found):
+                    yield found.assign(**{doc: key})
+
+    kind = a.schema[doc].dataType.simpleString()
+    counts = parts.select(doc, "_a.pos_a", F.col("_a._s").alias("_s_a"), "_b.pos_b", F.col("_b._s").alias("_s_b")).mapInPandas(
+        pairs, f"{doc} {kind}, " + ", ".join(f"{c} int" for c in columns))
     logs = sum((F.log(F.col(f"hits_{n}") / (F.col("len_b") - n + 1)) for n in range(1, 5)), F.lit(0.0))
     short = F.least(F.lit(0.0), 1 - F.col("len_a") / F.col("len_b"))
     return counts.select(doc, "pos_a", "pos_b", F.round(F.exp(short + logs / 4), 9).alias("score"))
@@ -142,10 +177,18 @@ def sentence_diff(pairs: DataFrame, doc: str, old: str, new: str, least_score: f
 
     `doc` names one pair of versions and is not null. A null list is an empty version, a null sentence an empty one.
     """
-    a, b = _occurrences(pairs, doc, old, "a"), _occurrences(pairs, doc, new, "b")
-    both = stage(a.join(b, [doc, "_s", "_nth"], "full"))
-    rest_a = both.where("pos_b is null").select(doc, "pos_a", "_s")
-    rest_b = both.where("pos_a is null").select(doc, "pos_b", "_s")
+    whole = lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda s: F.coalesce(s, F.lit("")))
+    placed = pairs.select(doc, whole(F.col(old)).alias("_a"), whole(F.col(new)).alias("_b"))
+    placed = placed.withColumn("_at", same_places(F.col("_a"), F.col("_b")))
+    # only sentences without an equal are written and shuffled; the equal ones come from the row of their document
+    item = lambda side, pos, s: F.struct(F.lit(side).alias("side"), pos.alias("pos"), s.alias("_s"))
+    alone = F.filter(F.transform("_at", lambda to, i: F.when(to < 0, item("a", i, F.get("_a", i)))), lambda x: x.isNotNull())
+    free = F.array_except(F.when(F.size("_b") > 0, F.sequence(F.lit(0), F.size("_b") - 1)).otherwise(F.array().cast("array<int>")), "_at")
+    rest = placed.select(doc, F.explode(F.concat(alone, F.transform(free, lambda i: item("b", i, F.get("_b", i))))).alias("_r"))
+    rest = stage(rest.select(doc, "_r.*"))
+    rest_a, rest_b = [rest.where(F.col("side") == x).select(doc, F.col("pos").alias(f"pos_{x}"), "_s") for x in "ab"]
+    met = F.filter(F.transform("_at", lambda to, i: F.struct(i.alias("pos_a"), to.alias("pos_b"), F.get("_a", i).alias("_s"))), lambda x: x["pos_b"] >= 0)
+    both = placed.select(doc, F.explode(met).alias("_r")).select(doc, "_r.*")
     scored = stage(sentence_scores(rest_a, rest_b, doc).where(F.col("score") > least_score))
     edits = stage(best_pairs(scored, doc))
 
@@ -154,7 +197,7 @@ def sentence_diff(pairs: DataFrame, doc: str, old: str, new: str, least_score: f
         doc, "pos_a", "pos_b", sent_a.alias("sent_a"), sent_b.alias("sent_b"), gone.alias("sent_a_diffs"), come.alias("sent_b_diffs"),
         F.lit(kind).cast("string").alias("diff_type"), score.cast("double").alias("score")]
     s, blank, no_place, no_score = F.col("_s"), F.lit(""), F.lit(None).cast("int"), F.lit(None)
-    same = both.where("pos_a is not null and pos_b is not null").select(*row(s, s, none, none, None, no_score))
+    same = both.select(*row(s, s, none, none, None, no_score))
     texts = edits.join(rest_a.withColumnRenamed("_s", "_a"), [doc, "pos_a"]).join(rest_b.withColumnRenamed("_s", "_b"), [doc, "pos_b"])
     runs = changed_runs(_words("_a"), _words("_b"))
     edited = texts.withColumn("_runs", runs).select(

@@ -158,3 +158,22 @@ def test_sgd_both_lowers_the_error(spark, rated):
 
     before = error(users, items)
     assert error(*X.sgd_both(base, users, items, "user", "item", "y", D, 0.2, 0.0, 4)) < before
+
+
+def test_recommend_over_blocks_equals_brute_force(spark):
+    """Users and items in several blocks; equal scores go to the lower item, unknown users are left out."""
+    rng = np.random.default_rng(4)
+    u = rng.integers(-2, 3, size=(23, 3)).astype(np.float32)
+    v = np.concatenate([np.repeat(rng.integers(-2, 3, size=(20, 3)), 3, axis=0), rng.integers(-2, 3, size=(5, 3))]).astype(np.float32)
+    table = lambda x: spark.createDataFrame([(i, [float(c) for c in r]) for i, r in enumerate(x)], "id INT, features ARRAY<FLOAT>")
+
+    class Model:
+        rank, userFactors, itemFactors = 3, table(u), table(v)
+        getUserCol, getItemCol = staticmethod(lambda: "u"), staticmethod(lambda: "i")
+
+    got = X.recommend(Model, spark.range(1, 40).select(F.col("id").alias("u")), 4, 5, 2, 2).collect()
+    scores = u @ v.T
+    want = {(a, k + 1, i, float(scores[a, i])) for a in range(1, 23) for k, i in enumerate(sorted(range(65), key=lambda i: (-scores[a, i], i))[:4])}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    few = X.recommend(Model, spark.range(3).select(F.col("id").alias("u")), 70).collect()
+    assert len(few) == 3 * 65

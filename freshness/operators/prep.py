@@ -8,6 +8,7 @@ from freshness.functions.scalars import clip, minute_index  # noqa: F401  (same
 from freshness.operators.ordered import (
     exact_quantiles, names, width_slice, with_global_rank, with_row_number, with_running,
 )
+from freshness.session import stage
 
 
 def time_bucket(df: DataFrame, ts: str, factor: float, name: str = "bucket") -> DataFrame:
@@ -99,13 +100,15 @@ def map_labels(df: DataFrame, col: str, mapping: dict[str, str], name: str = "la
 
 
 def quantile_split(df: DataFrame, ts: str, q: float, slice_by=None) -> tuple[DataFrame, DataFrame]:
-    """Rows at or below the exact time quantile, and rows above it."""
+    """Rows at or below the exact time quantile, and rows above it. The rows are written once, as they are read three times."""
+    df = stage(df)
     cut = exact_quantiles(df, ts, {"_cut": q}, slice_by=slice_by).scalar()
     return df.where(F.col(ts) <= cut), df.where(F.col(ts) > cut)
 
 
 def median_split(df: DataFrame, ts: str, slice_by=None) -> tuple[DataFrame, DataFrame]:
-    """Rows strictly below and strictly above the median; rows at the median drop out."""
+    """Rows strictly below and strictly above the median; rows at the median drop out. The rows are written once, as they are read three times."""
+    df = stage(df)
     cut = exact_quantiles(df, ts, {"_cut": 0.5}, slice_by=slice_by).scalar()
     return df.where(F.col(ts) < cut), df.where(F.col(ts) > cut)
 

@@ -212,3 +212,16 @@ def test_a_window_open_over_batches_keeps_its_last_state(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "log")).count() > 2
     got = T.current_table(spark, str(tmp_path / "log"), ["w", "key"])
     assert sorted((r.key, r.n) for r in got.collect()) == [(0, 20), (1, 20)]
+
+
+def test_a_batch_of_several_files(spark, tmp_path):
+    """`parts` files make one batch; batches stay in order and hold all rows, and no file holds a whole batch."""
+    rows = spark.range(0, 4_000).select("id", F.col("id").cast("string").alias("text"))
+    io.write_replay(rows, "id", str(tmp_path / "src"), 2, 3)
+    sizes = [spark.read.parquet(f).count() for f in rows.sparkSession.read.parquet(str(tmp_path / "src")).inputFiles()]
+    assert len(sizes) == 6 and max(sizes) < 1_500
+    seen = []
+    stream = io.replay_source(spark, str(tmp_path / "src"), rows.schema, 3)
+    writer = stream.writeStream.foreachBatch(lambda df, b: seen.append([r.id for r in df.collect()])).option("checkpointLocation", str(tmp_path / "m"))
+    writer.trigger(availableNow=True).start().awaitTermination()
+    assert len(seen) == 2 and max(seen[0]) < min(seen[1]) and sorted(seen[0] + seen[1]) == list(range(4_000))

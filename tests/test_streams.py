@@ -225,3 +225,11 @@ def test_a_batch_of_several_files(spark, tmp_path):
     writer = stream.writeStream.foreachBatch(lambda df, b: seen.append([r.id for r in df.collect()])).option("checkpointLocation", str(tmp_path / "m"))
     writer.trigger(availableNow=True).start().awaitTermination()
     assert len(seen) == 2 and max(seen[0]) < min(seen[1]) and sorted(seen[0] + seen[1]) == list(range(4_000))
+
+
+def test_rows_of_a_key_come_in_order():
+    rng = np.random.default_rng(2)
+    rows = pd.DataFrame({"ts": rng.integers(0, 9, 40), "pass_id": rng.integers(0, 1_000, 40).astype(str), "x": range(40)})
+    for frames in ([rows], [rows[:15], rows[15:]], [rows[:1]], [rows.assign(ts=rows["ts"].where(rows["ts"] > 2))]):
+        got = T._in_order(iter(frames), ["ts", "pass_id"])
+        assert got["x"].tolist() == pd.concat(frames).sort_values(["ts", "pass_id"])["x"].tolist()

@@ -3,9 +3,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from freshness.operators import factors as X
+from freshness.operators import factors as X, folds
 from freshness.operators.folds import fold_scan
-from freshness.operators.ordered import width_slice
+from freshness.operators.ordered import width_slice, with_global_rank
 
 D = 3
 
@@ -177,3 +177,50 @@ def test_recommend_over_blocks_equals_brute_force(spark):
     assert {tuple(r) for r in got} == want and len(got) == len(want)
     few = X.recommend(Model, spark.range(3).select(F.col("id").alias("u")), 70).collect()
     assert len(few) == 3 * 65
+
+
+def test_gram_sums_shuffle_ratings_and_no_sums(rated):
+    plan = X.gram_sums(rated[0], "user", "m", F.col("y"), D)._jdf.queryExecution().executedPlan().toString()
+    assert "partial_sum" not in plan[plan.index("Exchange") :]
+
+
+def test_moments_read_the_test_rows_once(rated):
+    plan = X.test_moments(rated[0], "user", "m", "y", D)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ExistingRDD") == 1  # the item vectors
+
+
+@pytest.mark.parametrize("block", [1000, 60])
+def test_only_events_of_long_users_are_numbered(spark, rated, data, monkeypatch, block):
+    items, rows = data
+    users = spark.createDataFrame([(u, [0.1] * D) for u in range(1, 6)], "user LONG, user_vec ARRAY<DOUBLE>")
+    numbered = []
+
+    def spy(df, *args, **kwargs):
+        numbered.append({r.user: r["count"] for r in df.groupBy("user").count().collect()})
+        return with_running(df, *args, **kwargs)
+
+    with_running = folds.with_running
+    monkeypatch.setattr(folds, "with_running", spy)
+    out = X.sgd_fold(rated[0], users, "user", "t", "m", "y", [(0.05, 0.01), (0.1, 0.0)], width_slice("t", 20), block_rows=block).collect()
+    sizes = rows.groupby("user").size()
+    assert numbered == [{u: n for u, n in sizes.items() if n > block}]
+    for lr, reg in [(0.05, 0.01), (0.1, 0.0)]:
+        want = loop(items, rows, {u: np.full(D, 0.1) for u in range(1, 6)}, lr, reg)
+        for r in out:
+            if r.lr == lr:
+                np.testing.assert_allclose(r.user_vec, want[r.user])
+
+
+def test_a_long_user_without_a_start_is_left_out(spark, rated):
+    users = spark.createDataFrame([(u, [0.1] * D) for u in range(2, 6)], "user LONG, user_vec ARRAY<DOUBLE>")
+    out = X.sgd_fold(rated[0], users, "user", "t", "m", "y", [(0.05, 0.01)], width_slice("t", 20), block_rows=10, fan=2)
+    assert {r.user for r in out.collect()} == {2, 3, 4, 5}
+
+
+def test_global_rank_keeps_what_is_asked_for(spark):
+    df = spark.createDataFrame([(i, (i * 37) % 101, "x" * (i % 3)) for i in range(300)] + [(300, None, "y")], "i LONG, v LONG, s STRING")
+    got = with_global_rank(df.repartition(5), ["v", "i"], "at", ["i"])
+    assert got.columns == ["i", "at"]
+    order = sorted(range(301), key=lambda i: (i < 300, (i * 37) % 101, i))
+    assert {r.i: r["at"] for r in got.collect()} == {i: k + 1 for k, i in enumerate(order)}
+    assert with_global_rank(df.where("false"), ["v", "i"], "at").collect() == []

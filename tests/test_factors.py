@@ -224,3 +224,17 @@ def test_global_rank_keeps_what_is_asked_for(spark):
     order = sorted(range(301), key=lambda i: (i < 300, (i * 37) % 101, i))
     assert {r.i: r["at"] for r in got.collect()} == {i: k + 1 for k, i in enumerate(order)}
     assert with_global_rank(df.where("false"), ["v", "i"], "at").collect() == []
+
+
+def test_als_has_the_same_factors_with_fewer_item_blocks(spark):
+    rng = np.random.default_rng(3)
+    seen = {(int(rng.integers(0, 40)), int(rng.integers(0, 30))) for _ in range(500)}
+    ratings = spark.createDataFrame([(u, i, float(rng.uniform(1, 5))) for u, i in sorted(seen)], "u LONG, i LONG, y DOUBLE")
+    sides = []
+    for blocks in (10, 5):
+        model = X.als_train(ratings, "u", "i", "y", rank=3, iters=4, item_blocks=blocks)
+        sides.append([{r.id: r.features for r in f.collect()} for f in (model.userFactors, model.itemFactors)])
+    for one, other in zip(*sides):
+        assert one.keys() == other.keys()
+        for k in one:
+            np.testing.assert_allclose(one[k], other[k], rtol=1e-3, atol=1e-4)

@@ -15,22 +15,24 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from freshness.llm.text import raw
+from freshness.llm.text import sliced
 from freshness.session import stage
 
 WINDOW = 4096
 GROUP = 8192  # pieces of one packing group, on average
-CACHE = 1_000_000  # words a Python worker remembers
-FLUSH = 4 << 20  # bytes of ids given out at once
+CACHE = 300_000  # parts of words a Python worker remembers, and as many other words
+BLOCK = 4 << 20  # bytes of texts that are encoded and given out at once
 
-# Words whose encoding needs no normaliser: Latin-1 letters (one code point each, stable under NFC,
-# lower-cased one by one), then marks that the splitting rule keeps together. No apostrophes, digits or `<|`.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!\"#$%&()*+,\-./:;=?@\[\\\]^_`{}~]*)")
+# A line of words. Those whose encoding needs no normaliser: Latin-1 letters (one code point each, stable under NFC,
+# lower-cased one by one), then marks that the splitting rule keeps together. No apostrophes, digits or `<|`. Then any other word.
+_WORD = re.compile(r"^(?:([A-Za-zÀ-ÖØ-öø-ÿ]{1,47})([!\"#$%&()*+,\-./:;=?@\[\\\]^_`{}~]{0,16})|(.*))$", re.MULTILINE)
 
 
 def _byte_letters() -> dict[int, str]:
@@ -40,40 +42,65 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-class WordEncoder(dict):
-    """Ids (little-endian unsigned 32 bit) by whitespace-separated word, for a tokenizer that drops white space.
+class WordEncoder:
+    """Ids (little-endian unsigned 32 bit) of whitespace-separated words, for a tokenizer that drops white space.
 
     The tokenizer's splitting rule never matches white space and its normaliser works
     on characters around which blanks are starters, so the ids of a text are those of its words in order.
-    The table is cleared when it holds `limit` words.
+    Lower-cased letters and marks are remembered by themselves, as most new words are known ones in another case or with
+    other marks. The tables of parts and of other words are cleared when they hold `limit` entries.
     """
 
     def __init__(self, path: str, limit: int = CACHE):
-        super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenize = self.tokenizer.model.tokenize
         self.limit = limit
         self.letters = _byte_letters()
+        self.parts: dict[str, bytes] = {}
+        self.others: dict[str, bytes] = {}
+
+    def __getitem__(self, word: bytes) -> bytes:
+        return self.words([word])[0]
+
+    def words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word."""
+        known, out = self.parts.get, []
+        for letters, marks, other in _WORD.findall(b"\n".join(words).decode()) if words else []:
+            if letters:
+                letters = letters.lower()
+                ids = known(letters) or self.part(letters)
+                out.append(ids + (known(marks) or self.part(marks)) if marks else ids)
+            else:
+                out.append(self.others.get(other) or self.other(other))
+        return out
 
     def part(self, text: str) -> bytes:
-        mapped = text.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.tokenize(mapped)], "<u4").tobytes()
-
-    def __missing__(self, word: bytes) -> bytes:
-        text = word.decode()
-        plain = _PLAIN.fullmatch(text)
-        if plain and len(text) < 64:
-            letters, marks = plain.groups()
-            ids = self.part(letters.lower()) + (self.part(marks) if marks else b"")
-        else:
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) < 64:
-            if len(self) >= self.limit:
-                self.clear()
-            self[word] = ids
-        return ids
+        """Ids of letters or marks; printable ASCII stands for itself in the vocabulary."""
+        mapped = text if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
+        return self._keep(self.parts, text, [t.id for t in self.tokenize(mapped)])
+
+    def other(self, word: str) -> bytes:
+        return self._keep(self.others, word, self.tokenizer.encode(word, add_special_tokens=False).ids)
+
+    def _keep(self, table: dict[str, bytes], text: str, ids: list[int]) -> bytes:
+        found = struct.pack(f"<{len(ids)}I", *ids)
+        if len(text) < 64:
+            if len(table) >= self.limit:
+                table.clear()
+            table[text] = found
+        return found
+
+    def texts(self, column: pa.Array) -> list[bytes]:
+        """Ids of each text of a string column; null counts as empty. A word is looked up once, however often the column has it."""
+        words = pc.ascii_split_whitespace(pc.fill_null(column.cast(pa.large_string()), ""))
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+        ids = pa.array(self.words(distinct), pa.large_binary()).take(coded.indices)
+        ends = np.concatenate(([0], np.cumsum(pc.binary_length(ids).to_numpy())))[words.offsets.to_numpy()].tolist()
+        data = memoryview(ids.buffers()[2] or b"")
+        return [bytes(data[a:b]) for a, b in zip(ends, ends[1:])]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -90,7 +117,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str
                  window: int = WINDOW) -> DataFrame:
     """(doc_id, start, length, doc_tokens, ids): each document's ids plus `end_id`, cut into windows.
 
-    `ids` is binary, little-endian unsigned 32 bit.
+    `ids` is binary, little-endian unsigned 32 bit. A task holds the ids of about `BLOCK` bytes of texts at a time.
     """
     schema = docs.select(F.col(id_col).alias("doc_id")).schema.add("start", "long").add("length", "long").add("doc_tokens", "long").add("ids", "binary")
     end = np.array([end_id], "<u4").tobytes()
@@ -98,22 +125,15 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str
     def cut(batches):
         find = encoder(tokenizer_path)
         step = 4 * window
-        kind = None
-        for batch in batches:
-            kind = batch.column(0).type
-            rows, size = [], 0
-            for key, text in zip(batch.column(0).to_pylist(), raw(batch.column(1))):
-                ids = b"".join(map(find.__getitem__, text.split())) + end
+        for batch in sliced(batches, limit=BLOCK):
+            rows = []
+            for key, ids in zip(batch.column(0).to_pylist(), find.texts(batch.column(1))):
+                ids += end
                 total = len(ids) // 4
                 for at in range(0, len(ids), step):
                     part = ids[at : at + step]
                     rows.append((key, at // 4, len(part) // 4, total, part))
-                    size += len(part)
-                if size > FLUSH:
-                    yield _pieces(rows, kind)
-                    rows, size = [], 0
-            if rows:
-                yield _pieces(rows, kind)
+            yield _pieces(rows, batch.column(0).type)
 
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(cut, schema)
 

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +49,23 @@ def test_word_encoder_equals_the_library():
         assert got == encoder.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_word_encoder_tokenizes_a_part_once_and_remembers_few():
+    encoder = packing.WordEncoder(tokenizer("word_bpe_49k.json"), limit=20)
+    asked, tokenize = [], encoder.tokenize
+    encoder.tokenize = lambda part: asked.append(part) or tokenize(part)
+    same = ["Maison maison, MAISON. Maison;", None, "", " \t\x0b\x0cmaison, \r\n maison. ", "ÉTÉ été"]
+    encoder.texts(pa.array(same))
+    assert sorted(asked) == sorted(["maison", ",", ".", ";", "Ã©tÃ©"])
+    random.seed(3)
+    pieces = ["Hello,", "world's", "É", "e\u0301t", "J\u030c", "12a", "<|endoftext|>", "\u00a0", "a\u2003b", "漢字", "!!", "ß", "\x1c", "\x85", "y" * 70, ","]
+    texts = same + ["".join(random.choice(pieces) + random.choice(["", " ", "\n"]) for _ in range(40)) for _ in range(60)]
+    for kind in (pa.string(), pa.large_string()):
+        found = encoder.texts(pa.array(texts, kind).slice(1))
+        for t, ids in zip(texts[1:], found, strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, repr(t)
+    assert len(encoder.parts) <= 20 and len(encoder.others) <= 20 and encoder.texts(pa.array([None, ""], pa.string())) == [b"", b""]
+
+
 def test_best_fit_takes_the_tightest_window():
     random.seed(4)
     lengths = np.array([random.randint(1, 99) for _ in range(400)])

@@ -27,7 +27,7 @@ from freshness.session import stage
 
 WINDOW = 4096
 GROUP = 8192  # pieces of one packing group, on average
-CACHE = 300_000  # parts of words a Python worker remembers, and as many other words
+CACHE = 200_000  # parts of words a Python worker remembers, and as many other words
 BLOCK = 4 << 20  # bytes of texts that are encoded and given out at once
 
 # A line of words. Those whose encoding needs no normaliser: Latin-1 letters (one code point each, stable under NFC,

@@ -66,6 +66,15 @@ def test_word_encoder_tokenizes_a_part_once_and_remembers_few():
     assert len(encoder.parts) <= 20 and len(encoder.others) <= 20 and encoder.texts(pa.array([None, ""], pa.string())) == [b"", b""]
 
 
+def test_a_worker_remembers_a_bounded_number_of_words():
+    encoder = packing.encoder(tokenizer("word_bpe_49k.json"))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["".join(letters[i // 26**k % 26] for k in range(4)) for i in range(210_000)]
+    for at in range(0, len(words), 70_000):
+        encoder.texts(pa.array([" ".join(words[at : at + 70_000])]))
+    assert 0 < len(encoder.parts) <= 200_000 and len(encoder.others) <= 200_000
+
+
 def test_best_fit_takes_the_tightest_window():
     random.seed(4)
     lengths = np.array([random.randint(1, 99) for _ in range(400)])

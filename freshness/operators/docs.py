@@ -308,6 +308,32 @@ def retrieval_scores(pairs: DataFrame, questions: DataFrame, passages: DataFrame
     return out.select(*pairs.columns, *[nought(f"top{k}") for k in ks], nought("doc_size"))
 
 
+def retrieval_scores_by_document(pairs: DataFrame, questions: DataFrame, documents: DataFrame, cut: Callable[[Column], Column],
+                                 ks: Sequence[int] = (1, 5, 10)) -> DataFrame:
+    """`retrieval_scores` of (question_id, version, doc_id, ...) where questions and texts are kept as one row a document.
+
+    questions (doc_id, questions), a list of (question_id, vector, answer); documents (doc_id, ...), of which `cut(version)` makes the list of
+    (passage, vector, text). The pairs go to the row of their document: with both tables in buckets by doc_id (`stage_by`) no
+    text and no vector is shuffled, and passages are made only of versions that are asked for.
+    """
+    listed = pairs.groupBy("doc_id").agg(F.collect_list(F.struct(*[c for c in pairs.columns if c != "doc_id"])).alias("_asked"))
+    of_version = lambda v: F.struct(v.alias("version"), F.filter("_asked", lambda a: a["version"] == v).alias("asked"))
+    met = listed.join(questions, "doc_id", "left").join(documents, "doc_id", "left")
+    each = met.select("*", F.explode(F.transform(F.array_distinct("_asked.version"), of_version)).alias("_v"))
+    held = each.select("doc_id", "questions", "_v", cut(F.col("_v.version")).alias("_p"))
+    one = held.select("doc_id", "questions", "_p", F.explode("_v.asked").alias("_a"))
+
+    score = lambda q, p: F.aggregate(F.zip_with(q["vector"], p["vector"], lambda x, y: x.cast("double") * y), F.lit(0.0), lambda a, x: a + x)
+    hit = lambda q, p: F.coalesce(F.contains(p["text"], q["answer"]), F.lit(False)).cast("int")
+    rated = lambda q: F.transform("_p", lambda p: F.struct(score(q, p).alias("score"), (-p["passage"]).alias("earlier"), hit(q, p).alias("hit")))
+    mine = F.filter("questions", lambda q: q["question_id"] == F.col("_a.question_id"))
+    placed = F.sort_array(F.flatten(F.transform(mine, rated)), asc=False)
+    first = F.coalesce(F.array_position(F.transform(placed, lambda r: r["hit"]), 1), F.lit(0)).alias("_first")
+    size = F.when(F.col("_p").isNotNull(), F.size("_p")).otherwise(0).cast("long").alias("doc_size")
+    out = one.select("doc_id", "_a.*", first, size)
+    return out.select(*pairs.columns, *[F.col("_first").between(1, k).cast("int").alias(f"top{k}") for k in ks], "doc_size")
+
+
 def check_streams(edits: DataFrame, questions: DataFrame, init: DataFrame, revisions: DataFrame) -> DataFrame:
     """Number of questions that break each rule of a consistent stream.
 

@@ -24,7 +24,7 @@ class DocumentMaintenance(Maintenance):
 
     Every row carries `init_revid`, the revision its document starts with; null marks a document that is not held. Edits of such documents are
     skipped; their questions come out without a version and are counted as unknown. `questions` has (question_id, vector, answer),
-    `passages` (revid, passage, vector, text). A revision without passages answers nothing: no hits, size 0. Of several edits in one
+    `passages` (revid, passage, vector, text), or both are what another `score` takes, such as `retrieval_scores_by_document`. A revision without passages answers nothing: no hits, size 0. Of several edits in one
     round the one with the highest (ts, revid) counts, and a later round replaces an earlier one.
     """
 
@@ -52,21 +52,26 @@ class DocumentMaintenance(Maintenance):
 
     def _in_force(self, memo: DataFrame, round_no: int) -> DataFrame:
         """Results of revisions that some run answers with: published there last, or the first one where none was."""
-        features = self._log("features", ["run", "doc_id"], round_no)
+        features = self._log("features", ["run", "doc_id"], round_no, "doc_id")
         held = features.groupBy("doc_id").agg(F.collect_set("feature").alias("_held"), F.count(F.lit(1)).alias("_n"))  # at most one a run
         used = F.array_contains("_held", F.col("version")) | (F.col("is_first") & (F.coalesce("_n", F.lit(0)) < len(self.runs)))
         return memo.join(held, "doc_id", "left").where(F.coalesce(used, F.lit(False))).select(memo.columns)
 
     def _answer(self, events: DataFrame, features_upto: int, round_no: int) -> DataFrame:
-        """Write the round's results in every run; (run, doc_id, error, questions) of the documents that are held."""
-        asked = events.where("question_id is not null").select("ask_id", "doc_id", "question_id", "init_revid", self._all_runs())
-        published = self._log("features", ["run", "doc_id"], features_upto).select("run", "doc_id", "feature")
+        """Write the round's results in every run; the `_errors` of the documents that are held.
+
+        A question is one row with the versions of all runs until its results are known, and is repeated for the runs only then.
+        """
+        asked = events.where("question_id is not null").select("ask_id", "doc_id", "question_id", "init_revid")
+        published = self._log("features", ["run", "doc_id"], features_upto, "doc_id").groupBy("doc_id").agg(
+            F.map_from_entries(F.collect_list(F.struct("run", "feature"))).alias("_features"))
         newest = self._log("sums", ["doc_id"], round_no).select("doc_id", F.col("revid").alias("newest"))
-        version = F.when(F.col("init_revid").isNotNull(), F.coalesce("feature", "init_revid"))
-        joined = asked.join(published, ["run", "doc_id"], "left").join(newest, "doc_id", "left").withColumn("version", version)
-        joined = self._write(joined.withColumn("is_fresh", F.col("version") == F.coalesce("newest", "init_revid")), "asked", round_no)
-        pairs = joined.where("version is not null").groupBy("question_id", "version").agg(
-            F.first("doc_id").alias("doc_id"), F.first(F.col("version") == F.col("init_revid")).alias("is_first"))
+        versions = F.transform(self._run_numbers(), lambda run: F.coalesce(F.try_element_at("_features", run), "init_revid"))
+        joined = asked.join(published, "doc_id", "left").join(newest, "doc_id", "left")
+        joined = joined.withColumn("versions", F.when(F.col("init_revid").isNotNull(), versions)).drop("_features")
+        joined = self._write(joined, "asked", round_no)
+        pairs = joined.select("doc_id", "question_id", "init_revid", F.explode(F.array_distinct("versions")).alias("version"))
+        pairs = pairs.groupBy("question_id", "version").agg(F.first("doc_id").alias("doc_id"), F.first(F.col("version") == F.col("init_revid")).alias("is_first"))
         memo = self._memo(round_no - 1)
         if memo is not None:
             pairs = pairs.join(memo, ["question_id", "version"], "left_anti")
@@ -74,7 +79,11 @@ class DocumentMaintenance(Maintenance):
         known = self._write(found, "scores", round_no)
         if memo is not None:
             known = known.unionByName(memo)
-        rows = joined.join(known.select("question_id", "version", *SCORES), ["question_id", "version"], "left").select(
-            "run", "doc_id", "ask_id", "question_id", "version", "is_fresh", *SCORES, F.lit(round_no).alias("round_no"))
+        by_question = known.groupBy("question_id").agg(F.collect_list(F.struct("version", *SCORES)).alias("_known"))
+        version = F.get("versions", F.col("run")).alias("version")
+        rows = joined.join(by_question, "question_id", "left").select("*", self._all_runs()).select("*", version)
+        rows = rows.withColumn("_found", F.get(F.filter("_known", lambda x: x["version"] == F.col("version")), F.lit(0)))
+        is_fresh = F.col("version") == F.coalesce("newest", "init_revid")
+        rows = rows.select("run", "doc_id", "ask_id", "question_id", "version", is_fresh.alias("is_fresh"), *[f"_found.{c}" for c in SCORES], F.lit(round_no).alias("round_no"))
         answers = self._write(rows, "predictions", round_no).where("version is not null")
-        return answers.groupBy("run", "doc_id").agg(F.sum(1.0 - F.col("top1")).alias("_error"), F.count(F.lit(1)).alias("_queries"))
+        return self._errors(answers, 1.0 - F.col("top1"))

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from freshness.operators import priority as R
-from freshness.operators.docs import retrieval_scores
+from freshness.operators.docs import retrieval_scores, retrieval_scores_by_document
+from freshness.session import stage_by
 from freshness.streaming import maintenance as M
 from freshness.streaming.documents import DocumentMaintenance
 
@@ -162,3 +163,36 @@ def test_a_round_without_rows(spark, tmp_path, corpus):
     job = run_job(spark, str(tmp_path / "a"), corpus, [[], batches(1)[0], []])
     assert job.table("predictions").where("round_no <> 1").isEmpty()
     assert job.table("predictions").count() == len(RUNS) * sum(r[3] is not None for r in batches(1)[0])
+
+
+def by_document(spark, questions, passages):
+    """The flat tables as one row a document, in buckets."""
+    q, p = spark.createDataFrame(questions, QUESTIONS), spark.createDataFrame(passages, PASSAGES)
+    listed = lambda df, doc, name: df.groupBy(F.floor(doc).alias("doc_id")).agg(F.collect_list(F.struct(*df.columns)).alias(name))
+    return stage_by(listed(q, F.col("question_id") / 3, "questions"), "doc_id"), stage_by(listed(p, F.col("revid") / 4, "passages"), "doc_id")
+
+
+def test_scores_by_document_equal_the_flat_ones_and_shuffle_the_pairs_only(spark, corpus):
+    pairs = spark.createDataFrame([(q, r, q // 3) for q in range(18) for r in (4 * (q // 3) + i for i in range(4))] + [(0, 99, 0), (70, 1, 0), (71, 400, 100)], PAIRS + ", doc_id LONG")
+    cut = lambda version: F.filter("passages", lambda p: p["revid"] == version)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        # the second corpus has rows that come twice
+        for questions, passages in (corpus, (corpus[0] + corpus[0][:5], corpus[1] + corpus[1][:30])):
+            out = retrieval_scores_by_document(pairs, *by_document(spark, questions, passages), cut)
+            want = retrieval_scores(pairs, spark.createDataFrame(questions, QUESTIONS), spark.createDataFrame(passages, PASSAGES))
+            assert out.dtypes == want.dtypes
+            assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
+            plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+            assert plan.count("Exchange hashpartitioning") == 1, plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_questions_and_states_are_one_row_for_all_runs(spark, plain):
+    job = plain[0]
+    for b, rows in enumerate(batches()):
+        asked = spark.read.parquet(f"{job.path}/asked/round={b:06d}")
+        assert asked.count() == sum(r[3] is not None for r in rows)
+        state = spark.read.parquet(f"{job.path}/state/round={b:06d}")
+        assert state.count() == state.select("doc_id").distinct().count() and state.where(F.size("state") != len(RUNS)).isEmpty()

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from freshness.operators import factors as X, folds
 from freshness.operators.folds import fold_scan
 from freshness.operators.ordered import width_slice, with_global_rank
+from freshness.plans.catalog import QUERIES
 
 D = 3
 
@@ -146,6 +147,54 @@ def test_alternation_fits_low_rank_ratings(spark):
     assert np.mean((np.array(guess) - [r.y for r in joined]) ** 2) < 0.05 * np.var([r.y for r in joined])
 
 
+@pytest.mark.parametrize("factors,rounds,block", [(2, 3, 65_536), (5, 2, 20)])
+def test_alternation_equals_the_loop(spark, factors, rounds, block):
+    """Whole and cut keys, ratings that come twice, null users, items and ratings."""
+    rng = np.random.default_rng(3)
+    rows = [(1 if k % 3 else int(rng.integers(0, 20)), int(rng.integers(0, 15)), float(rng.uniform(1, 5))) for k in range(200)]
+    rows += rows[:5] + [(None, 3, 2.0), (None, 4, 3.0), (2, None, 2.0), (30, None, 2.0), (3, 3, None)]
+    ratings = spark.createDataFrame(rows, "u LONG, i LONG, y DOUBLE")
+
+    def fits(vectors, key, other):
+        out = {}
+        for k in {r[key] for r in rows}:
+            mine = [r for r in rows if r[key] == k and r[other] is not None and r[other] in vectors]
+            if mine:
+                m = np.stack([vectors[r[other]] for r in mine])
+                x, y = m[:, :factors], np.array([0.0 if r[2] is None else r[2] - b for r, b in zip(mine, m[:, factors])])
+                xc, yc = x - x.mean(0), y - y.mean()
+                w = np.linalg.solve(xc.T @ xc + 0.001 * np.eye(factors), xc.T @ yc)
+                out[k] = np.append(w, y.mean() - x.mean(0) @ w)
+        return out
+
+    items = {r.i: np.array(r.v) for r in X.start_vectors(ratings, "i", factors + 1, 1, "v").collect()}
+    for _ in range(rounds):
+        users = fits(items, 0, 1)
+        items = fits(users, 1, 0)
+    got = X.ridge_alternate(ratings, "u", "i", "y", factors, rounds, block_rows=block)
+    for side, key, want in zip(got, ("u", "i"), (users, items)):
+        found = {r[key]: r[1] for r in side.collect()}
+        assert found.keys() == want.keys()
+        for k in want:
+            np.testing.assert_allclose(found[k], want[k], rtol=1e-6, atol=1e-8)
+
+
+def test_alternation_is_registered_with_all_rounds_and_factors(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, 1, 7, 3, 9.0, 10.0)], "l_orderkey LONG, l_linenumber LONG, l_partkey LONG, l_suppkey LONG, l_extendedprice DOUBLE, l_quantity DOUBLE").withColumn(
+        "l_shipdate", F.lit("1999-01-02").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, 5)], "o_orderkey LONG, o_custkey LONG").withColumn("o_orderdate", F.lit("1999-01-01").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/orders.parquet")
+    refits, refit = [], X._refit
+
+    def spy(*args):
+        refits.append(args[4])
+        return refit(*args)
+
+    monkeypatch.setattr(X, "_refit", spy)
+    rows = QUERIES["ridge_alternate"](spark, str(tmp_path)).collect()
+    assert sorted((r.user_id, r.i) for r in rows) == [(5, i) for i in range(51)]
+    assert refits == [50] * 100
+
+
 def test_sgd_both_lowers_the_error(spark, rated):
     full, vecs = rated
     items = vecs.withColumnRenamed("m", "item_vec")

@@ -287,3 +287,23 @@ def test_als_has_the_same_factors_with_fewer_item_blocks(spark):
         assert one.keys() == other.keys()
         for k in one:
             np.testing.assert_allclose(one[k], other[k], rtol=1e-3, atol=1e-4)
+
+
+def test_als_has_more_blocks_for_more_ratings(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    seen = sorted({(int(rng.integers(0, 40)), int(rng.integers(0, 30))) for _ in range(700)})
+    u, m = rng.uniform(1, 2, size=(40, 2)), rng.uniform(0.5, 1, size=(30, 2))
+    ratings = spark.createDataFrame([(a, b, float(u[a] @ m[b])) for a, b in seen], "u LONG, i LONG, y DOUBLE")
+    blocks, als = [], X.ALS
+
+    def spy(**options):
+        blocks.append((options["numUserBlocks"], options["numItemBlocks"]))
+        return als(**options)
+
+    monkeypatch.setattr(X, "ALS", spy)
+    for size in (4_000_000, 20):
+        model = X.als_train(ratings, "u", "i", "y", rank=2, iters=8, reg=0.01, block_ratings=size)
+        assert model.userFactors.count() == len({a for a, _ in seen}) and model.itemFactors.count() == len({b for _, b in seen})
+        assert X.rating_rmse(model, ratings, "y").first().rmse < 0.2
+    many = -(-len(seen) // 20)
+    assert many > 10 and blocks == [(10, 5), (many, many)]

@@ -10,7 +10,8 @@ from freshness.functions.scalars import biased_rating
 from freshness.operators import priority as R, windows as N
 from freshness.operators.factors import gram_sums, ridge_fit
 from freshness.operators.ordered import width_slice
-from freshness.plans import catalog
+from freshness.plans import catalog, streams
+from freshness.plans.tables import Tables
 from freshness.sources import io
 from freshness.streaming import maintenance as M, streams as T
 
@@ -87,6 +88,29 @@ def test_runs_of_a_sweep(spark, tmp_path, ratings):
     assert rows(sweep(spark, str(tmp_path / "b"), batches, runs, compact_every=100)) == before
 
 
+def test_a_sweep_broadcasts_no_table_that_grows(spark, tmp_path, ratings):
+    """However small the compressed files of items, keys and features are."""
+    spark.createDataFrame([(i,) for i in range(1, 90)], "p_partkey LONG").write.parquet(f"{tmp_path}/part.parquet")
+    events = spark.createDataFrame([(1, 40), (1, 41), (2, 80), (3, None), (4, 500)], "user_id LONG, item_id LONG")
+    marked = streams.in_catalogue(Tables(spark, str(tmp_path)), events)
+    plans = [marked]
+    assert sorted((r.user_id, r.item_id, r.listed) for r in marked.where("user_id < 3").collect()) == [(1, 40, None), (1, 41, True), (2, 80, None)]
+    assert marked.where("listed IS NULL").count() == 4
+
+    class Watched(M.Maintenance):
+        def _write(self, df, *args):
+            plans.append(df)
+            return super()._write(df, *args)
+
+    runs = [M.Run("total_error", 1.5, lambda r: R.total_error()), M.Run("round_robin", None, lambda r: F.lit(r))]
+    job = Watched(spark, str(tmp_path / "job"), runs, mean_model(), "user_id", "rating", ["ts"])
+    for b in range(2):
+        job.run_batch(spark.createDataFrame(ratings[ratings["ts"] % 2 == b]), b)
+    texts = [df._jdf.queryExecution().executedPlan().toString() for df in plans]
+    assert not [t for t in texts if "BroadcastHashJoin" in t]
+    assert sum("SortMergeJoin" in t for t in texts) > 5
+
+
 def test_a_step_is_never_cut(spark, tmp_path):
     rows = spark.range(0, 100).select("id", F.floor(F.col("id") / 30).alias("step"))
     io.write_steps(rows, "step", "id", str(tmp_path / "src"))
